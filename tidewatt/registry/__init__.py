@@ -1,0 +1 @@
+"""Queries over the given tables, with SQL twins where SQL can say the same."""
