@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewatt.operators.blocks import BLOCK, COPY, with_blocks
+from tidewatt.operators.blocks import BLOCK, COPY, block_window, drop_copies, with_blocks
 from tidewatt.settings import BLOCK_ROWS
 
 # A window is assembled from at most this many shorter windows at once.
@@ -50,71 +50,98 @@ class Trailing:
             self._plan(child, plan)
         plan[k] = child
 
-    def state(self, k: int) -> str:
-        return f"_{self.name}_state_{k}"
+    def column_names(self, k: int) -> tuple[str, str, str]:
+        return tuple(f"_{self.name}_{part}_{k}" for part in ("n", "mean", "m2"))
 
     def mean(self, k: int) -> Column:
-        s = F.col(self.state(k))
-        return F.when(s["n"] >= (self.minimum or k), s["mean"])
+        n, mean, _ = self.column_names(k)
+        return F.col(mean) if self.minimum is None else F.when(F.col(n) >= self.minimum, F.col(mean))
 
     def std(self, k: int) -> Column:
-        s = F.col(self.state(k))
-        need = max(self.minimum or k, 2)
-        return F.when(s["n"] >= need, F.sqrt(s["m2"] / (s["n"] - 1)))
+        n, _, m2 = self.column_names(k)
+        if self.minimum is None:
+            return F.sqrt(F.col(m2) / (k - 1))
+        return F.when(F.col(n) >= max(self.minimum, 2), F.sqrt(F.col(m2) / (F.col(n) - 1)))
 
 
 def add_trailing(df: DataFrame, w: WindowSpec, specs: Iterable[Trailing]) -> DataFrame:
-    """Add one (n, mean, m2) state per window of every spec.
+    """Add count, mean and squared deviation columns per window of every spec.
 
     A window of k rows is merged from k/d windows of d rows fetched with
     ``lag``, so 672 rows cost a handful of lookups instead of 672 reads, and
-    the pairwise merge of means and squared deviations keeps full precision.
-    All specs advance together: each round is one window operator over the
-    same partitioning and order.
+    merging means and squared deviations keeps full precision.  All specs
+    advance together: each round is one window operator over the same
+    partitioning and order.  Whole windows have equal parts and stay null
+    until every part is there; partial windows also carry their counts.
     """
     specs = list(specs)
-    base = {s.state(1): _first_state(F.lag(s.column, s.offset).over(w) if s.offset else F.col(s.column)) for s in specs}
-    df = df.withColumns(base)
+    first: dict[str, Column] = {}
+    for s in specs:
+        n, mean, m2 = s.column_names(1)
+        x = F.lag(s.column, s.offset).over(w) if s.offset else F.col(s.column)
+        first[mean] = x
+        if s.minimum is not None:
+            first[n] = F.when(x.isNotNull(), 1.0).otherwise(0.0)
+        first[m2] = F.lit(0.0) if s.minimum is not None else F.when(x.isNotNull(), 0.0)
+    df = df.withColumns(first)
     plans = [s.steps() for s in specs]
     for round_ in range(max((len(p) for p in plans), default=0)):
         todo = [(s, *p[round_]) for s, p in zip(specs, plans) if round_ < len(p)]
-        fetched = {
-            f"{s.state(k)}_{i}": F.lag(s.state(d), i * d).over(w)
-            for s, k, d in todo
-            for i in range(1, k // d)
-        }
+        fetched: dict[str, Column] = {}
+        for s, k, d in todo:
+            for c in _parts_needed(s, d):
+                fetched.update({f"{c}_{i}": F.lag(c, i * d).over(w) for i in range(1, k // d)})
         df = df.withColumns(fetched)
-        df = df.withColumns(
-            {
-                s.state(k): _merge([F.col(s.state(d)), *[F.col(f"{s.state(k)}_{i}") for i in range(1, k // d)]])
-                for s, k, d in todo
-            }
-        ).drop(*fetched)
+        # Counts, then means, then deviations: later ones read earlier columns.
+        for stage in (_counts, _means, _deviations):
+            df = df.withColumns({name: c for s, k, d in todo for name, c in stage(s, k, d)})
+        df = df.drop(*fetched)
     return df
 
 
 def drop_states(df: DataFrame, specs: Iterable[Trailing]) -> DataFrame:
-    return df.drop(*[s.state(k) for s in specs for k in {1, *dict(s.steps())}])
+    return df.drop(*[c for s in specs for k in {1, *dict(s.steps())} for c in s.column_names(k)])
 
 
-def _first_state(x: Column) -> Column:
-    return F.struct(
-        F.when(x.isNotNull(), 1.0).otherwise(0.0).alias("n"),
-        F.coalesce(x, F.lit(0.0)).alias("mean"),
-        F.lit(0.0).alias("m2"),
-    )
+def _parts_needed(s: Trailing, d: int) -> list[str]:
+    n, mean, m2 = s.column_names(d)
+    return ([n] if s.minimum is not None else []) + [mean] + ([m2] if d > 1 else [])
 
 
-def _merge(parts: list[Column]) -> Column:
-    """Combine (n, mean, m2) states; rows before the series start count as empty."""
+def _gather(c: str, parts: int) -> list[Column]:
+    return [F.col(c), *[F.col(f"{c}_{i}") for i in range(1, parts)]]
+
+
+def _counts(s: Trailing, k: int, d: int):
+    if s.minimum is not None:
+        n = s.column_names(d)[0]
+        yield s.column_names(k)[0], _sum([F.coalesce(p, F.lit(0.0)) for p in _gather(n, k // d)])
+
+
+def _means(s: Trailing, k: int, d: int):
+    n, mean, _ = s.column_names(d)
+    parts = k // d
+    if s.minimum is None:
+        yield s.column_names(k)[1], _sum(_gather(mean, parts)) / parts
+        return
+    total = F.col(s.column_names(k)[0])
+    weighted = _sum([F.coalesce(a * b, F.lit(0.0)) for a, b in zip(_gather(n, parts), _gather(mean, parts))])
+    yield s.column_names(k)[1], F.when(total > 0, weighted / total)
+
+
+def _deviations(s: Trailing, k: int, d: int):
+    n, mean, m2 = s.column_names(d)
+    parts = k // d
+    centre = F.col(s.column_names(k)[1])
+    gaps = [(p - centre) * (p - centre) for p in _gather(mean, parts)]
+    inner = _gather(m2, parts) if d > 1 else []
+    if s.minimum is None:
+        between = _sum(gaps) * d if d > 1 else _sum(gaps)
+        yield s.column_names(k)[2], _sum([*inner, between])
+        return
     zero = F.lit(0.0)
-    n = [F.coalesce(p["n"], zero) for p in parts]
-    mean = [F.coalesce(p["mean"], zero) for p in parts]
-    m2 = [F.coalesce(p["m2"], zero) for p in parts]
-    total = _sum(n)
-    centre = F.when(total > 0, _sum([a * b for a, b in zip(n, mean)]) / total).otherwise(zero)
-    spread = _sum(m2) + _sum([a * (b - centre) * (b - centre) for a, b in zip(n, mean)])
-    return F.struct(total.alias("n"), centre.alias("mean"), spread.alias("m2"))
+    spread = [F.coalesce(a * g, zero) for a, g in zip(_gather(n, parts), gaps)]
+    yield s.column_names(k)[2], _sum([*[F.coalesce(p, zero) for p in inner], *spread])
 
 
 def _sum(items: list[Column]) -> Column:
@@ -153,3 +180,12 @@ def rolling_quantiles(
         return out.filter(pa.array(keep))
 
     return blocked.groupBy(*keys, BLOCK).applyInArrow(trail, schema)
+
+
+def look_ahead(
+    df: DataFrame, keys: list[str], value: str, length: int, name: str = "ahead", pos: str = "pos", size: int = BLOCK_ROWS
+) -> DataFrame:
+    """The next ``length`` values from the current row on, fewer at the end."""
+    blocked = with_blocks(df, pos, after=length - 1, size=size)
+    frame = block_window(keys, pos).rowsBetween(0, length - 1)
+    return drop_copies(blocked.withColumn(name, F.collect_list(value).over(frame)))
