@@ -10,6 +10,8 @@ from tidewatt.session import attach, durable
 
 # Rank error of the bracketing sketch is 1 / ACCURACY.
 ACCURACY = 2_000
+# Groups up to this size need no bracket: their sketch would err by few rows.
+SMALL = 10 * ACCURACY
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
@@ -44,8 +46,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
                         F.struct(
                             F.lit(name).alias("_q"),
                             F.lit(float(quantiles[name])).alias("_p"),
-                            F.when(F.lit(points[i]) <= 0, F.col("_min")).otherwise(F.col("_cuts")[i]).alias("_lo"),
-                            F.when(F.lit(points[m + i]) >= 1, F.col("_max")).otherwise(F.col("_cuts")[m + i]).alias("_hi"),
+                            F.when((F.lit(points[i]) <= 0) | (F.col("_n") <= SMALL), F.col("_min")).otherwise(F.col("_cuts")[i]).alias("_lo"),
+                            F.when((F.lit(points[m + i]) >= 1) | (F.col("_n") <= SMALL), F.col("_max")).otherwise(F.col("_cuts")[m + i]).alias("_hi"),
                         )
                         for i, name in enumerate(names)
                     ]

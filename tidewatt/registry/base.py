@@ -12,7 +12,20 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Sums of doubles depend on order, so computed doubles are compared rounded.
+# Running totals grow large and keep fewer places; means of stored energy can
+# end exactly on half of the sixth place and keep more.
 DIGITS = 6
+PLACES = {
+    **dict.fromkeys(("cumulative_profit", "running_peak", "drawdown", "total_profit_usd", "total_profit"), 3),
+    **dict.fromkeys(
+        (
+            "average_soc_mwh", "median_soc_mwh", "average_soc_percentage", "equivalent_full_cycles",
+            "average_cycles_per_day", "highest_value", "lowest_value", "average_value",
+            *(f"h{h:02d}" for h in range(24)),
+        ),
+        8,
+    ),
+}
 
 
 def query(name: str, sql: str | None = None):
@@ -34,12 +47,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
     """Round the named columns, or every double column."""
     chosen = columns or [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(c, digits) for c in chosen})
+    return df.withColumns({c: F.round(c, PLACES.get(c, digits)) for c in chosen})
 
 
 def r(expression: str, name: str | None = None, digits: int = DIGITS) -> str:
     """The SQL side of ``rounded``; adding zero turns -0.0 into 0.0."""
-    return f"round({expression}, {digits}) + 0.0 AS {name or expression}"
+    name = name or expression
+    return f"round({expression}, {PLACES.get(name, digits)}) + 0.0 AS {name}"
 
 
 def as_long(df: DataFrame, *columns: str) -> DataFrame:

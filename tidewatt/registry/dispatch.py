@@ -43,16 +43,18 @@ scenarios AS (SELECT * FROM (VALUES {scenarios}) AS t(scenario_id, cap, s0, up,
 req AS MATERIALIZED (
   SELECT q.*, s.*, row_number() OVER (PARTITION BY series_id, scenario_id ORDER BY time_stamp) AS n
   FROM {source} q, scenarios s),
+paths AS MATERIALIZED (
+  SELECT series_id, scenario_id, any_value(s0) AS s0, any_value(cap) AS cap,
+         list(CASE request WHEN 'charge' THEN up * 0.2375::DOUBLE
+              WHEN 'discharge' THEN -down * 0.25::DOUBLE / 0.95::DOUBLE ELSE 0 END ORDER BY n) AS steps
+  FROM req GROUP BY 1, 2),
 walked AS (
-  SELECT series_id, scenario_id, n, s0 AS soc_start_mwh,
-         least(cap, greatest(10::DOUBLE, s0 + CASE request WHEN 'charge' THEN up * 0.2375::DOUBLE
-               WHEN 'discharge' THEN -down * 0.25::DOUBLE / 0.95::DOUBLE ELSE 0 END)) AS soc_mwh
-  FROM req WHERE n = 1
+  SELECT series_id, scenario_id, 1::BIGINT AS n, s0 AS soc_start_mwh,
+         least(cap, greatest(10::DOUBLE, s0 + steps[1])) AS soc_mwh
+  FROM paths
   UNION ALL
-  SELECT q.series_id, q.scenario_id, q.n, w.soc_mwh,
-         least(q.cap, greatest(10::DOUBLE, w.soc_mwh + CASE q.request WHEN 'charge' THEN q.up * 0.2375::DOUBLE
-               WHEN 'discharge' THEN -q.down * 0.25::DOUBLE / 0.95::DOUBLE ELSE 0 END))
-  FROM walked w JOIN req q ON q.series_id = w.series_id AND q.scenario_id = w.scenario_id AND q.n = w.n + 1),
+  SELECT p.series_id, p.scenario_id, w.n + 1, w.soc_mwh, least(p.cap, greatest(10::DOUBLE, w.soc_mwh + p.steps[w.n + 1]))
+  FROM walked w JOIN paths p ON p.series_id = w.series_id AND p.scenario_id = w.scenario_id WHERE w.n < len(p.steps)),
 power AS (
   SELECT q.*, w.soc_start_mwh, w.soc_mwh,
          CASE WHEN request = 'charge' THEN greatest(0, least(up, (cap - soc_start_mwh) / 0.2375::DOUBLE)) ELSE 0::DOUBLE END AS charge_mw,
@@ -64,7 +66,7 @@ settled AS (
          0.5::DOUBLE * (charge_mw + discharge_mw) * 0.25::DOUBLE AS transaction_cost,
          CASE WHEN charge_mw > 1e-9 THEN 'Charge' WHEN discharge_mw > 1e-9 THEN 'Discharge' ELSE 'Hold' END AS action
   FROM power),
-dispatch AS (
+dispatch AS MATERIALIZED (
   SELECT *, gross_realized_revenue - degradation_cost - transaction_cost AS realized_revenue,
          sum(gross_realized_revenue - degradation_cost - transaction_cost)
            OVER (PARTITION BY series_id, scenario_id ORDER BY time_stamp ROWS UNBOUNDED PRECEDING) AS cumulative_profit

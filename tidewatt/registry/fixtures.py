@@ -65,11 +65,14 @@ def load_grid(spark: SparkSession, folder: str) -> DataFrame:
     return fill_forward(shifted, ["hub"])
 
 
-def weather_hourly(spark: SparkSession, folder: str) -> DataFrame:
-    measures = [
-        F.log(1 + F.avg(F.when(F.col("event_type") == kind, F.col("value")))).alias(name)
-        for name, kind in WEATHER_TYPES.items()
-    ]
+def weather_hourly(spark: SparkSession, folder: str, gaps: bool = True) -> DataFrame:
+    """Hourly weather; without ``gaps`` an hour lacking a type takes the hour's mean."""
+
+    def measure(kind):
+        own = F.avg(F.when(F.col("event_type") == kind, F.col("value")))
+        return F.log(1 + (own if gaps else F.coalesce(own, F.avg("value"))))
+
+    measures = [measure(kind).alias(name) for name, kind in WEATHER_TYPES.items()]
     return (
         readings(spark, folder)
         .groupBy("hub", floor_slot("ts", 3600).alias("time_stamp"))
@@ -77,15 +80,17 @@ def weather_hourly(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def weather_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return fill_forward(weather_hourly(spark, folder), ["hub"])
+def weather_grid(spark: SparkSession, folder: str, gaps: bool = True) -> DataFrame:
+    return fill_forward(weather_hourly(spark, folder, gaps), ["hub"])
 
 
 def market(spark: SparkSession, folder: str) -> DataFrame:
     """Price grid with load and weather."""
     price = price_grid(spark, folder)
     on = ["hub", "time_stamp"]
-    return price.join(load_grid(spark, folder), on, "left").join(weather_grid(spark, folder), on, "left")
+    return price.join(load_grid(spark, folder), on, "left").join(
+        weather_grid(spark, folder, gaps=False), on, "left"
+    )
 
 
 FORECAST = Trailing("fc", "price", (4,), minimum=1)
@@ -154,26 +159,31 @@ load_shifted AS (
     "load_grid", "load_shifted", "hub", "s.load, s.coast_load"
 )
 
-WEATHER_HOURLY_SQL = """,
+
+
+def weather_grid_sql(gaps: bool) -> str:
+    def measure(kind: str) -> str:
+        own = f"avg(value) FILTER (event_type = '{kind}')"
+        return own if gaps else f"coalesce({own}, avg(value))"
+
+    measures = ", ".join(f"ln(1 + {measure(kind)}) AS {name}" for name, kind in WEATHER_TYPES.items())
+    return f""",
 weather_hourly AS (
-  SELECT hub, time_bucket(INTERVAL '1 hour', ts) AS time_stamp,
-         """ + ",\n         ".join(
-    f"ln(1 + avg(value) FILTER (event_type = '{kind}')) AS {name}" for name, kind in WEATHER_TYPES.items()
-) + """,
-         ln(1 + min(value)) AS precipitation
-  FROM readings GROUP BY 1, 2)"""
+  SELECT hub, time_bucket(INTERVAL '1 hour', ts) AS time_stamp, {measures}, ln(1 + min(value)) AS precipitation
+  FROM readings GROUP BY 1, 2)""" + filled_sql(
+        "weather_grid", "weather_hourly", "hub", ", ".join(f"s.{c}" for c in [*WEATHER_TYPES, "precipitation"])
+    )
 
-WEATHER_GRID_SQL = WEATHER_HOURLY_SQL + filled_sql(
-    "weather_grid", "weather_hourly", "hub", ", ".join(f"s.{c}" for c in [*WEATHER_TYPES, "precipitation"])
-)
 
-MARKET_SQL = GRID_SQL + LOAD_GRID_SQL + WEATHER_GRID_SQL + """,
+def market_sql(gaps: bool) -> str:
+    return GRID_SQL + LOAD_GRID_SQL + weather_grid_sql(gaps) + """,
 market AS (
   SELECT p.*, l.load, l.coast_load, """ + ", ".join(f"w.{c}" for c in [*WEATHER_TYPES, "precipitation"]) + """
   FROM price_grid p
   LEFT JOIN load_grid l ON p.hub = l.hub AND p.time_stamp = l.time_stamp
   LEFT JOIN weather_grid w ON p.hub = w.hub AND p.time_stamp = w.time_stamp)"""
 
+
 FORECAST_SQL = GRID_SQL + """,
 forecast AS (
   SELECT hub, series_id, time_stamp, pos, price AS actual, predicted

@@ -89,7 +89,7 @@ def price_features(spark, folder):
 
 @query(
     "load_features",
-    f"WITH {fx.MARKET_SQL} SELECT series_id, time_stamp, {columns_sql(LOAD_SQL)} FROM market",
+    f"WITH {fx.market_sql(gaps=False)} SELECT series_id, time_stamp, {columns_sql(LOAD_SQL)} FROM market",
 )
 def load_features(spark, folder):
     rows = fx.price_grid(spark, folder).join(fx.load_grid(spark, folder), ["hub", "time_stamp"], "left")
@@ -98,7 +98,7 @@ def load_features(spark, folder):
 
 @query(
     "weather_features",
-    f"WITH {fx.MARKET_SQL} SELECT series_id, time_stamp, {columns_sql(WEATHER_SQL)} FROM market",
+    f"WITH {fx.market_sql(gaps=True)} SELECT series_id, time_stamp, {columns_sql(WEATHER_SQL)} FROM market",
 )
 def weather_features(spark, folder):
     rows = fx.price_grid(spark, folder).join(fx.weather_grid(spark, folder), ["hub", "time_stamp"], "left")
@@ -113,7 +113,7 @@ ALL_SQL = {
 
 @query(
     "feature_table",
-    f"""WITH {fx.MARKET_SQL},
+    f"""WITH {fx.market_sql(gaps=False)},
     f AS (SELECT series_id, time_stamp, {columns_sql(ALL_SQL)} FROM market)
     SELECT * FROM f WHERE {" AND ".join(f"{c} IS NOT NULL" for c in ALL_SQL)}""",
 )
@@ -160,12 +160,12 @@ def environment_scaling(spark, folder):
 
 
 THRESHOLD_SQL = f""",
-thresholds AS (
-  SELECT *, CASE WHEN n >= 96 THEN lo END AS lower_threshold, CASE WHEN n >= 96 THEN hi END AS upper_threshold
-  FROM (SELECT *, count(predicted) OVER w AS n, quantile_cont(predicted, 0.25) OVER w AS lo,
+thresholds AS MATERIALIZED (
+  SELECT *, CASE WHEN history >= 96 THEN lo END AS lower_threshold, CASE WHEN history >= 96 THEN hi END AS upper_threshold
+  FROM (SELECT *, count(predicted) OVER w AS history, quantile_cont(predicted, 0.25) OVER w AS lo,
                quantile_cont(predicted, 0.75) OVER w AS hi
         FROM forecast WINDOW w AS (PARTITION BY series_id ORDER BY time_stamp ROWS BETWEEN 672 PRECEDING AND 1 PRECEDING))),
-signals AS (
+signals AS MATERIALIZED (
   SELECT *, CASE WHEN lower_threshold IS NULL OR upper_threshold IS NULL THEN 'hold'
                  WHEN predicted <= lower_threshold THEN 'charge'
                  WHEN predicted >= upper_threshold THEN 'discharge' ELSE 'hold' END AS request
