@@ -20,6 +20,11 @@ def slot_position(ts: Column | str, seconds: int = SLOT_SECONDS) -> Column:
     return days * (86_400 // seconds) + F.floor(inside / seconds)
 
 
+def slot_time(slot: Column, seconds: int = SLOT_SECONDS) -> Column:
+    """Start time of an absolute slot number."""
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.expr(f"INTERVAL '{seconds}' SECOND") * slot
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "pos") -> DataFrame:
     """Zero-based row number per ``keys`` in ``order``, for any distribution.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatt.operators.positions import slot_position
+from tidewatt.operators.positions import slot_position, slot_time
 from tidewatt.settings import BLOCK_ROWS, SLOT_SECONDS
 
 
@@ -15,10 +15,7 @@ def collapse_duplicates(df: DataFrame, keys: list[str], measures: list[str], ts:
 
 def floor_slot(ts: Column | str, seconds: int = SLOT_SECONDS) -> Column:
     """Start of the slot that holds ``ts``."""
-    instant = F.col(ts) if isinstance(ts, str) else ts
-    inside = F.hour(instant) * 3600 + F.minute(instant) * 60 + F.floor(F.second(instant))
-    start = (F.floor(inside / seconds) * seconds).cast("int")
-    return F.to_date(instant).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), start)
+    return slot_time(slot_position(ts, seconds), seconds)
 
 
 def shift_time(df: DataFrame, minutes: int, ts: str = "time_stamp") -> DataFrame:
@@ -38,25 +35,23 @@ def fill_forward(
     its successor.  Successors are found inside time blocks; the last row of a
     block takes the first timestamp of the next block that has any rows.
     """
-    block = F.floor(slot_position(ts, seconds) / size)
-    cut = df.withColumn("_block", block)
-    edges = cut.groupBy(*keys, "_block").agg(F.min(ts).alias("_first"))
+    slot = slot_position(ts, seconds)
+    aligned = slot_time(slot, seconds) == F.col(ts)
+    # First grid point at or after the row; the last row fills it only if it is there.
+    rows = df.withColumn("_slot", slot).withColumn("_start", F.when(aligned, F.col("_slot")).otherwise(F.col("_slot") + 1))
+    rows = rows.withColumn("_block", F.floor(F.col("_slot") / size))
+    edges = rows.groupBy(*keys, "_block").agg(F.min("_start").alias("_first"))
     following = edges.select(
         *keys, "_block", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block")).alias("_after")
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(ts)
-    step = F.expr(f"INTERVAL '{seconds}' SECOND")
-    linked = cut.withColumn("_next", F.lead(ts).over(inside)).join(following, [*keys, "_block"], "left")
-    start = _ceil_slot(F.col(ts), seconds)
-    following_ts = F.coalesce("_next", "_after")
-    # A row owns the grid points in [ts, next); the last row owns one at most.
-    stop = F.when(following_ts.isNull(), F.when(start == F.col(ts), F.col(ts))).otherwise(
-        _ceil_slot(following_ts, seconds) - step
+    linked = rows.withColumn("_next", F.lead("_start").over(inside)).join(following, [*keys, "_block"], "left")
+    # A row owns the points before its successor's first; the last row owns its own slot.
+    stop = F.coalesce(F.col("_next") - 1, F.col("_after") - 1, F.col("_slot"))
+    return (
+        linked.withColumn("_stop", stop)
+        .filter("_start <= _stop")
+        .withColumn("_slot", F.explode(F.sequence("_start", "_stop")))
+        .withColumn(ts, slot_time(F.col("_slot"), seconds))
+        .drop("_block", "_next", "_after", "_start", "_stop", "_slot")
     )
-    slots = F.when((stop >= start), F.sequence(start, stop, step))
-    return linked.withColumn(ts, F.explode(slots)).drop("_block", "_next", "_after")
-
-
-def _ceil_slot(ts: Column, seconds: int) -> Column:
-    low = floor_slot(ts, seconds)
-    return F.when(low == ts, ts).otherwise(low + F.expr(f"INTERVAL '{seconds}' SECOND"))
