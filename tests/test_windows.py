@@ -84,6 +84,14 @@ def test_positions_of_a_hot_key(frame):
         assert list(part.sort_values("o").pos) == list(range(len(part)))
 
 
+def test_positions_spread_copies(spark):
+    df = spark.range(8_000).select(F.lit("a").alias("k"), F.lit(1.0).alias("v"))
+    spread = number_rows(df, ["k"], ["v"], copies=True)
+    sizes = [len(p) for p in spread.rdd.glom().collect()]
+    assert sorted(r.pos for r in spread.collect()) == list(range(8_000))
+    assert max(sizes) < 4_000
+
+
 def test_interpolation_by_position(frame):
     for part in groups(interpolate_rows(frame.withColumn("raw", F.col("v")), ["k"], ["v"], size=32)):
         np.testing.assert_allclose(part.v, part.raw.interpolate(limit_direction="both"), atol=1e-9)

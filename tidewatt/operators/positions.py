@@ -25,18 +25,24 @@ def slot_time(slot: Column, seconds: int = SLOT_SECONDS) -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.expr(f"INTERVAL '{seconds}' SECOND") * slot
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "pos") -> DataFrame:
+def number_rows(
+    df: DataFrame, keys: list[str], order: list[Column | str], name: str = "pos", copies: bool = False
+) -> DataFrame:
     """Zero-based row number per ``keys`` in ``order``, for any distribution.
 
     Rows are range-partitioned on (keys, order), so one key may hold most of
     the table and still spread over all partitions.  Each partition is sorted
     and numbered locally; a small table of (key, partition) row counts then
-    supplies the starting number.  ``order`` should identify a row: rows equal
-    in every sort column stay together in one range.
+    supplies the starting number.  Rows equal in every sort column stay in one
+    range; with ``copies`` they are spread too, by a random last sort key that
+    is written down first, so that a repeated task sees the same values.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [*keys, *order]
+    if copies:
+        df = durable(df.withColumn("_tie", F.rand(42)))
+        sort.append("_tie")
     local = durable(
         df.repartitionByRange(parts, *sort)
         .sortWithinPartitions(*sort)
@@ -52,5 +58,5 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name:
     return (
         attach(local, starts, [*keys, "_part"])
         .withColumn(name, F.col("_seq") - F.col("_first") + F.col("_start"))
-        .drop("_part", "_seq", "_first", "_start")
+        .drop("_part", "_seq", "_first", "_start", "_tie")
     )

@@ -17,9 +17,10 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 PLACES = {
     **dict.fromkeys(("cumulative_profit", "running_peak", "drawdown", "total_profit_usd", "total_profit"), 3),
+    "average_soc_mwh": 9,
     **dict.fromkeys(
         (
-            "average_soc_mwh", "median_soc_mwh", "average_soc_percentage", "equivalent_full_cycles",
+            "median_soc_mwh", "average_soc_percentage", "equivalent_full_cycles",
             "average_cycles_per_day", "highest_value", "lowest_value", "average_value",
             *(f"h{h:02d}" for h in range(24)),
         ),
