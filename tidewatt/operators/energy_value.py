@@ -219,7 +219,7 @@ def replay(chunks: pd.DataFrame, b, horizon: int) -> list[np.ndarray]:
         path = [level]
         for t, (c, d) in enumerate(zip(up.tolist(), down.tolist())):
             if c < 0:
-                level = int(_first_moves(np.asarray(p, dtype=float)[t : t + horizon], b)[level])
+                level = _best_move(*_value_after_first(np.asarray(p, dtype=float)[t : t + horizon], b), level, b)
             elif level < c:
                 level = min(c, level + b.up)
             elif level > d:
@@ -261,7 +261,7 @@ def _levels_back(v: np.ndarray, cost: float, gain: float, b) -> np.ndarray:
     return np.maximum(charge, discharge)
 
 
-def _best_move(v: np.ndarray, level: int, cost: float, gain: float, b) -> int:
+def _best_move(v: np.ndarray, cost: float, gain: float, level: int, b) -> int:
     """Level after the interval; ties go to holding, then to the smaller move."""
     rise = np.arange(min(b.up, b.top - level) + 1)
     fall = np.arange(min(b.down, level) + 1)
@@ -283,17 +283,41 @@ def _day_over_levels(cost: np.ndarray, gain: np.ndarray, b, enforce_terminal: bo
         values.append(_levels_back(values[-1], cost[t], gain[t], b))
     path = [b.start]
     for t in range(len(cost)):
-        path.append(_best_move(values[len(cost) - 1 - t], path[-1], cost[t], gain[t], b))
+        path.append(_best_move(values[len(cost) - 1 - t], cost[t], gain[t], path[-1], b))
     return b.floor + np.array(path) * b.unit
 
 
-def _first_moves(p: np.ndarray, b) -> np.ndarray:
-    """Level after the first interval of a window, for every opening level."""
+def _value_after_first(p: np.ndarray, b) -> tuple[np.ndarray, float, float]:
+    """Value of every level after a window's first interval, with that interval's cost and gain."""
     cost, gain = (x * b.unit for x in _prices(p, b))
     v = np.zeros(b.top + 1)
     for t in range(len(p) - 1, 0, -1):
         v = _levels_back(v, cost[t], gain[t], b)
-    return np.array([_best_move(v, i, cost[0], gain[0], b) for i in range(b.top + 1)])
+    return v, cost[0], gain[0]
+
+
+def _first_moves(p: np.ndarray, b) -> np.ndarray:
+    """Level after the first interval of a window, for every opening level.
+
+    Levels drop out as soon as a move of the current size reaches their best
+    value, so all levels advance together, smallest moves first.
+    """
+    v, cost, gain = _value_after_first(p, b)
+    goal = _levels_back(v, cost, gain, b) - TIE
+    after = np.arange(b.top + 1)
+    undecided = np.flatnonzero(v < goal)
+    for size in range(1, max(b.up, b.down) + 1):
+        if not len(undecided):
+            break
+        high, low = undecided + size, undecided - size
+        rises = (size <= b.up) & (high <= b.top)
+        rises &= v[np.minimum(high, b.top)] - size * cost >= goal[undecided]
+        falls = ~rises & (size <= b.down) & (low >= 0)
+        falls &= v[np.maximum(low, 0)] + size * gain >= goal[undecided]
+        after[undecided[rises]] = high[rises]
+        after[undecided[falls]] = low[falls]
+        undecided = undecided[~(rises | falls)]
+    return after
 
 
 def _map_over_levels(p: np.ndarray, up: np.ndarray, down: np.ndarray, b, horizon: int):

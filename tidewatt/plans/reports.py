@@ -71,7 +71,7 @@ def first_extreme(value: Column, row: Column, ts: str = "time_stamp", largest: b
 
     An aggregate with map-side combine, where a ranking window would sort.
     """
-    early = F.timestamp_diff("MICROSECOND", F.col(ts).cast("timestamp"), F.lit("1970-01-01").cast("timestamp"))
+    early = F.lit("1970-01-01").cast("timestamp_ntz") - F.col(ts)
     order = F.struct(value if largest else -value, early)
     return F.max_by(row, F.when(value.isNotNull(), order))
 
@@ -371,13 +371,13 @@ def profit_endpoints(aligned: DataFrame, keys: list[str], strategies: list[str])
             F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("value")) for s in strategies])
         ).alias("_s"),
     ).select(*keys, "time_stamp", "_s.*")
-    days = F.timestamp_diff("DAY", F.min("time_stamp").cast("timestamp"), F.max("time_stamp").cast("timestamp"))
+    days = F.extract(F.lit("DAY"), F.max("time_stamp") - F.min("time_stamp")).cast("bigint")
     return long.groupBy(*keys, "strategy").agg(
         F.max_by("value", "time_stamp").alias("final_value"),
         F.max("value").alias("peak_value"),
         first_extreme(F.col("value"), F.col("time_stamp")).alias("peak_time"),
         F.min("value").alias("lowest_value"),
-        F.greatest(days, F.lit(1)).alias("period_days"),
+        F.greatest(days, F.lit(1).cast("bigint")).alias("period_days"),
     )
 
 
