@@ -94,7 +94,8 @@ def add_trailing(df: DataFrame, w: WindowSpec, specs: Iterable[Trailing]) -> Dat
         df = df.withColumns(fetched)
         # Counts, then means, then deviations: later ones read earlier columns.
         for stage in (_counts, _means, _deviations):
-            df = df.withColumns({name: c for s, k, d in todo for name, c in stage(s, k, d)})
+            added = {name: c for s, k, d in todo for name, c in stage(s, k, d)}
+            df = df.withColumns(added) if added else df
         df = df.drop(*fetched)
     return df
 
