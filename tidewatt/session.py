@@ -1,8 +1,11 @@
-"""Session helpers: reliable lineage cuts and size-checked joins."""
+"""Session helpers: written intermediate tables and size-checked joins."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,12 +27,39 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="run-")
 
 
+#: Folders written by this process that ``release`` has not removed yet.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so lost executors cost no rework."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Lineage ends at the written files, so a lost executor costs no rework, and
+    later reads still prune columns and push filters down.  The files go with
+    ``release`` or when the process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written_so_far() -> int:
+    """A mark for ``release``: how many tables stand written now."""
+    return len(_WRITTEN)
+
+
+def release(since: int = 0) -> None:
+    """Remove the tables written after mark ``since``; results that read them must be saved before."""
+    while len(_WRITTEN) > since:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the session may have ended; the folder's owner cleans up then
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+atexit.register(release)
 
 
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
