@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, sharding
+from tidewatt.llm import common, packing, sharding, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,3 +27,18 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
         "document.doc_id", "size", common.text_crc32(F.col("document.text")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and their edited texts, with likenesses."""
+    return syncmers.fingerprints(common.documents(spark, sf_dir))
+
+
+@query
+def op3_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    packed = packing.pack_documents(common.documents(spark, sf_dir))
+    return packed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
