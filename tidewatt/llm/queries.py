@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, packing, sharding, syncmers
+from tidewatt.llm import common, packing, sharding, simhash, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +42,10 @@ def op3_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query
+def op4_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    rows = simhash.grouped(common.documents(spark, sf_dir))
+    return rows.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
