@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, packing, sharding, simhash, syncmers
+from tidewatt.llm import common, mixing, packing, sharding, simhash, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+#: Target shares of the mixture by bytes; all other sources share the rest as they are.
+WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.05}
+
+
 @query
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near-equal bytes."""
@@ -49,3 +53,42 @@ def op4_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     rows = simhash.grouped(common.documents(spark, sf_dir))
     return rows.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents so that the named sources take their target weights."""
+    rows = mixing.replicate(common.documents(spark, sf_dir), WEIGHTS)
+    return rows.select(
+        "document.doc_id", "document.source", "copies", "copy", "place",
+        F.md5(F.coalesce("document.text", F.lit(""))).alias("text_md5"),
+    )
+
+
+_NAMED = ", ".join(f"('{s}', {w!r}::DOUBLE)" for s, w in WEIGHTS.items())
+_UNIFORM = "('0x' || substr(md5('{}|' || coalesce(doc_id::VARCHAR, '') || {}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+ORACLES["op10_poisson_mixing"] = f"""
+WITH named(name, weight) AS (VALUES {_NAMED}),
+docs AS (
+    SELECT doc_id, source, coalesce(text, '') AS body, coalesce(name, '') AS grp, {_UNIFORM.format("mix", "''")} AS u
+    FROM documents LEFT JOIN named ON source = name
+),
+sizes AS (SELECT grp, sum(strlen(body) + 1)::DOUBLE AS size FROM docs GROUP BY grp),
+shares AS (
+    SELECT grp, size, CASE WHEN grp = '' THEN 1 - (SELECT sum(weight) FROM named) ELSE weight END AS share
+    FROM sizes LEFT JOIN named ON grp = name
+),
+rates AS (
+    SELECT grp, share / sum(share) OVER () * sum(size) OVER () / size AS rate FROM shares
+),
+steps AS (
+    SELECT grp, sum(exp(k * ln(rate) - rate - lgamma(k + 1.0))) OVER (PARTITION BY grp ORDER BY k) AS step
+    FROM rates, range(60) AS r(k)
+),
+counted AS (
+    SELECT doc_id, source, body, u, (SELECT count(*) FROM steps s WHERE s.grp = docs.grp AND s.step <= docs.u)::INTEGER AS copies
+    FROM docs
+)
+SELECT doc_id, source, copies, copy, {_UNIFORM.format("mix-order", "'|' || copy::VARCHAR")} AS place, md5(body) AS text_md5
+FROM (SELECT *, unnest(range(copies))::INTEGER AS copy FROM counted)
+"""
