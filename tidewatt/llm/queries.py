@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, mixing, packing, sharding, simhash, syncmers
+from tidewatt.llm import common, mixing, packing, secrets, sharding, simhash, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,3 +92,18 @@ counted AS (
 SELECT doc_id, source, copies, copy, {_UNIFORM.format("mix-order", "'|' || copy::VARCHAR")} AS place, md5(body) AS text_md5
 FROM (SELECT *, unnest(range(copies))::INTEGER AS copy FROM counted)
 """
+
+
+@query
+def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and spans."""
+    found = secrets.find_secrets(common.documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["order"] < len(secrets.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, rule.kind))).cast("long").alias(f"n_{rule.kind}")
+        for rule in secrets.BASE
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans")
+    )
