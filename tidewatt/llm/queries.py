@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, mixing, packing, secrets, sharding, simhash, syncmers
+from tidewatt.llm import common, lm_bloom, mixing, packing, secrets, sharding, simhash, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,3 +107,9 @@ def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans")
     )
+
+
+@query
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents."""
+    return lm_bloom.score_documents(common.documents(spark, sf_dir))
