@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import functools
 import re
-
-import numpy as np
+from array import array
 
 #: Pieces a worker remembers at most; then it starts afresh.  Bounds memory only.
 REMEMBERED = 400_000
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
-_TAIL = ".,"
+#: Lower-case Latin-1 letters and then ASCII signs, which the tokenizer splits just there.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-/:-@[-`{-~]*)")
 
 
 @functools.cache
@@ -34,24 +34,29 @@ class Encoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # What the byte-level step makes of each two-byte and one-byte letter.
         self.letters = {
-            ord(x): level.pre_tokenize_str(x)[0][0] for x in map(chr, range(256)) if x.isalpha() and x == x.lower()
+            ord(x): level.pre_tokenize_str(x)[0][0] for x in map(chr, range(256)) if _PLAIN.fullmatch(x)
         }
         self.known: dict[str, bytes] = {}
-        self.tails = {x: self._slow(x) for x in _TAIL}
+        self.tails = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     def _slow(self, piece: str) -> bytes:
-        return np.array(self.whole.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _letters(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(word)], np.uint32).tobytes()
+        return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        stem = piece[:-1] if piece[-1] in _TAIL else piece
-        if stem.isalpha() and all(ord(x) in self.letters for x in set(stem)):
-            return self._letters(stem) + (self.tails[piece[-1]] if len(stem) < len(piece) else b"")
-        return self._slow(piece)
+        plain = _PLAIN.fullmatch(piece)
+        if plain is None:
+            return self._slow(piece)
+        word, tail = plain.groups()
+        ids = self.words.get(word)
+        if ids is None:
+            level = word if word.isascii() else word.translate(self.letters)
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[tail] = self._slow(tail)
+        return ids + self.tails[tail]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -67,6 +72,7 @@ class Encoder:
             pass
         if len(known) > REMEMBERED:
             known.clear()
+            self.words.clear()
         for piece in set(pieces).difference(known):
             known[piece] = self._piece(piece)
         return b"".join(map(known.__getitem__, pieces))
