@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, lm_bloom, mixing, packing, secrets, sharding, simhash, syncmers
+from tidewatt.llm import common, lm_bloom, mixing, packing, secrets, sharding, simhash, syncmers, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +113,11 @@ def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents."""
     return lm_bloom.score_documents(common.documents(spark, sf_dir))
+
+
+@query
+def op7_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_documents(common.documents(spark, sf_dir), labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
