@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, lm_bloom, mixing, packing, secrets, sharding, simhash, syncmers, toxicity
+from tidewatt.llm import common, lm_bloom, mixing, packing, secrets, sharding, simhash, syncmers, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,3 +121,25 @@ def op7_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_documents(common.documents(spark, sf_dir), labels)
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op6_three_phase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors for every vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op6_three_phase_topk"] = """
+WITH whole AS (
+    SELECT vec_id, [floor(x::DOUBLE * 256) FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
