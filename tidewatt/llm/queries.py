@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, lm_bloom, mixing, packing, secrets, sharding, simhash, syncmers, topk, toxicity
+from tidewatt.llm import common, lm_bloom, mixing, packing, pii, secrets, sharding, simhash, syncmers, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,3 +143,18 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+def _spans_text(spans: str) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and spans."""
+    found = pii.find_personal_data(common.documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(_spans_text("base"), 256).alias("base_sha256"), _spans_text("spans").alias("spans")
+    )
