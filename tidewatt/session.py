@@ -59,6 +59,15 @@ def release(since: int = 0) -> None:
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def settled(df: DataFrame, since: int) -> DataFrame:
+    """``durable(df)``, after which the tables that it was made from, written after mark ``since``, are removed."""
+    out = durable(df)
+    kept = _WRITTEN.pop()
+    release(since)
+    _WRITTEN.append(kept)
+    return out
+
+
 atexit.register(release)
 
 
