@@ -233,50 +233,82 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, held: int) -
     return durable(docs.join(F.broadcast(some), "doc_id").select("text", "toxic"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
-    """Toxicity of every whole text; labels are read only where crc32 of the id modulo ``modulus`` is not ``held``.
+@dataclass
+class Judge:
+    """Everything that scoring needs: the character model, the lexicon and the regression."""
 
-    Columns: doc_id, held_out, score (0 to 1), predicted (1 from ``THRESHOLD``), and
-    ``restored``, a map from the words that were decoded to their plain spelling.
-    A null text is empty and scored; rows with null ids count as id "" for holding
-    out; repeated rows are scored each; without labels of both kinds all scores are 0.
-    """
-    texts = identified(docs)
-    outside = id_remainder(F.col("doc_id"), modulus) != held
-    model = character_model(texts.where(outside))
+    model: np.ndarray
+    words: Lexicon
+    weights: np.ndarray
+    start: float
+
+    def score(self, reader: Reader, text: str) -> tuple[float, dict[str, str]]:
+        found, restored = reader.words(text)
+        z = self.start + float(np.dot(self.weights, _features(self.words.hits(found), len(found))))
+        return (1 / (1 + math.exp(-z)) if z > -700 else 0.0), restored
+
+
+def fit(texts: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> Judge:
+    """Learns characters from the texts outside the held-out rows, and words and weights from the labelled ones there."""
+    model = character_model(texts.where(id_remainder(F.col("doc_id"), modulus) != held))
     rows = training_rows(texts, labels, modulus, held)
     words = lexicon(rows, model)
-    sent = docs.sparkSession.sparkContext.broadcast((model, words))
+    if not words.weights:
+        return Judge(model, words, np.zeros(6), -math.inf)
+    sent = texts.sparkSession.sparkContext.broadcast((model, words))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, told = Reader(sent.value[0]), sent.value[1]
         for batch in batches:
-            found = [reader.words(t) for t in batch.column(0).to_pylist()]
-            values = [_features(told.hits(w), len(w)) for w, _ in found]
+            found = [reader.words(t)[0] for t in batch.column(0).to_pylist()]
+            values = [_features(told.hits(w), len(w)) for w in found]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    weights, start = np.zeros(6), -math.inf
-    if words.weights:
-        measured = rows.select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>")
-        points = durable(measured).select(F.col("toxic").cast("double").alias("label"), array_to_vector("x").alias("features"))
-        fitted = LogisticRegression(regParam=1e-4, maxIter=100).fit(points)
-        weights, start = fitted.coefficients.toArray(), fitted.intercept
+    measured = durable(rows.select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>"))
+    points = measured.select(F.col("toxic").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    fitted = LogisticRegression(regParam=1e-4, maxIter=100).fit(points)
+    return Judge(model, words, fitted.coefficients.toArray(), fitted.intercept)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
+    """Toxicity of every whole text; labels are read only where crc32 of the id modulo ``modulus`` is not ``held``.
+
+    Columns: doc_id, held_out, score (0 to 1), predicted (1 from ``THRESHOLD``), and
+    ``restored``, a map from the words that were decoded to their plain spelling.
+    A null text is empty and scored; rows with null ids count as id "" for holding
+    out; repeated rows are scored each; without labels of both kinds all scores are 0.
+    """
+    texts = identified(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(texts, labels, modulus, held))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, told = Reader(sent.value[0]), sent.value[1]
+        judge = sent.value
+        reader = Reader(judge.model)
         for batch in batches:
-            scores, decoded = [], []
-            for text in batch.column(1).to_pylist():
-                found, restored = reader.words(text)
-                z = start + float(np.dot(weights, _features(told.hits(found), len(found))))
-                scores.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
-                decoded.append(list(restored.items()))
+            scored = [judge.score(reader, text) for text in batch.column(1).to_pylist()]
+            decoded = pa.array([list(r.items()) for _, r in scored], pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(decoded, pa.map_(pa.string(), pa.string()))],
-                ["doc_id", "score", "restored"],
+                [batch.column(0), pa.array([s for s, _ in scored], pa.float64()), decoded], ["doc_id", "score", "restored"]
             )
 
     scored = texts.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, restored map<string,string>")
+    held_out = id_remainder(F.col("doc_id"), modulus) == held
     return scored.select(
-        "doc_id", (~outside).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "restored"
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "restored"
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``THRESHOLD``, unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(identified(docs), labels))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = sent.value
+        reader = Reader(judge.model)
+        for batch in batches:
+            clean = [judge.score(reader, text or "")[0] < THRESHOLD for text in batch.column(1).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_())).select([0])
+
+    whole = docs.select(F.struct("*").alias("document"), F.col("text").alias("_text"))
+    kind = whole.schema["document"].dataType.simpleString()
+    return whole.mapInArrow(keep, f"document {kind}").select("document.*")
