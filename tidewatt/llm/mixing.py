@@ -26,7 +26,7 @@ def poisson_steps(rate: float) -> list[float]:
     while k <= rate or term >= 2.0**-60:
         term = math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
         total += term
-        steps.append(total)
+        steps.append(min(total, 1.0))
         k += 1
     return [*steps[:-1], 1.0]
 
