@@ -39,7 +39,7 @@ SLOT_BYTES = 16 << 20
 #: Filter bits for each stored level, and probes for each.
 BITS, PROBES = 8, 4
 #: The largest broadcast.
-WAVE_BYTES = 128 << 20
+WAVE_BYTES = 64 << 20
 #: Weight of the word distribution against a context's own count.
 MU = 200.0
 _LEVELS = 64
