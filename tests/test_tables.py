@@ -14,6 +14,7 @@ from tidewatt.plans import models as md, reports
 from tidewatt.plans.features import MODEL_FEATURES
 from tidewatt.plans.rules import action_log_backtest, rules_backtest, threshold_signal
 from tidewatt.settings import Battery, Rules, Search, with_scenarios
+from tidewatt.sources import tables
 
 
 def one(spark, column, **values):
@@ -169,3 +170,53 @@ def test_time_splits_expand():
     assert md.time_splits(13, 5) == [(3, 5), (5, 7), (7, 9), (9, 11), (11, 13)]
     picks = md.draw_settings(Search(draws=10))
     assert len(picks) == 10 and picks == md.draw_settings(Search(draws=10))
+
+
+def test_weather_reads_every_file(spark, tmp_path):
+    lines = "latitude,longitude\n29.7,-95.3\n\ntime,temperature\n"
+    for day in (1, 2, 3):
+        hours = "".join(f"2024-01-{day:02d}T{h:02d}:00,{h}.5,1,2,3,4,5\n" for h in range(24))
+        (tmp_path / f"weather-{day}.csv").write_text(lines + hours)
+    rows = tables.read_weather(spark, str(tmp_path))
+    assert rows.count() == 72 and rows.select("time").distinct().count() == 72
+
+
+def test_stage_is_reused_only_when_finished(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    assert tables.stage(spark, path, build).count() == 1
+    assert tables.stage(spark, path, build).count() == 1 and len(built) == 1
+    (tmp_path / "stage" / "_SUCCESS").unlink()
+    assert tables.stage(spark, path, build).count() == 2
+    assert tables.stage(spark, path, build, reuse=False).count() == 3
+
+
+def test_share_of_each_batterys_own_capacity(spark):
+    ts = dt.datetime(2024, 1, 1, 5)
+    df = spark.createDataFrame(
+        [("a", ts, 50.0, 100.0), ("b", ts, 20.0, 40.0)], "scenario_id string, time_stamp timestamp_ntz, soc_mwh double, capacity_mwh double"
+    )
+    got = {r.scenario_id: r.average_soc_percentage for r in reports.month_hour_profile(df, ["scenario_id"]).collect()}
+    assert got == {"a": 50.0, "b": 50.0}
+
+
+def test_folds_do_not_share_an_instant(spark):
+    ts = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=h) for h in range(24)]
+    df = spark.createDataFrame(
+        [(s, t, float(i), float(i)) for i, t in enumerate(ts) for s in ("a", "b", "c")], "s string, time_stamp timestamp_ntz, x double, y double"
+    )
+    _, table = md.random_search(df, ["x"], "y", "time_stamp", Search(draws=1, splits=3, grid={"maxIter": [1], "maxDepth": [2]}))
+    assert table.count() == 3
+
+
+def test_profile_of_times_and_words(spark):
+    ts = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(ts, "a", 1.0), (None, None, 2.0), (ts + dt.timedelta(days=3), "b", None)], "t timestamp_ntz, w string, v double")
+    got = {r.column: r for r in reports.column_overview(df).collect()}
+    assert (got["t"].first, got["t"].last) == ("2024-01-01 00:00:00", "2024-01-04 00:00:00")
+    assert {c: r.nulls for c, r in got.items()} == {"t": 1, "w": 1, "v": 1} and got["w"].distinct == 2

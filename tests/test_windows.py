@@ -107,6 +107,12 @@ def test_exact_quantiles_with_copies(spark):
         assert got[name] == pytest.approx(np.quantile(v, q), abs=1e-12)
 
 
+def test_exact_quantiles_ranked_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("tidewatt.operators.quantiles.FIT", 100)
+    test_exact_quantiles_with_copies(spark)
+    test_exact_quantiles_of_tiny_groups(spark)
+
+
 def test_exact_quantiles_of_tiny_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 2.0), ("c", None)], "k string, v double")
     got = {r.k: r.m for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()}

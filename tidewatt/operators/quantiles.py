@@ -2,84 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.operators.blocks import running
 from tidewatt.operators.positions import number_rows
 from tidewatt.session import attach, durable
 
-# Rank error of the bracketing sketch is 1 / ACCURACY.
-ACCURACY = 2_000
-# Groups up to this size need no bracket: their sketch would err by few rows.
-SMALL = 10 * ACCURACY
+# Distinct values of a group that one task ranks; larger groups are ranked in blocks.
+FIT = 100_000
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """One row per key with linearly interpolated quantiles, nulls left out.
 
-    A bounded sketch brackets each wanted rank.  Rows outside every bracket are
-    only counted; rows inside are reduced to (value, count) pairs, so a value
-    shared by a third of the table is one row.  The pairs are then ranked with
-    block-wise running counts, and the two neighbours of each rank are taken.
+    Rows are first reduced to (value, count) pairs, so a value shared by a third of
+    the table is one row.  The pairs of a key are ranked by one window where they
+    fit a task, and otherwise by range-partitioned numbering and block-wise running
+    counts; both are exact for any size.
     """
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, quantiles).drop("_all")
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    names = list(quantiles)
-    # Sketch ranks err by at most n / ACCURACY each; three units leave a margin.
-    margin = 3.0 / ACCURACY
-    points = [max(0.0, q - margin) for q in quantiles.values()] + [min(1.0, q + margin) for q in quantiles.values()]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", points, ACCURACY).alias("_cuts"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-    )
-    m = len(names)
-    brackets = durable(
-        sketch.select(
-            *keys,
-            "_n",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(name).alias("_q"),
-                            F.lit(float(quantiles[name])).alias("_p"),
-                            F.when((F.lit(points[i]) <= 0) | (F.col("_n") <= SMALL), F.col("_min")).otherwise(F.col("_cuts")[i]).alias("_lo"),
-                            F.when((F.lit(points[m + i]) >= 1) | (F.col("_n") <= SMALL), F.col("_max")).otherwise(F.col("_cuts")[m + i]).alias("_hi"),
-                        )
-                        for i, name in enumerate(names)
-                    ]
-                )
-            ).alias("_b"),
-        ).select(*keys, "_n", "_b.*")
-    )
-    spans = brackets.groupBy(*keys).agg(F.collect_list(F.struct("_q", "_lo", "_hi")).alias("_spans"))
-    # Below a bracket all rows fold into one count; inside, one row per value.
-    placed = (
-        attach(rows, spans, keys, "inner")
-        .withColumn("_s", F.explode("_spans"))
-        .filter(F.col("_v") <= F.col("_s._hi"))
-        .select(*keys, F.col("_s._q").alias("_q"), F.when(F.col("_v") >= F.col("_s._lo"), F.col("_v")).alias("_v"))
-        .groupBy(*keys, "_q", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    return _pick(placed, brackets, keys, names)
+    pairs = durable(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_n"))
+    if (sizes.agg(F.max("_d")).first()[0] or 0) <= FIT:
+        key = Window.partitionBy(*keys)
+        ranked = pairs.withColumns({"_upto": F.sum("_c").over(key.orderBy("_v")), "_n": F.sum("_c").over(key)})
+    else:
+        numbered = number_rows(pairs, keys, ["_v"], "_i")
+        ranked = attach(running(numbered, keys, {"_upto": ("sum", "_c")}, "_i"), sizes.drop("_d"), keys, "inner")
+    start = F.col("_upto") - F.col("_c")
 
+    def at(rank: Column) -> Column:
+        return F.max(F.when((start <= rank) & (rank < F.col("_upto")), F.col("_v")))
 
-def _pick(placed: DataFrame, brackets: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    numbered = number_rows(placed, [*keys, "_q"], ["_v"], "_i")
-    ranked = running(numbered, [*keys, "_q"], {"_upto": ("sum", "_c")}, "_i")
-    target = F.col("_p") * (F.col("_n") - 1)
-    low, high = F.floor(target), F.ceil(target)
-    start = F.col("_upto") - F.col("_c")
-    holds = lambda rank: (start <= rank) & (rank < F.col("_upto"))
-    ends = attach(ranked, brackets, [*keys, "_q"], "inner").groupBy(*keys, "_q").agg(
-        F.max(F.when(holds(low), F.col("_v"))).alias("_a"),
-        F.max(F.when(holds(high), F.col("_v"))).alias("_z"),
-        F.max(target - low).alias("_w"),
-    )
-    value = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")
-    value = F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit("rank outside its bracket")))
-    return ends.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, value)).alias(n) for n in names])
+    columns = []
+    for name, p in quantiles.items():
+        target = F.lit(float(p)) * (F.col("_n") - 1)
+        low, high = at(F.floor(target)), at(F.ceil(target))
+        columns.append((low + (high - low) * F.max(target - F.floor(target))).alias(name))
+    return ranked.groupBy(*keys).agg(*columns)

@@ -208,15 +208,16 @@ def median_spread(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def month_hour_profile(
-    df: DataFrame, keys: list[str], value: str = "soc_mwh", capacity: float = 100.0, ts: str = "time_stamp"
+    df: DataFrame, keys: list[str], value: str = "soc_mwh", capacity: str = "capacity_mwh", ts: str = "time_stamp"
 ) -> DataFrame:
-    """Level statistics per month and hour of day."""
+    """Level statistics per month and hour of day, and the mean share of each row's own capacity."""
     rows = df.select(
         *keys,
         F.month(ts).alias("month_number"),
         F.date_format(ts, "MMM").alias("month_label"),
         F.hour(ts).alias("hour"),
         F.col(value).cast("double").alias("_v"),
+        F.col(capacity).cast("double").alias("_cap"),
     ).na.drop(subset=["month_number", "_v"])
     by = [*keys, "month_number", "month_label", "hour"]
     stats = rows.groupBy(*by).agg(
@@ -224,13 +225,14 @@ def month_hour_profile(
         F.min("_v").alias("minimum_soc_mwh"),
         F.max("_v").alias("maximum_soc_mwh"),
         F.count(F.lit(1)).alias("observations"),
+        F.avg(F.col("_v") / F.col("_cap") * 100).alias("average_soc_percentage"),
     )
     medians = exact_quantiles(rows, by, "_v", {"median_soc_mwh": 0.5})
-    return stats.join(medians, by).withColumn("average_soc_percentage", F.col("average_soc_mwh") / capacity * 100)
+    return stats.join(medians, by)
 
 
 def month_hour_grid(profile: DataFrame, keys: list[str], value: str = "average_soc_mwh") -> DataFrame:
-    """One row per month with 24 hour columns; hours without data stay null."""
+    """One row per month with 24 hour columns of ``value`` (mean, share or count); hours without data stay null."""
     return profile.groupBy(*keys, "month_number", "month_label").agg(
         *[F.max(F.when(F.col("hour") == h, F.col(value))).alias(f"h{h:02d}") for h in range(24)]
     )
@@ -429,6 +431,27 @@ def table_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.join(quartiles, "column", "left")
 
 
+def column_overview(df: DataFrame) -> DataFrame:
+    """Rows, nulls, distinct values and range (as text) of every column, in one pass per column kind."""
+    whole = df.agg(*[
+        F.struct(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col(c).isNull()).alias("nulls"),
+            F.count_distinct(F.col(c)).alias("distinct"),
+            F.min(F.col(c)).cast("string").alias("first"),
+            F.max(F.col(c)).cast("string").alias("last"),
+        ).alias(c)
+        for c in df.columns
+    ])
+    named = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("of")) for c in df.columns])
+    return whole.select(F.explode(named).alias("_r")).select("_r.column", "_r.of.*")
+
+
+def earliest_slots(profile: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of a month-by-hour profile, in order of month and hour."""
+    return profile.orderBy("month_number", "hour", *keys).limit(n)
+
+
 def environment_scaling(df: DataFrame, keys: list[str], battery_columns: bool = True) -> DataFrame:
     """Forecast context on a common scale: z-scores, scaled volatility and level.
 

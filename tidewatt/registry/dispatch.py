@@ -159,7 +159,8 @@ by_interval AS (
          sum(realized_revenue) AS total_profit_usd, abs(min(cumulative_profit - peak)) AS maximum_drawdown_usd,
          CASE WHEN sum(CASE WHEN realized_revenue < 0 THEN realized_revenue ELSE 0 END) < 0
               THEN sum(CASE WHEN realized_revenue > 0 THEN realized_revenue ELSE 0 END)
-                   / -sum(CASE WHEN realized_revenue < 0 THEN realized_revenue ELSE 0 END) END AS profit_factor,
+                   / -sum(CASE WHEN realized_revenue < 0 THEN realized_revenue ELSE 0 END)
+              WHEN sum(CASE WHEN realized_revenue > 0 THEN realized_revenue ELSE 0 END) > 0 THEN 'inf'::DOUBLE END AS profit_factor,
          sum(charge_mw * 0.25) AS total_charged_mwh, sum(discharge_mw * 0.25) AS total_discharged_mwh,
          sum((charge_mw + discharge_mw) * 0.25) AS total_throughput_mwh,
          sum(discharge_mw * 0.25) / any_value(cap) AS equivalent_full_cycles,
@@ -330,7 +331,8 @@ def capture_ladder(spark, folder):
     FROM dispatch d JOIN chosen c ON d.series_id = c.series_id AND d.scenario_id = c.scenario_id AND d.time_stamp::DATE = c.date""",
 )
 def best_day(spark, folder):
-    rows = reports.best_day(durable(_rules(spark, folder)), OUT)
+    kept = _rules(spark, folder).select(*OUT, "time_stamp", "charge_mw", "discharge_mw", "realized_revenue")
+    rows = reports.best_day(durable(kept), OUT)
     rows = rows.withColumn("net_dispatch_mw", F.col("discharge_mw") - F.col("charge_mw"))
     return rounded(rows.select(*OUT, "time_stamp", "selected_date", "net_dispatch_mw", "realized_revenue"))
 
@@ -367,7 +369,7 @@ stats AS (
            {r('intervals / sum(intervals) OVER (PARTITION BY series_id, scenario_id) * 100', 'action_percentage')} FROM stats""",
 )
 def action_price_summary(spark, folder):
-    log = durable(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS))
+    log = durable(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS).select(*OUT, "predicted", "action"))
     return rounded(reports.action_price_summary(log, OUT, "predicted", "action"))
 
 
@@ -381,20 +383,25 @@ def action_price_summary(spark, folder):
     FROM stats GROUP BY 1, 2""",
 )
 def median_spread(spark, folder):
-    log = durable(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS))
+    log = durable(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS).select(*OUT, "predicted", "action"))
     return rounded(reports.median_spread(reports.action_price_summary(log, OUT, "predicted", "action"), OUT))
 
 
+def _levels(spark, folder) -> DataFrame:
+    """Only what the level reports read, written once: quantiles read their input twice."""
+    return durable(_rules(spark, folder).select(*OUT, "time_stamp", "soc_mwh", "capacity_mwh"))
+
+
 @query(
     "month_hour_profile",
     f"""{RULES_SQL}
     SELECT scenario_id, month(time_stamp)::INT AS month_number, strftime(time_stamp, '%b') AS month_label, hour(time_stamp)::INT AS hour,
            {r('avg(soc_mwh)', 'average_soc_mwh')}, {r('median(soc_mwh)', 'median_soc_mwh')}, {r('min(soc_mwh)', 'minimum_soc_mwh')},
-           {r('max(soc_mwh)', 'maximum_soc_mwh')}, count(*) AS observations, {r('avg(soc_mwh)', 'average_soc_percentage')}
+           {r('max(soc_mwh)', 'maximum_soc_mwh')}, count(*) AS observations, {r('avg(soc_mwh / cap * 100)', 'average_soc_percentage')}
     FROM dispatch GROUP BY 1, 2, 3, 4""",
 )
 def month_hour_profile(spark, folder):
-    return rounded(reports.month_hour_profile(durable(_rules(spark, folder)), ["scenario_id"]))
+    return rounded(reports.month_hour_profile(_levels(spark, folder), ["scenario_id"]))
 
 
 @query(
@@ -405,10 +412,45 @@ def month_hour_profile(spark, folder):
     FROM dispatch GROUP BY 1, 2, 3, 4""",
 )
 def month_hour_grid(spark, folder):
-    profile = reports.month_hour_profile(durable(_rules(spark, folder)), OUT)
+    profile = reports.month_hour_profile(_levels(spark, folder), OUT)
     return rounded(reports.month_hour_grid(profile, OUT))
 
 
+@query(
+    "month_hour_grids",
+    f"""{RULES_SQL},
+    long AS (
+      SELECT series_id, scenario_id, month(time_stamp)::INT AS month_number, hour(time_stamp) AS hour, unnest([
+        {{'grid': 'share', 'v': avg(soc_mwh / cap * 100)}}, {{'grid': 'count', 'v': count(*)::DOUBLE}}]) AS x
+      FROM dispatch GROUP BY 1, 2, 3, 4)
+    SELECT series_id, scenario_id, month_number, x.grid AS grid,
+           {", ".join(r(f"max(x.v) FILTER (hour = {h})", f"h{h:02d}") for h in range(24))}
+    FROM long GROUP BY 1, 2, 3, 4""",
+)
+def month_hour_grids(spark, folder):
+    """Share of capacity and number of rows per month and hour."""
+    profile = durable(reports.month_hour_profile(_levels(spark, folder), OUT))
+    kinds = {"share": "average_soc_percentage", "count": "observations"}
+    grids = [
+        reports.month_hour_grid(profile.withColumn("_x", F.col(c).cast("double")), OUT, "_x").withColumn("grid", F.lit(g))
+        for g, c in kinds.items()
+    ]
+    return rounded(grids[0].unionByName(grids[1]).drop("month_label"))
+
+
+@query(
+    "earliest_slots",
+    f"""{RULES_SQL}
+    SELECT scenario_id, month(time_stamp)::INT AS month_number, hour(time_stamp)::INT AS hour, {r('avg(soc_mwh)', 'average_soc_mwh')}
+    FROM dispatch GROUP BY 1, 2, 3 ORDER BY month_number, hour, scenario_id LIMIT 10""",
+)
+def earliest_slots(spark, folder):
+    """Head of the profile sorted by month and hour."""
+    profile = reports.month_hour_profile(_levels(spark, folder), ["scenario_id"])
+    rows = reports.earliest_slots(profile, ["scenario_id"], 10)
+    return rounded(rows.select("scenario_id", "month_number", "hour", "average_soc_mwh"))
+
+
 @query(
     "hourly_extremes",
     f"""{RULES_SQL},

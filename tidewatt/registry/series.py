@@ -121,9 +121,11 @@ def weather_scan(spark, folder):
         [("latitude", "longitude"), ("29.7", "-95.3"), (None, None), tuple(names[:2])], "a string, b string"
     ).select(F.col("a").alias("time"), F.col("b").alias("temperature"), *[F.lit(None).cast("string").alias(c) for c in _ALL_WEATHER[1:]])
     path = scratch(spark, "weather")
-    # One line per hour of the calendar: a single file, as the source delivers it.
-    preamble.unionByName(hourly).coalesce(1).write.csv(path)
-    return rounded(tables.weather_on_grid(tables.read_weather(spark, path), []))
+    # Three files, each with its own preamble, that share out the days.
+    parts = preamble.withColumn("part", F.explode(F.array(*map(F.lit, range(3)))))
+    days = hourly.withColumn("part", F.substring("time", 9, 2).cast("int") % 3)
+    parts.unionByName(days).write.partitionBy("part").csv(path)
+    return rounded(tables.weather_on_grid(tables.read_weather(spark, f"{path}/part=*"), []))
 
 
 @query(
@@ -319,6 +321,26 @@ def table_profile(spark, folder):
     return rounded(reports.table_profile(table(spark, folder, "lineitem"), _PROFILED))
 
 
+@query(
+    "column_overview",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS "distinct",
+            min({c})::VARCHAR AS "first", max({c})::VARCHAR AS "last" FROM orders"""
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    ),
+)
+def column_overview(spark, folder):
+    """Range, nulls and distinct values of columns of any kind, time among them."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    return reports.column_overview(orders)
+
+
+@query("distinct_days", "SELECT DISTINCT (user_id // 100) || '-' || event_type AS series_id, ts::DATE AS date FROM events")
+def distinct_days(spark, folder):
+    """The days that every series has readings of."""
+    return fx.readings(spark, folder).select("series_id", F.to_date("ts").alias("date")).distinct()
+
+
 @query(
     "keep_last_reading",
     f"""WITH {fx.READINGS_SQL}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -114,14 +113,11 @@ def load_on_grid(raw: DataFrame, keys: list[str], shift_minutes: int = 45, secon
 
 
 def read_weather(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Hourly weather of the first file by name; lines before the data drop out."""
+    """Hourly weather of all files; the lines before the data drop out of each."""
     names = ["time", *WEATHER_HEADINGS]
     schema = StructType([StructField(n, StringType()) for n in names])
-    files = spark.read.schema(schema).csv(paths)
-    first = files.select(F.min("_metadata.file_path")).first()[0]
-    rows = spark.read.schema(schema).csv(first)
     # Preamble and heading lines have no timestamp in the first column.
-    return rows.filter(parse_mixed("time").isNotNull())
+    return spark.read.schema(schema).csv(paths).filter(parse_mixed("time").isNotNull())
 
 
 def weather_on_grid(
@@ -148,9 +144,8 @@ def write_by_series_year(df: DataFrame, path: str, ts: str = "time_stamp") -> No
     series would make millions of tiny files.
     """
     with_year = df.withColumn("year", F.year(ts))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        with_year.repartitionByRange(parts, "year", "series_id", ts)
+        with_year.repartitionByRange("year", "series_id", ts)
         .sortWithinPartitions("year", "series_id", ts)
         .write.mode("overwrite")
         .partitionBy("year")
@@ -168,12 +163,13 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
-    """A written stage table: read when present and allowed, else built first."""
-    if reuse:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() not in {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}:
-                raise
-    write_parquet(build(), path)
+    """A written stage table: read when its write was finished and reuse is allowed, else built first."""
+    if not (reuse and finished(spark, path)):
+        write_parquet(build(), path)
     return spark.read.parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has committed: its success mark is there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)
