@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.functions.scalars import iso_text, ratio
 from tidewatt.operators.blocks import running
+from tidewatt.session import attach, durable
 from tidewatt.settings import BLOCK_ROWS
 
 # Power above this many MW counts as activity.
@@ -81,10 +82,26 @@ def daily_rollup(df: DataFrame, keys: list[str], ts: str = "time_stamp") -> Data
 def drawdown(
     df: DataFrame, keys: list[str], profit: str, pos: str, cumulative: str = "cumulative_profit", size: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Running profit, its running peak (from the first value on) and the gap."""
-    rows = running(df, keys, {cumulative: ("sum", profit)}, pos, size)
-    rows = running(rows, keys, {"running_peak": ("max", cumulative)}, pos, size)
-    return rows.withColumn("drawdown", F.col(cumulative) - F.col("running_peak"))
+    """Running profit, its running peak (from the first value on) and the gap, in one pass over the rows.
+
+    Blocks are accumulated on their own and written; their totals and inner peaks
+    make a small table whose running values then lift every row of a block.
+    """
+    block = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    inside = df.withColumn("_b", F.floor(F.col(pos) / size)).withColumn("_sum", F.sum(profit).over(block))
+    inside = durable(inside.withColumn("_top", F.max("_sum").over(block)))
+    blocks = inside.groupBy(*keys, "_b").agg(F.sum(profit).alias("_total"), F.max("_sum").alias("_peak"))
+    carried = running(blocks, keys, {"_carry": ("sum", "_total")}, "_b", size, depth=1, inclusive=False)
+    lifted = carried.withColumn("_peak", F.col("_peak") + F.coalesce("_carry", F.lit(0.0)))
+    before = running(lifted, keys, {"_before": ("max", "_peak")}, "_b", size, depth=1, inclusive=False)
+    base = F.coalesce("_carry", F.lit(0.0))
+    rows = attach(inside, before.select(*keys, "_b", "_carry", "_before"), [*keys, "_b"])
+    return (
+        rows.withColumn(cumulative, F.coalesce(F.col("_sum") + base, F.col("_carry")))
+        .withColumn("running_peak", F.greatest(F.col("_top") + base, "_before"))
+        .withColumn("drawdown", F.col(cumulative) - F.col("running_peak"))
+        .drop("_b", "_sum", "_top", "_carry", "_before")
+    )
 
 
 def daily_table(df: DataFrame, keys: list[str]) -> DataFrame:

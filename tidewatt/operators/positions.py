@@ -37,14 +37,12 @@ def number_rows(
     range; with ``copies`` they are spread too, by a random last sort key that
     is written down first, so that a repeated task sees the same values.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [*keys, *order]
     if copies:
         df = durable(df.withColumn("_tie", F.rand(42)))
         sort.append("_tie")
     local = durable(
-        df.repartitionByRange(parts, *sort)
+        df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id())

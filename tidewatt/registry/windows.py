@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tidewatt.operators.blocks import running
 from tidewatt.operators.metrics import drawdown
-from tidewatt.operators.positions import number_rows
+from tidewatt.operators.positions import number_rows, slot_position
+from tidewatt.operators.resample import fill_forward
 from tidewatt.operators.rolling import look_ahead
 from tidewatt.plans import features as ft, reports
 from tidewatt.plans.rules import market_context, threshold_signal, with_thresholds
 from tidewatt.registry import fixtures as fx
-from tidewatt.registry.base import query, r, rounded, table
+from tidewatt.registry.base import ORACLES, query, r, rounded, table
 from tidewatt.settings import LOAD_STEPS, LOAD_WINDOWS, PRICE_LAGS, PRICE_WINDOWS, WEATHER_STEPS, Battery, with_scenarios
 
 W = "PARTITION BY series_id ORDER BY time_stamp"
@@ -190,7 +191,10 @@ def threshold_signals(spark, folder):
     FROM price_grid WINDOW w AS ({W} ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)""",
 )
 def ahead(spark, folder):
-    rows = look_ahead(fx.price_grid(spark, folder), fx.SERIES, "price", 16)
+    return _ahead(look_ahead(fx.price_grid(spark, folder), fx.SERIES, "price", 16))
+
+
+def _ahead(rows):
     return rounded(
         rows.select(
             *ID,
@@ -201,6 +205,33 @@ def ahead(spark, folder):
     )
 
 
+#: Blocks so short that every series of the tables crosses many of their edges.
+EDGE = 700
+
+
+@query("price_features_across_blocks", ORACLES["price_features"])
+def price_features_across_blocks(spark, folder):
+    rows = ft.price_features(fx.price_grid(spark, folder), fx.SERIES, size=EDGE)
+    return rounded(rows.select(*ID, *PRICE_SQL))
+
+
+@query("threshold_signals_across_blocks", ORACLES["threshold_signals"])
+def threshold_signals_across_blocks(spark, folder):
+    rows = with_thresholds(fx.forecast(spark, folder), fx.SERIES, size=EDGE).withColumn("request", threshold_signal())
+    return rounded(rows.select(*ID, "lower_threshold", "upper_threshold", "request"))
+
+
+@query("look_ahead_across_blocks", ORACLES["look_ahead"])
+def look_ahead_across_blocks(spark, folder):
+    return _ahead(look_ahead(fx.price_grid(spark, folder), fx.SERIES, "price", 16, size=EDGE))
+
+
+@query("price_on_grid_across_blocks", f"WITH {fx.GRID_SQL} SELECT hub, series_id, time_stamp, pos, {r('price')} FROM price_grid")
+def price_on_grid_across_blocks(spark, folder):
+    grid = fill_forward(fx.price_slots(spark, folder), fx.SERIES, size=EDGE)
+    return rounded(grid.withColumn("pos", slot_position("time_stamp")).select("hub", *ID, "pos", "price"))
+
+
 @query(
     "running_drawdown",
     f"""WITH e AS (
@@ -215,7 +246,7 @@ def running_drawdown(spark, folder):
     """One series that holds every row of the table, accumulated in blocks."""
     rows = fx.order_residuals(spark, folder).withColumn("_all", F.lit(1))
     order = ["time_stamp", "l_orderkey", "l_linenumber", "l_partkey", "series_id"]
-    numbered = number_rows(rows, ["_all"], order).select("_all", "pos", "error")
+    numbered = number_rows(rows.select("_all", *order, "error"), ["_all"], order).select("_all", "pos", "error")
     out = drawdown(numbered, ["_all"], "error", "pos")
     return rounded(out.select("pos", "cumulative_profit", "running_peak", "drawdown"), digits=3)
 
