@@ -479,9 +479,9 @@ def _model(rows):
     return out
 
 
-@pytest.mark.parametrize("wave", [128 << 20, 1])
-def test_scores_against_exact_counts(spark, docs, monkeypatch, wave):
-    monkeypatch.setattr(lm_bloom, "WAVE_BYTES", wave)
+@pytest.mark.parametrize("broadcast", [64 << 20, 1])
+def test_scores_against_exact_counts(spark, docs, monkeypatch, broadcast):
+    monkeypatch.setattr(lm_bloom, "BROADCAST_BYTES", broadcast)
     monkeypatch.setattr(lm_bloom, "CHUNK", 5000)
     rows = texts() + [(100 + i, f"some words of text {i} and {i % 5} more of text") for i in range(80)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -3,9 +3,9 @@
 A bigram with count c is stored at levels 1 to 1 + floor(log2 c); a probe asks level
 after level until one is missing, which gives the count's power of two, never too
 small.  The filter is cut into slots by bigram hash; slots are built independently
-and grow in number with the corpus.  Workers get them by broadcast, in waves of at
-most ``WAVE_BYTES``, so no broadcast outgrows that bound; a wave scores the tokens
-whose bigram lies in its slots and the waves' sums are added.
+and grow in number with the corpus.  Workers get the filter by broadcast while it is
+at most ``BROADCAST_BYTES``; a larger one stays in its slots, and the chunks' probes
+travel to the slots and their answers back, with the same scores.
 
 Word counts are exact.  A chunk of documents is coded once: word hashes, counts and
 document tokens as numbers into the chunk's sorted hashes.  Only packed hashes and
@@ -20,14 +20,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatt.llm.common import id_remainder, identified
@@ -38,8 +36,8 @@ CHUNK = 1 << 20
 SLOT_BYTES = 16 << 20
 #: Filter bits for each stored level, and probes for each.
 BITS, PROBES = 8, 4
-#: The largest broadcast.
-WAVE_BYTES = 64 << 20
+#: The largest filter that is broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Weight of the word distribution against a context's own count.
 MU = 200.0
 _LEVELS = 64
@@ -47,7 +45,7 @@ _SEED = 42
 #: Stand-ins for the end of a document and for what precedes its first token.
 _END = np.uint64(0x0123456789ABCDEF)
 _START = np.uint64(0xFEDCBA9876543210)
-_ENCODED = "chunk long, slot int, doc_id long, held_out boolean, n long, data binary, counts binary"
+_ENCODED = "chunk long, slot int, place int, doc_id long, held_out boolean, n long, data binary, counts binary"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -122,12 +120,12 @@ def _encoder(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         chunk = TaskContext.get().partitionId() << 32
         for docs, words, tokens, starts in _chunks(batches):
             rows = []
-            for (doc_id, held, n), at in zip(docs, starts.tolist(), strict=True):
-                rows.append((chunk, None, doc_id, held, n, zlib.compress(tokens[at : at + n].tobytes(), 1), None))
+            for i, ((doc_id, held, n), at) in enumerate(zip(docs, starts.tolist(), strict=True)):
+                rows.append((chunk, None, i, doc_id, held, n, zlib.compress(tokens[at : at + n].tobytes(), 1), None))
             train = np.repeat([not d[1] for d in docs], [d[2] for d in docs])
             counts = np.bincount(tokens[train], minlength=len(words)).astype(np.int64)
             for s, part in _by_slot(words, bits):
-                rows.append((chunk, s, None, None, None, words[part].tobytes(), counts[part].tobytes()))
+                rows.append((chunk, s, None, None, None, None, words[part].tobytes(), counts[part].tobytes()))
             yield _record(rows, _ENCODED)
             chunk += 1
 
@@ -194,8 +192,8 @@ def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["chunk", "slot", "data"]].assign(totals=back, tokens=said, distinct=seen)
 
 
-class _Wave:
-    """Some slots of the filter, laid one after the other."""
+class _Filter:
+    """Slots of the filter, laid one after the other."""
 
     def __init__(self, slots: list[tuple[int, int, bytes]], bits: int) -> None:
         self.bits = bits
@@ -205,66 +203,105 @@ class _Wave:
         for s, size, data in slots:
             self.size[s], self.offset[s] = size, at
             at += len(data)
-        self.filter = np.frombuffer(b"".join(d for _, _, d in slots), np.uint8)
-
-    def levels(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a bigram's slot is here, and the highest level found."""
-        slot = _slot(hashes, self.bits)
-        here = self.size[slot] > 0
-        level = np.zeros(len(hashes), np.int64)
-        rows = np.flatnonzero(here)
-        low = (hashes[rows] >> np.uint64(24 - self.bits)) & np.uint64((1 << 40) - 1)
-        size, offset = self.size[slot[rows]].astype(np.uint64), self.offset[slot[rows]]
+        self.data = np.frombuffer(b"".join(d for _, _, d in slots), np.uint8)
+
+    def levels(self, slot: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The highest level found for each bigram; 0 where there is none."""
+        level = np.zeros(len(low), np.uint8)
+        rows = np.flatnonzero(self.size[slot] > 0)
+        low, slot = low[rows], slot[rows]
+        size, offset = self.size[slot].astype(np.uint64), self.offset[slot]
         for n in range(1, _LEVELS):
             if not len(rows):
                 break
             alive = np.ones(len(rows), bool)
             for place in _places(low, n, size):
-                byte = self.filter[offset + (place >> np.uint64(3)).astype(np.int64)]
+                byte = self.data[offset + (place >> np.uint64(3)).astype(np.int64)]
                 alive &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             rows, low, size, offset = rows[alive], low[alive], size[alive], offset[alive]
             level[rows] = n
-        return here, level
+        return level
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, chunk long, row long"
+class _Chunk:
+    """A chunk's documents as one row of tokens, with the words' hashes and counts over all chunks."""
 
-
-def _scorer(
-    wave: Broadcast, empty: frozenset[int], first: bool, tokens: int, distinct: int
-) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Scores of one chunk's documents over the tokens whose bigrams are in the wave.
-
-    Bigrams of slots without any stored one (``empty``) count as absent, in the first wave.
-    """
-
-    def score(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, docs: pd.DataFrame, words: pd.DataFrame) -> None:
         words = words.sort_values("slot")
-        hashes = np.concatenate([np.frombuffer(d, np.uint64) for d in words["data"]])
-        count = np.concatenate([np.frombuffer(zlib.decompress(d), np.int64) for d in words["totals"]]).astype(float)
-        parts = [np.frombuffer(zlib.decompress(d), np.int32) for d in docs["data"]]
-        token = np.concatenate(parts)
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-        c = count[token]
+        self.docs = docs.sort_values("place", ignore_index=True)
+        self.hashes = np.concatenate([np.frombuffer(d, np.uint64) for d in words["data"]])
+        self.count = np.concatenate([np.frombuffer(zlib.decompress(d), np.int64) for d in words["totals"]]).astype(float)
+        parts = [np.frombuffer(zlib.decompress(d), np.int32) for d in self.docs["data"]]
+        self.token = np.concatenate(parts)
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+
+    def bigrams(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slot and low bits of every token's bigram."""
+        hashes = _bigrams(self.hashes[self.token], self.starts)
+        return _slot(hashes, bits), (hashes >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
+
+    def scores(self, level: np.ndarray, tokens: int, distinct: int) -> pd.DataFrame:
+        c = self.count[self.token]
         single = (c + 1) / (tokens + distinct + 1)
         before = np.empty_like(c)
         before[1:] = c[:-1]
-        before[starts] = count[np.searchsorted(hashes, _END)]  # as many documents start as end
-        bigram = _bigrams(hashes[token], starts)
-        here, level = wave.value.levels(bigram)
-        if first and empty:
-            here |= np.isin(_slot(bigram, wave.value.bits), list(empty))
-        seen = np.where(level > 0, np.minimum(2.0 ** (level - 1), before), 0.0)
-        part = np.where(here, np.log10((seen + MU * single) / (before + MU)), 0.0)
+        before[self.starts] = self.count[np.searchsorted(self.hashes, _END)]  # as many documents start as end
+        seen = np.where(level > 0, np.minimum(2.0 ** (level.astype(float) - 1), before), 0.0)
         return pd.DataFrame({
-            "doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held_out"].to_numpy(),
-            "n_tokens": docs["n"].to_numpy() * first,
-            "n_known": np.add.reduceat((c > 0).astype(np.int64), starts) * first,
-            "base_score": np.add.reduceat(np.log10(single), starts) * first,
-            "score": np.add.reduceat(part, starts), "chunk": key[0], "row": np.arange(len(docs)),
+            "doc_id": self.docs["doc_id"], "held_out": self.docs["held_out"], "n_tokens": self.docs["n"],
+            "n_known": np.add.reduceat((c > 0).astype(np.int64), self.starts),
+            "base_score": np.add.reduceat(np.log10(single), self.starts),
+            "score": np.add.reduceat(np.log10((seen + MU * single) / (before + MU)), self.starts),
         })
 
-    return score
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _by_broadcast(texts: DataFrame, words: DataFrame, filters: DataFrame, bits: int, n: tuple[int, int]) -> DataFrame:
+    """Every chunk probes the whole filter, at most ``BROADCAST_BYTES``."""
+    slots = [(r[0], r[1], bytes(r[2])) for r in filters.select("slot", "size", "bits").collect()]
+    sent = texts.sparkSession.sparkContext.broadcast(_Filter(slots, bits))
+
+    def score(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        chunk = _Chunk(docs, known)
+        return chunk.scores(sent.value.levels(*chunk.bigrams(bits)), *n)
+
+    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(score, _SCORED)
+
+
+def _by_slot_exchange(texts: DataFrame, words: DataFrame, filters: DataFrame, bits: int, n: tuple[int, int]) -> DataFrame:
+    """The chunks' probes go to the filter's slots, and the levels found come back."""
+    schema = "chunk long, slot int, data binary"
+
+    def ask(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        slot, low = _Chunk(docs, known).bigrams(bits)
+        order = np.argsort(slot, kind="stable")
+        asked, first = np.unique(slot[order], return_index=True)
+        parts = [p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for p in np.split(low[order], first[1:])]
+        return pd.DataFrame({"chunk": docs["chunk"].iloc[0], "slot": asked, "data": parts})
+
+    def answer(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = _Filter([(int(r.slot), int(r.size_), bytes(r.bits)) for r in held.itertuples()], bits)
+        slots = probes["slot"].astype(np.int64)
+        levels = [zlib.compress(found.levels(np.full(len(d) // 5, s), _five(d)).tobytes(), 1) for s, d in zip(slots, probes["data"], strict=True)]
+        return probes[["chunk", "slot"]].assign(data=levels)
+
+    def score(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        answers = known[known["totals"].isna()]
+        chunk = _Chunk(docs, known[known["totals"].notna()])
+        slot, _ = chunk.bigrams(bits)
+        level = np.empty(len(slot), np.uint8)
+        level[np.argsort(slot, kind="stable")] = np.concatenate(
+            [np.frombuffer(zlib.decompress(d), np.uint8) for d in answers.sort_values("slot")["data"]]
+        )
+        return chunk.scores(level, *n)
+
+    probes = texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(ask, schema)
+    held = filters.withColumnRenamed("size", "size_").groupBy("slot")
+    levels = durable(probes.groupBy("slot").cogroup(held).applyInPandas(answer, schema))
+    both = words.unionByName(levels.withColumn("totals", F.lit(None).cast("binary")))
+    return texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(score, _SCORED)
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
@@ -291,28 +328,11 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     built = bigrams.groupBy("slot").applyInPandas(_build, "slot int, size long, stored long, bits binary")
     filters = durable(built)
 
-    texts = encoded.where("slot IS NULL").select("chunk", "doc_id", "held_out", "n", "data")
-    by_chunk = words.select("chunk", "slot", "data", "totals").groupBy("chunk")
-    waves, sizes = [[]], dict(filters.select("slot", F.octet_length("bits")).collect())  # a number for each slot
-    for s in sorted(sizes):
-        if waves[-1] and sum(sizes[x] for x in waves[-1]) + sizes[s] > WAVE_BYTES:
-            waves.append([])
-        waves[-1].append(s)
-    empty = frozenset(range(1 << bits)) - sizes.keys()
-    scored = []
-    for i, wave in enumerate(waves):
-        held_slots = [(r[0], r[1], bytes(r[2])) for r in filters.where(F.col("slot").isin(wave)).select("slot", "size", "bits").collect()]
-        sent = spark.sparkContext.broadcast(_Wave(held_slots, bits))
-        score = _scorer(sent, empty, i == 0, tokens, distinct)
-        scored.append(texts.groupBy("chunk").cogroup(by_chunk).applyInPandas(score, _SCORED))
-        if len(waves) > 1:
-            scored[-1] = durable(scored[-1])
-            sent.unpersist()
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-    if len(scored) > 1:
-        total = reduce(DataFrame.unionByName, scored).groupBy("chunk", "row", "doc_id", "held_out").agg(*sums)
-    else:
-        total = scored[0]
-    return total.select(
+    texts = encoded.where("slot IS NULL").select("chunk", "place", "doc_id", "held_out", "n", "data")
+    words = words.select("chunk", "slot", "data", "totals")
+    size = filters.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    way = _by_broadcast if size <= BROADCAST_BYTES else _by_slot_exchange
+    scored = way(texts, words, filters, bits, (tokens, distinct))
+    return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
