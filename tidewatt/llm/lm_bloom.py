@@ -173,8 +173,10 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(-(-size // 8), np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for place in _places(low[levels >= level], level, size):
-            np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
-    return pd.DataFrame({"slot": [int(rows["slot"].iloc[0])], "size": [size], "stored": [int(levels.sum())], "bits": [bits.tobytes()]})
+            bit = np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
+            np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), bit)
+    slot, stored = int(rows["slot"].iloc[0]), int(levels.sum())
+    return pd.DataFrame({"slot": [slot], "size": [size], "stored": [stored], "bits": [bits.tobytes()]})
 
 
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
@@ -283,8 +285,10 @@ def _by_slot_exchange(texts: DataFrame, words: DataFrame, filters: DataFrame, bi
 
     def answer(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = _Filter([(int(r.slot), int(r.size_), bytes(r.bits)) for r in held.itertuples()], bits)
-        slots = probes["slot"].astype(np.int64)
-        levels = [zlib.compress(found.levels(np.full(len(d) // 5, s), _five(d)).tobytes(), 1) for s, d in zip(slots, probes["data"], strict=True)]
+        levels = []
+        for s, data in zip(probes["slot"].astype(np.int64), probes["data"], strict=True):
+            low = _five(data)
+            levels.append(zlib.compress(found.levels(np.full(len(low), s), low).tobytes(), 1))
         return probes[["chunk", "slot"]].assign(data=levels)
 
     def score(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:

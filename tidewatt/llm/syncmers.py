@@ -136,10 +136,13 @@ def with_next(docs: DataFrame, rows_per_cell: int = 500_000, cells: int = 64) ->
     before = docs.sparkSession.createDataFrame(list(borrow.items()), "low long, target int") if borrow else None
     if before is None:
         return placed.withColumn("own", F.lit(True))
+    own = F.struct(F.lit(True).alias("own"), F.col("cell"))
+    copy = F.struct(F.lit(False).alias("own"), F.col("target").alias("cell"))
+    homes = F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, copy))
     return (
         placed.join(F.broadcast(before), ids == F.col("low"), "left")
-        .withColumn("target", F.explode(F.when(F.col("target").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), "target"))))
-        .select("doc_id", "text", (F.col("target") < 0).alias("own"), F.when(F.col("target") < 0, F.col("cell")).otherwise(F.col("target")).alias("cell"))
+        .select("doc_id", "text", F.explode(homes).alias("home"))
+        .select("doc_id", "text", "home.own", "home.cell")
         .repartitionById(max(used) + 1, F.col("cell"))
         .sortWithinPartitions(F.desc("own"), F.asc_nulls_first("doc_id"), "text")
     )

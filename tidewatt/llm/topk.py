@@ -103,12 +103,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
     rows, except that a query's id is never its own answer.  Empty in, empty out.
     """
     rows = quantised(vectors).distinct()
-    rows = durable(rows.withColumn("e", F.xxhash64("v")).withColumn("dims", F.size("v")))
-    # Distinct vectors, told apart by hash, then by the vector itself.
-    entries = rows.groupBy("e", "v", "dims").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
-    entries = durable(entries.withColumn("e", F.xxhash64("e", "low")))
+    rows = durable(rows.withColumn("dims", F.size("v")))
+    # One entry for each distinct vector, named by a hash of it and its smallest id.
+    entries = rows.groupBy("v", "dims").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
+    entries = durable(entries.withColumn("e", F.xxhash64("low", "v")))
     counts = entries.agg(F.count("*")).first()[0]
-    asked = rows.where(queries).join(entries.select("e", F.col("v").alias("_v"), "dims").withColumnRenamed("e", "entry").withColumnRenamed("dims", "_d"), (F.col("v") == F.col("_v")) & (F.col("dims") == F.col("_d")))
+    named = entries.select(F.col("e").alias("entry"), F.col("v").alias("_v"))
+    asked = rows.where(queries).join(named, F.col("v") == F.col("_v"))
     asked = durable(asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("q"), "dims", "v"))
     distinct = durable(asked.select("q", "dims", "v").distinct())
     n_queries = distinct.count()
@@ -142,7 +143,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
     )
     safe = known.join(least, "q").withColumn("safe", F.col("sum") + unknown)
     order = Window.partitionBy("q").orderBy(F.desc("safe"), "e")
-    cutoff = safe.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("q", F.col("safe").alias("cutoff"))
+    kth = safe.withColumn("r", F.row_number().over(order)).where(F.col("r") == k)
+    cutoff = kth.select("q", F.col("safe").alias("cutoff"))
     # An entry at the cutoff exceeds the least scores by an equal share in one block at least.
     shares = distinct.join(least, "q").join(cutoff, "q", "left").select(
         "q", "dims", "v", "cutoff", "least",
@@ -168,7 +170,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
 
     # Back to ids: of equal vectors the k + 1 smallest ids, then the k best for each query row.
     by_id = Window.partitionBy("e").orderBy("vec_id")
-    members = rows.drop("e").join(entries.select("e", F.col("v").alias("_v")), F.col("v") == F.col("_v")).select("e", "vec_id").distinct()
+    members = rows.join(named, F.col("v") == F.col("_v")).select(F.col("entry").alias("e"), "vec_id").distinct()
     members = members.withColumn("i", F.row_number().over(by_id)).where(F.col("i") <= k + 1).drop("i")
     # A query needs its k best entries at most, one id each, beyond its own.
     by_entry = Window.partitionBy("q").orderBy(F.desc("score"))
@@ -176,7 +178,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
     answers = asked.select("query_id", "q").distinct().join(near, "q").join(members, "e").where("vec_id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     final = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return final.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    final = final.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return final.select("query_id", "rank", "vec_id", "score")
 
 
 def _empty(vectors: DataFrame) -> DataFrame:

@@ -98,7 +98,10 @@ def decode(observed: str, model: np.ndarray) -> str:
         letters = [(c, 0.0)] if c.isalpha() else [(x, IMITATION) for x in IMITATED.get(c, "")]
         skip = SEPARATION if c in SEPARATORS else None if c.isalpha() or c in IMITATED else 4 * IMITATION
         for (x, y, z), (cost, said) in best.items():
-            moves = [((y, z, s), cost + paid - float(model[x, y, z, s]), said + letter) for letter, paid in letters for s in (_symbol(letter),)]
+            moves = []
+            for letter, paid in letters:
+                s = _symbol(letter)
+                moves.append(((y, z, s), cost + paid - float(model[x, y, z, s]), said + letter))
             repeats = said and (c == said[-1] or said[-1] in IMITATED.get(c, ""))
             left_out = REPEAT if repeats else skip
             if left_out is not None:
@@ -191,7 +194,8 @@ def lexicon(rows: DataFrame, model: np.ndarray) -> Lexicon:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = sorted(_entries(reader.words(text)[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], ["entry", "toxic"])
+                columns = [pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["entry", "toxic"])
 
     n_toxic, n_all = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not n_toxic or n_toxic == n_all:
@@ -222,7 +226,10 @@ def lexicon(rows: DataFrame, model: np.ndarray) -> Lexicon:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, held: int) -> DataFrame:
-    """(text, toxic) of at most ``TRAIN_ROWS`` labelled ids outside the held-out rows; an id with several labels is toxic if one is."""
+    """(text, toxic) of at most ``TRAIN_ROWS`` labelled ids outside the held-out rows.
+
+    An id with several labels is toxic if one of them is.
+    """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id IS NOT NULL AND toxic IS NOT NULL")
