@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatt.functions.scalars import time_text
 from tidewatt.operators import metrics as mt
 from tidewatt.operators.schedule import daily_schedule, perfect_foresight, rolling_schedule, settle_schedule
-from tidewatt.operators.settle import terminal_value
+from tidewatt.operators.settle import realized_profit, terminal_value
 from tidewatt.plans import reports
 from tidewatt.plans.rules import action_log_backtest, market_context, rules_backtest
 from tidewatt.registry import fixtures as fx
@@ -232,6 +232,86 @@ def rolling(spark, folder):
     return _schedule(settle_schedule(rolling_schedule(rows, KEYS), KEYS))
 
 
+# A battery of eleven levels, one MWh apart, small enough for SQL to try every move: up to
+# 3 levels up and 4 down in an interval, from level 4.  Below about -9 per MWh charging and
+# discharging at once would pay, so its tables take the all-levels branch too.
+COARSE = Battery(
+    "coarse", capacity_mwh=20.0, minimum_soc_mwh=10.0, initial_soc_mwh=14.0, max_charge_mw=6.0, max_discharge_mw=2.0,
+    charge_efficiency=0.5, discharge_efficiency=0.5, interval_hours=1.0,
+)
+
+
+def _coarse_step(price: str) -> str:
+    """Best value of every level one interval earlier, from the values ``v`` after it."""
+    return f"""[list_max([CASE WHEN m > l THEN (l - m) * ({price} + 5.5) / 0.5 ELSE (l - m) * ({price} - 5.5) * 0.5 END + v[m + 1]
+      FOR m IN range(greatest(0, l - 4), least(10, l + 3) + 1)]) FOR l IN range(11)]"""
+
+
+def _coarse_days(price: str) -> str:
+    return f"""
+  SELECT series_id, date, p, n AS t, [CASE WHEN l = 4 THEN 0.0 ELSE -1e18 END::DOUBLE FOR l IN range(11)] AS v
+  FROM (SELECT series_id, time_stamp::DATE AS date, list({price} ORDER BY time_stamp) AS p, count(*) AS n FROM forecast GROUP BY 1, 2)
+  UNION ALL
+  SELECT series_id, date, p, t - 1, {_coarse_step("p[t]")} FROM {price}_days WHERE t > 0"""
+
+
+@query(
+    "coarse_day_optimum",
+    f"""WITH RECURSIVE {fx.FORECAST_SQL},
+    predicted_days AS ({_coarse_days("predicted")}),
+    actual_days AS ({_coarse_days("actual")})
+    SELECT d.series_id, d.date, {r('d.v[5]', 'planned_profit', 4)}, {r('f.v[5]', 'foresight_profit', 4)}
+    FROM predicted_days d JOIN actual_days f ON d.series_id = f.series_id AND d.date = f.date WHERE d.t = 0 AND f.t = 0""",
+)
+def coarse_day_optimum(spark, folder):
+    """What every day's schedule plans to earn, on forecast and on actual prices, is the optimum over all moves."""
+    rows = with_scenarios(fx.forecast(spark, folder), [COARSE])
+    planned = realized_profit(daily_schedule(rows, KEYS), "predicted")
+    perfect = realized_profit(perfect_foresight(rows, KEYS))
+    totals = [
+        f.groupBy("series_id", F.to_date("time_stamp").alias("date")).agg(F.sum("realized_revenue").alias(n))
+        for f, n in ((planned, "planned_profit"), (perfect, "foresight_profit"))
+    ]
+    return rounded(totals[0].join(totals[1], ["series_id", "date"]), digits=4)
+
+
+@query(
+    "coarse_rolling_levels",
+    f"""WITH RECURSIVE {fx.FORECAST_SQL},
+    numbered AS (
+      SELECT series_id, time_stamp, row_number() OVER w AS i,
+             list(predicted + sin(pos)) OVER (w ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS p
+      FROM forecast WINDOW w AS (PARTITION BY series_id ORDER BY time_stamp)),
+    planned AS (
+      SELECT series_id, i, p, len(p) AS t, [0.0::DOUBLE FOR l IN range(11)] AS v FROM numbered
+      UNION ALL
+      SELECT series_id, i, p, t - 1, {_coarse_step("p[t]")} FROM planned WHERE t > 1),
+    first_moves AS (
+      SELECT series_id, i, [[{{'m': m, 'w': CASE WHEN m > l THEN (l - m) * (p[1] + 5.5) / 0.5 ELSE (l - m) * (p[1] - 5.5) * 0.5 END + v[m + 1]}}
+        FOR m IN range(greatest(0, l - 4), least(10, l + 3) + 1)] FOR l IN range(11)] AS c
+      FROM planned WHERE t = 1),
+    moves AS (
+      SELECT series_id, i, [list_min([{{'d': abs(x.m - l), 'm': x.m}} FOR x IN c[l + 1]
+        IF x.w >= list_max([y.w FOR y IN c[l + 1]]) - 1e-9]).m FOR l IN range(11)] AS after
+      FROM first_moves),
+    whole AS (SELECT series_id, list(after ORDER BY i) AS moves, count(*) AS n FROM moves GROUP BY 1),
+    walked AS (
+      SELECT series_id, moves, n, 0 AS i, 4::BIGINT AS level FROM whole
+      UNION ALL
+      SELECT series_id, moves, n, i + 1, moves[i + 1][level + 1] FROM walked WHERE i < n)
+    SELECT w.series_id, time_stamp, {r('level + 10.0::DOUBLE', 'soc_mwh')} FROM walked w JOIN numbered USING (series_id, i)""",
+)
+def coarse_rolling_levels(spark, folder):
+    """The level after every interval when each re-plans the next 16 and commits its first move.
+
+    Filled-in slots repeat a price, and equal prices leave several best plans; a
+    ripple on the forecast makes the best one unique.
+    """
+    rows = fx.forecast(spark, folder).withColumn("predicted", F.col("predicted") + F.sin(F.col("pos").cast("double")))
+    rows = with_scenarios(rows, [COARSE])
+    return rounded(rolling_schedule(rows, KEYS).select(*ID, "soc_mwh"))
+
+
 def _named(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.withColumn("strategy", F.lit(n)) for n, f in frames.items()])
 
