@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.operators.positions import slot_position, slot_time
+from tidewatt.session import durable
 from tidewatt.settings import BLOCK_ROWS, SLOT_SECONDS
 
 
@@ -39,7 +40,8 @@ def fill_forward(
     aligned = slot_time(slot, seconds) == F.col(ts)
     # First grid point at or after the row; the last row fills it only if it is there.
     rows = df.withColumn("_slot", slot).withColumn("_start", F.when(aligned, F.col("_slot")).otherwise(F.col("_slot") + 1))
-    rows = rows.withColumn("_block", F.floor(F.col("_slot") / size))
+    # Written once: block edges and rows both read it, and what made it runs one time.
+    rows = durable(rows.withColumn("_block", F.floor(F.col("_slot") / size)))
     edges = rows.groupBy(*keys, "_block").agg(F.min("_start").alias("_first"))
     following = edges.select(
         *keys, "_block", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block")).alias("_after")

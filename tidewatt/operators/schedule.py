@@ -14,7 +14,7 @@ from tidewatt.operators.blocks import BLOCK, COPY, with_blocks
 from tidewatt.operators.scan import opening_states
 from tidewatt.operators.settle import cumulative_profit, power_from_soc, realized_profit
 from tidewatt.session import durable
-from tidewatt.settings import BATTERY_COLUMNS, Battery
+from tidewatt.settings import BATTERY_COLUMNS
 
 # Rows planned by one call of the rolling kernel.
 CHUNK = 512
@@ -29,7 +29,7 @@ def daily_schedule(
     there, so days are independent jobs.  ``df`` has one row per (key,
     timestamp) and battery columns; adds ``soc_start_mwh``, ``soc_mwh`` and power.
     """
-    payload = [c for c in df.columns if c not in keys]
+    payload = [c for c in df.columns if c not in {*keys, *BATTERY_COLUMNS, "initial_level"}]
     item = F.struct(F.col("time_stamp").alias("_o"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(payload)])
     days = df.groupBy(*keys, F.to_date("time_stamp").alias("_day")).agg(
         F.sort_array(F.collect_list(item)).alias("_rows"), _battery_of_group()
@@ -41,7 +41,7 @@ def daily_schedule(
         return pd.Series(ev.each_battery(prices, battery, lambda p, b: ev.day_paths(p, b, enforce_terminal)))
 
     path = plan(F.transform("_rows", lambda r: r[f"_c{at}"].cast("double")), F.col("_battery"))
-    opened = days.withColumn("_path", path).select(*keys, "_path", F.posexplode("_rows").alias("_i", "_r"))
+    opened = days.withColumn("_path", path).select(*keys, "_path", "_battery", F.posexplode("_rows").alias("_i", "_r"))
     return power_from_soc(_unpack(opened, keys, payload))
 
 
@@ -54,13 +54,15 @@ def rolling_schedule(df: DataFrame, keys: list[str], price: str = "predicted", h
     to give every chunk its opening level, and the chunks replay their moves.
     ``df`` has ``pos`` and battery columns; series longer than one chunk split.
     """
-    payload = [c for c in df.columns if c not in keys]
+    payload = [c for c in df.columns if c not in {*keys, *BATTERY_COLUMNS, "initial_level"}]
     at = payload.index(price)
     item = F.struct(F.col("pos").alias("_o"), F.col(COPY).alias("_copy"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(payload)])
     chunks = (
         with_blocks(df, after=horizon - 1, size=CHUNK)
         .groupBy(*keys, BLOCK)
-        .agg(F.sort_array(F.collect_list(item)).alias("_all"), _battery_of_group())
+        .agg(
+            F.sort_array(F.collect_list(item)).alias("_all"), _battery_of_group(), F.first("initial_level").alias("_start")
+        )
         .withColumn("_rows", F.filter("_all", lambda r: ~r["_copy"]))
         .filter(F.size("_rows") > 0)
     )
@@ -77,9 +79,7 @@ def rolling_schedule(df: DataFrame, keys: list[str], price: str = "predicted", h
         .withColumn("_prices", prices)
         .drop("_all")
     )
-    maps = planned.select(
-        *keys, BLOCK, F.struct(F.col("_m.x").alias("x"), F.col("_m.y").alias("y")).alias("_map"), "_battery"
-    ).withColumn("_start", _initial_level(F.col("_battery")))
+    maps = planned.select(*keys, BLOCK, F.struct(F.col("_m.x").alias("x"), F.col("_m.y").alias("y")).alias("_map"), "_start")
     opened = planned.join(opening_states(maps, keys, _compose, _walk, "_start"), [*keys, BLOCK])
 
     @F.pandas_udf(ArrayType(DoubleType()))
@@ -88,12 +88,13 @@ def rolling_schedule(df: DataFrame, keys: list[str], price: str = "predicted", h
         return pd.Series(ev.each_battery(parts, battery, lambda p, b: ev.replay(p, b, horizon)))
 
     pathed = opened.withColumn("_path", replay("_m", "_prices", "_opening", "_battery"))
-    exploded = pathed.select(*keys, "_path", F.posexplode("_rows").alias("_i", "_r"))
+    exploded = pathed.select(*keys, "_path", "_battery", F.posexplode("_rows").alias("_i", "_r"))
     return power_from_soc(_unpack(exploded, keys, payload))
 
 
 def settle_schedule(schedule: DataFrame, keys: list[str], price: str = "actual") -> DataFrame:
-    return cumulative_profit(realized_profit(schedule, price), keys)
+    """Profit and running profit; the schedule is written first, so that its kernel runs once."""
+    return cumulative_profit(durable(realized_profit(schedule, price)), keys)
 
 
 def perfect_foresight(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,18 +126,11 @@ def _battery_of_group() -> Column:
     return F.first(F.struct(*BATTERY_COLUMNS)).alias("_battery")
 
 
-def _initial_level(battery: Column) -> Column:
-    @F.pandas_udf("bigint")
-    def level(b: pd.DataFrame) -> pd.Series:
-        return pd.Series([Battery(**r).lattice[4] for r in b.to_dict("records")])
-
-    return level(battery)
-
-
 def _unpack(exploded: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     return exploded.select(
         *keys,
         *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(payload)],
+        *[F.col("_battery")[c].alias(c) for c in BATTERY_COLUMNS if c not in keys],
         F.col("_path")[F.col("_i")].alias("soc_start_mwh"),
         F.col("_path")[F.col("_i") + 1].alias("soc_mwh"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatt.operators.scan import FAN, opening_states
 from tidewatt.operators.settle import requested_energy
 from tidewatt.session import durable
+from tidewatt.settings import BATTERY_COLUMNS
 
 
 def soc_path(df: DataFrame, keys: list[str], request: str = "request", pos: str = "pos") -> DataFrame:
@@ -17,28 +18,31 @@ def soc_path(df: DataFrame, keys: list[str], request: str = "request", pos: str
     one (step, low, high) triple and blocks are chained by their triples; the
     rows inside each block are then replayed from the block's opening level.
     """
-    payload = [c for c in df.columns if c not in keys]
+    battery = [c for c in BATTERY_COLUMNS if c in df.columns and c not in keys]
+    payload = [c for c in df.columns if c not in {*keys, *battery, "initial_level"}]
     steps = df.withColumn("_step", requested_energy(request)).withColumn("_block", F.floor(F.col(pos) / FAN))
     item = F.struct(F.col(pos).alias("_o"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(payload)], "_step")
     blocks = durable(steps.groupBy(*keys, "_block").agg(
         F.sort_array(F.collect_list(item)).alias("_rows"),
-        F.first("minimum_soc_mwh").alias("_low"),
-        F.first("capacity_mwh").alias("_high"),
-        F.first("initial_soc_mwh").alias("_initial"),
+        # The battery is one per key; its constants stay out of the rows.
+        F.first(F.struct(*battery)).alias("_battery"),
     ))
-    moves = F.transform("_rows", lambda r: F.struct(r["_step"].alias("a"), F.col("_low").alias("lo"), F.col("_high").alias("hi")))
-    maps = blocks.select(*keys, "_block", "_initial", compose_clamps(moves).alias("_map"))
+    low, high = F.col("_battery.minimum_soc_mwh"), F.col("_battery.capacity_mwh")
+    moves = F.transform("_rows", lambda r: F.struct(r["_step"].alias("a"), low.alias("lo"), high.alias("hi")))
+    initial = F.col("_battery.initial_soc_mwh").alias("_initial")
+    maps = blocks.select(*keys, "_block", initial, compose_clamps(moves).alias("_map"))
     opened = blocks.join(opening_states(maps, keys, compose_clamps, walk_clamps, "_initial"), [*keys, "_block"])
     path = walk_clamps(
-        F.concat(moves, F.array(F.struct(F.lit(0.0).alias("a"), F.col("_low").alias("lo"), F.col("_high").alias("hi")))),
+        F.concat(moves, F.array(F.struct(F.lit(0.0).alias("a"), low.alias("lo"), high.alias("hi")))),
         F.col("_opening"),
     )
     return (
         opened.withColumn("_path", path)
-        .select(*keys, "_path", F.posexplode("_rows").alias("_i", "_r"))
+        .select(*keys, "_path", "_battery", F.posexplode("_rows").alias("_i", "_r"))
         .select(
             *keys,
             *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(payload)],
+            *[F.col("_battery")[c].alias(c) for c in battery],
             F.col("_path")[F.col("_i")].alias("soc_start_mwh"),
             F.col("_path")[F.col("_i") + 1].alias("soc_mwh"),
         )

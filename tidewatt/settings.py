@@ -126,7 +126,7 @@ BATTERY_COLUMNS = [f.name for f in fields(Battery)]
 
 
 def with_scenarios(df: DataFrame, scenarios: list[Battery]) -> DataFrame:
-    """Repeat every row once per scenario.
+    """Repeat every row once per scenario, with its battery columns and its start level on the lattice.
 
     The scenarios are a short list held by the caller, so they travel as a
     literal array inside the projection; no join takes place.
@@ -135,4 +135,5 @@ def with_scenarios(df: DataFrame, scenarios: list[Battery]) -> DataFrame:
 
 
 def _literal(s: Battery) -> Column:
-    return F.struct(*[F.lit(getattr(s, c)).alias(c) for c in BATTERY_COLUMNS])
+    level = F.lit(s.lattice[4]).cast("bigint").alias("initial_level")
+    return F.struct(*[F.lit(getattr(s, c)).alias(c) for c in BATTERY_COLUMNS], level)
