@@ -125,13 +125,18 @@ def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> Data
     return df.orderBy(F.md5(F.concat_ws("-", F.lit(seed), *key)), *key).limit(n)
 
 
-def scale_robust(df: DataFrame, keys: list[str], value: str, name: str = "scaled") -> DataFrame:
+def scale_robust(
+    df: DataFrame, keys: list[str], value: str, name: str = "scaled", fitted_on: DataFrame | None = None
+) -> DataFrame:
     """Clip to the 5th and 95th percentile and scale to 0..1; flat or missing gives 0.5.
 
     Percentiles use finite values only; positive infinity maps to 1, negative to 0.
+    They come from ``fitted_on`` (default: ``df`` itself), so that bounds learnt on
+    one period can be applied to another.
     """
     rows = df.withColumn("_v", F.col(value).cast("double")).withColumn("_f", finite("_v"))
-    bounds = exact_quantiles(rows, keys, "_f", {"_lo": 0.05, "_hi": 0.95})
+    seen = rows if fitted_on is None else fitted_on.withColumn("_f", finite(F.col(value).cast("double")))
+    bounds = exact_quantiles(seen, keys, "_f", {"_lo": 0.05, "_hi": 0.95})
     if keys:
         rows = attach(rows, bounds, keys)
     else:

@@ -108,6 +108,23 @@ def scale_robust(spark, folder):
     return rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", "series_id", "scaled"))
 
 
+@query(
+    "scale_fitted_earlier",
+    f"""WITH {fx.FORECAST_SQL},
+    b AS (SELECT series_id, quantile_cont(actual, 0.05) AS lo, quantile_cont(actual, 0.95) AS hi FROM forecast
+          WHERE time_stamp < TIMESTAMP '2024-01-20' GROUP BY 1)
+    SELECT series_id, time_stamp, {r('(least(hi, greatest(lo, actual)) - lo) / (hi - lo)', 'scaled')}
+    FROM forecast JOIN b USING (series_id) WHERE time_stamp >= TIMESTAMP '2024-01-20'""",
+)
+def scale_fitted_earlier(spark, folder):
+    """Bounds of the first days applied to the later ones."""
+    rows = durable(fx.forecast(spark, folder).select(*ID, "actual"))
+    border = F.lit("2024-01-20").cast("timestamp_ntz")
+    later = rows.filter(F.col("time_stamp") >= border)
+    scaled = reports.scale_robust(later, ["series_id"], "actual", fitted_on=rows.filter(F.col("time_stamp") < border))
+    return rounded(scaled.select(*ID, "scaled"))
+
+
 _VARIANTS = {"Linear Regression": "lag_1", "Day Ago": "lag_96", "Hour Mean": "rolling_mean_4", "Six Hours": "rolling_mean_24"}
 _LAST = "base AS (SELECT rmse FROM m WHERE model = 'Linear Regression')"
 
@@ -175,6 +192,21 @@ def contribution_ranking(spark, folder):
     return rounded(md.contribution_ranking(durable(rows.select(*_CONTRIB)), list(_CONTRIB), list(_CONTRIB.values())))
 
 
+@query(
+    "fitted_contribution",
+    f"""WITH {fx.GRID_SQL},
+    f AS (SELECT * FROM (SELECT price, {lag('price', 1)} AS lag_1 FROM price_grid) WHERE lag_1 IS NOT NULL),
+    m AS (SELECT regr_slope(price, lag_1) AS slope, avg(lag_1) AS mean FROM f)
+    SELECT 'lag_1' AS feature, {r('avg(abs(slope * (lag_1 - mean)))', 'mean_absolute_contribution')},
+           '{FEATURE_LABELS['lag_1']}' AS label FROM f, m""",
+)
+def fitted_contribution(spark, folder):
+    """Contributions with the coefficient of a fitted model."""
+    rows = durable(ft.price_features(fx.price_grid(spark, folder), fx.SERIES).select("price", "lag_1").na.drop())
+    model = md.fit(rows, ["lag_1"], "price", "linear").stages[-1]
+    return rounded(md.contribution_ranking(rows, ["lag_1"], list(model.coefficients)))
+
+
 @query(
     "linear_model",
     f"""WITH {fx.GRID_SQL},
