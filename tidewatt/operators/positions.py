@@ -37,12 +37,14 @@ def number_rows(
     range; with ``copies`` they are spread too, by a random last sort key that
     is written down first, so that a repeated task sees the same values.
     """
-    sort = [*keys, *order]
+    sort, parts = [*keys, *order], []
     if copies:
         df = durable(df.withColumn("_tie", F.rand(42)))
         sort.append("_tie")
+        # A stated number keeps spread rows apart; otherwise adaptive execution sizes the ranges.
+        parts = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
     local = durable(
-        df.repartitionByRange(*sort)
+        df.repartitionByRange(*parts, *sort)
         .sortWithinPartitions(*sort)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id())
