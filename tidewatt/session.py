@@ -9,8 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side is broadcast only when its counted rows stay under this bound.
+# A side is broadcast only when its counted rows and its written bytes stay under these bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -74,11 +75,12 @@ atexit.register(release)
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join one fact row per key (null keys match each other).
 
-    ``facts`` is materialised and counted.  Within the bound it is broadcast;
-    beyond it the join shuffles and adaptive execution splits skewed keys.
+    ``facts`` is materialised and measured.  Within the bounds it is broadcast;
+    beyond them the join shuffles and adaptive execution splits skewed keys.
     """
     facts = durable(facts)
-    if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    written = int(facts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if written <= BROADCAST_BYTES and facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         facts = F.broadcast(facts)
     renamed = facts.withColumnsRenamed({k: f"_key_{k}" for k in keys})
     on = [rows[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys]
