@@ -2,9 +2,9 @@
 
 The components of the vectors are dealt to ``blocks``; a block of the components is a
 list of local scores for every query.  Phase 1 gathers each block's best local scores
-and its least one; the sums known so far, with the least score for what is not known,
-give a k-th best score that is safe.  Phase 2 sends that cutoff to all blocks, and each
-returns every entry that its equal share of the cutoff does not rule out.  Phase 3
+and its least one; the k-th best whole score among the entries listed is a safe cutoff.
+Phase 2 sends that cutoff to all blocks, and each returns every entry that its equal
+share of the cutoff, above the blocks' least scores, does not rule out.  Phase 3
 resolves the remaining candidates exactly.
 
 Work is cut into cells of (block, some vectors, some queries) that meet by a cogroup,
@@ -25,6 +25,8 @@ from tidewatt.session import durable
 #: Distinct vectors and queries in a cell, at most about.
 VECTORS, QUERIES = 8192, 2048
 BLOCKS = 2
+#: Entries that a cell lists for a query in phase 1, as a multiple of k; more make the cutoff sharper.
+LISTED = 4
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -129,19 +131,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
 
     key = ["block", "dims", "vc", "qc"]
     schema = "q long, block int, e long, part long"
-    gathered = durable(left.groupBy(*key).cogroup(cells(distinct).groupBy(*key)).applyInPandas(_first_phase(k), schema))
+    best = _first_phase(LISTED * k)
+    gathered = durable(left.groupBy(*key).cogroup(cells(distinct).groupBy(*key)).applyInPandas(best, schema))
 
     # The least local score of each block, and their sum.
     least = gathered.where("e IS NULL").groupBy("q", "block").agg(F.min("part").alias("least"))
     least = durable(least.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("block", "least"))).alias("least")))
     floor_sum = F.aggregate(F.map_values("least"), F.lit(0).cast("long"), lambda a, x: a + x)
-    known = gathered.where("e IS NOT NULL").groupBy("q", "e").agg(
-        F.sum("part").alias("sum"), F.collect_set("block").alias("blocks")
-    )
-    unknown = F.aggregate(
-        F.map_values(F.map_filter("least", lambda b, _: ~F.array_contains("blocks", b))), F.lit(0).cast("long"), lambda a, x: a + x
-    )
-    safe = known.join(least, "q").withColumn("safe", F.col("sum") + unknown)
+    # The exact scores of all entries seen so far: the k-th best of them is a safe cutoff.
+    other = entries.select("e", F.col("v").alias("w"))
+    product = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+    seen = gathered.where("e IS NOT NULL").select("q", "e").distinct()
+    safe = seen.join(distinct.select("q", "v"), "q").join(other, "e").select("q", "e", product.alias("safe"))
     order = Window.partitionBy("q").orderBy(F.desc("safe"), "e")
     kth = safe.withColumn("r", F.row_number().over(order)).where(F.col("r") == k)
     cutoff = kth.select("q", F.col("safe").alias("cutoff"))
@@ -163,8 +164,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
         lambda a, x: a + x + F.col("over") - 1,
     )
     hopeful = met.join(above, "q").where(F.col("cutoff").isNull() | (F.col("sum") + missing >= F.col("cutoff")))
-    other = entries.select("e", F.col("v").alias("w"))
-    product = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
     exact = hopeful.join(other, "e").select("q", "e", "cutoff", product.alias("score"))
     exact = durable(exact.where(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff"))))
 
