@@ -321,6 +321,41 @@ def test_boosted_trees_accept_what_looks_alike(spark):
     assert all(pii.spans_of(t, trees)[: len(pii.base_spans(t))] == pii.base_spans(t) for _, t in rows[:50])
 
 
+def test_other_formats_are_found_and_malformed_ones_are_not(spark):
+    rows = [
+        (i, f"write to user{i}.x{i}@mail{i % 9}.example.com or 10.{i % 250}.7.{i % 199}, {('call', 'then', 'to')[i % 3]} +49 30 {1234567 + 991 * i} or 20{i:06d}99 and"
+            f" {i}.{i}.{i}; paid by {_card(i)} on 2024-01-{10 + i % 20}, ref {4000000000000000 + 7 * i}")
+        for i in range(400)
+    ]
+    trees = pii.fit(common.identified(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert trees is not None and trees.threshold <= 1
+    want = [
+        "someone.x7[at]mail4.example.com", "jane.doe [at] corp [dot] example [dot] org", "2001:db8:85a3:0:0:8a2e:370:7334",
+        "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NL91ABNA0417164300", "0049 30 1234567", "0171 2345678", "(555) 010-2030",
+    ]
+    for said in want:
+        text = f"write to {said} now"
+        assert [text[a:b] for _, a, b in pii.spans_of(text, trees)] == [said], said
+    for text in ("due 2024-01-24 or 01.02.2024 now", "the DE89 3704 0044 0532 0130 01 now", "x 300.1.2.999 y", "id ab12345678cd"):
+        assert pii.spans_of(text, trees) == [], text
+    assert all(pii.spans_of(t, trees) == pii.base_spans(t) for _, t in rows[:50])
+
+
+def _card(i: int) -> str:
+    return next(c for d in range(10) if pii.luhn(c := f"41111111{i:07d}{d}"))
+
+
+def test_training_examples_are_drawn_by_hash(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "TRAIN_CANDIDATES", 500)
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: seen.append({tuple(r.features) for r in rows.collect()}) or 1 / 0)
+    rows = [(i, f"write to user{i}@mail{i % 9}.example.com or 20{i:06d}99") for i in range(800)]
+    for order in (rows, rows[::-1]):
+        with pytest.raises(ZeroDivisionError):
+            pii.fit(common.identified(spark.createDataFrame(order, "doc_id long, text string").repartition(3)))
+    assert seen[0] == seen[1] and len(seen[0]) > 1
+
+
 def test_threshold_is_the_lowest_that_is_precise():
     assert pii.calibrated([(0.9, 1.0), (0.8, 1.0), (0.7, 0.0), (0.6, 1.0)]) == 0.8
     assert pii.calibrated([(0.9, 0.0)]) > 1
