@@ -111,6 +111,25 @@ def test_selected_windows_are_closed_syncmers():
     assert set(places + len(prefix)) <= set(shifted.tolist())  # context-free
 
 
+def test_long_texts_keep_all_anchors_and_are_chained():
+    words = LONG.split()
+    words[9000] = "wxrd" + words[9000][4:]
+    one, two = syncmers.sketch(LONG), syncmers.sketch(" ".join(words))
+    assert len(one[0]) == len(syncmers.anchors(LONG)[0]) > 10_000
+    assert syncmers.fingerprint(one) != syncmers.fingerprint(two) and 0.99 < syncmers.likeness(one, two) < 1
+    rng = np.random.default_rng(4)
+    a, b = (["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(20_000)] for _ in range(2))
+    b[7000:7050] = a[3000:3050]
+    assert syncmers.likeness(syncmers.sketch(" ".join(a)), syncmers.sketch(" ".join(b))) > 0
+    for _ in range(300):
+        x, y = (rng.integers(0, 5, rng.integers(0, 14)).astype(np.uint64) for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+        assert syncmers._chain(x, y) == best[-1][-1]
+
+
 def test_fingerprints_of_awkward_rows(docs, none):
     out = syncmers.fingerprints(docs).collect()
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in AWKWARD)

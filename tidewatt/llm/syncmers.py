@@ -6,15 +6,14 @@ selected depends on its own characters alone, so an edit elsewhere leaves it
 selected; every ``K - S`` consecutive windows hold at least one selected.  The
 selected windows with their places are a document's anchors.
 
-The fingerprint keeps, for each of ``BINS`` slices of the hash range, the anchor
-with the smallest hash (one-permutation sketch), with its place.  Two fingerprints
-are matched by position: the likeness is the longest chain of equal anchors whose
-places rise in both, over the bins that either one fills.
+The fingerprint keeps all anchors, so it grows with the text.  Two fingerprints are
+matched by position: the likeness is the longest chain of equal anchors whose places
+rise in both, over the anchors of both with those of the chain counted once.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,8 @@ from tidewatt.llm.common import identified, sha256_text
 
 #: Lengths of the windows and of their inner substrings, in code points.
 K, S = 13, 6
-BINS = 128
+#: Characters of fingerprints that a task holds before it hands them on.
+_HELD = 8_000_000
 _WINDOW = K - S + 1  # 8 substrings in a window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,44 +70,53 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Per bin the smallest anchor hash (all ones: empty bin) and the place where it occurs first."""
+    """Hashes of all anchors in the order of their places, and the places."""
     places, hashes = anchors(text)
-    best = np.full(BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    at = np.full(BINS, -1, np.int64)
-    if len(hashes):
-        order = np.argsort(hashes, kind="stable")  # equal hashes keep the order of places
-        bins = (hashes[order] >> np.uint64(57)).astype(np.int64)
-        filled, first = np.unique(bins, return_index=True)
-        best[filled], at[filled] = hashes[order][first], places[order][first]
-    return best, at
+    return hashes, places
 
 
 def fingerprint(drawn: tuple[np.ndarray, np.ndarray]) -> str:
-    """Hex of which bins are filled, then of their hashes, then of their places; empty for an empty text."""
-    best, at = drawn
-    filled = at >= 0
-    if not filled.any():
+    """Base64 of the hashes, then a hex digit for each step from place to place; empty for an empty text."""
+    hashes, places = drawn
+    if not len(hashes):
         return ""
-    return "-".join((
-        np.packbits(filled).tobytes().hex(), best[filled].astype(">u8").tobytes().hex(), at[filled].astype(">u4").tobytes().hex()
-    ))
+    # A step is K - S at most.
+    steps = np.frombuffer(b"0123456789abcdef", np.uint8)[np.diff(places, prepend=0)]
+    return base64.b64encode(hashes.astype(">u8").tobytes()).decode() + "-" + steps.tobytes().decode()
+
+
+def _chain(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    x, y = x[np.isin(x, y)], y[np.isin(y, x)]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    ahead = int(differ[0]) if len(differ) else n
+    x, y = x[ahead:], y[ahead:]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+    behind = int(differ[0]) if len(differ) else n
+    x, y = x[: len(x) - behind], y[: len(y) - behind]
+    if not len(x) or not len(y):
+        return ahead + behind
+    # One bit for each anchor of x; a zero marks where the chain grows.
+    at: dict[int, int] = {}
+    for i, h in enumerate(x.tolist()):
+        at[h] = at.get(h, 0) | 1 << i
+    whole = (1 << len(x)) - 1
+    row = whole
+    for h in y.tolist():
+        met = row & at.get(h, 0)
+        row = ((row + met) | (row - met)) & whole
+    return ahead + behind + len(x) - row.bit_count()
 
 
 def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """0 to 1; two empty fingerprints are alike."""
-    filled = int(((x[1] >= 0) | (y[1] >= 0)).sum())
-    if not filled:
+    both = len(x[0]) + len(y[0])
+    if not both:
         return 1.0
-    same = np.flatnonzero((x[1] >= 0) & (y[1] >= 0) & (x[0] == y[0]))
-    if not len(same):
-        return 0.0
-    # Longest chain rising in both: order by place in x, then the longest increasing run of places in y.
-    pairs = sorted(zip(x[1][same].tolist(), (-y[1][same]).tolist(), strict=True))
-    tails: list[int] = []
-    for _, minus in pairs:
-        k = bisect_left(tails, -minus)
-        tails[k : k + 1] = [-minus]
-    return len(tails) / filled
+    chain = _chain(x[0], y[0])
+    return chain / (both - chain)
 
 
 def with_next(docs: DataFrame, rows_per_cell: int = 500_000, cells: int = 64) -> DataFrame:
@@ -170,19 +179,25 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             likeness(own, new), likeness(own, following[2]),
         )
 
+    def handed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
     done = False
+    rows: list[tuple] = []
+    size = 0
     for batch in batches:
-        rows = []
         for doc_id, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if done:
                 break
             doc = (doc_id, text, sketch(text))
             if held is not None:
                 rows.append(row(held, doc))
+                size += len(rows[-1][3]) + len(rows[-1][4])
+                if size >= _HELD:
+                    yield handed(rows)
+                    rows, size = [], 0
             held, done = doc, not own
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names
-        )
+    yield handed(rows)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
