@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, lm_bloom, mixing, packing, pii, secrets, sharding, simhash, syncmers, topk, toxicity
+from tidewatt.llm import common, lm_bloom, merkle, mixing, packing, pii, secrets, sharding, simhash, syncmers, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,3 +158,59 @@ def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(_spans_text("base"), 256).alias("base_sha256"), _spans_text("spans").alias("spans")
     )
+
+
+@query
+def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, with one character more claimed for about a seventh of them."""
+    return merkle.proofs(common.documents(spark, sf_dir), merkle.tampered()).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(f) for f in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_CRC_DIGITS = """xor(4294967295, list_reduce([4294967295] || [ascii(d) FOR d IN string_split(doc_id::VARCHAR, '')], lambda c, b:
+    list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+_LEVEL_UP = """SELECT tree, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (cnt + 1) // 2
+    FROM {0} WHERE cnt > 1 GROUP BY tree, lvl, idx // 2, cnt"""
+ORACLES["op13_merkle_climb"] = f"""
+WITH RECURSIVE hashed AS (
+    SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, {_leaf("n_chars")} AS leaf,
+           CASE WHEN {_CRC_DIGITS} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS claimed
+    FROM documents
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM hashed),
+levels(tree, lvl, idx, h, cnt) AS (
+    SELECT tree, 0, idx, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+    UNION ALL {_LEVEL_UP.format("levels")}
+),
+crown(tree, lvl, idx, h, cnt) AS (
+    SELECT -1::BIGINT, 0, tree, h, count(*) OVER () FROM levels WHERE cnt = 1
+    UNION ALL {_LEVEL_UP.format("crown")}
+),
+nodes AS (SELECT * FROM levels UNION ALL SELECT * FROM crown),
+tops AS (SELECT tree, lvl AS height, h AS top FROM nodes WHERE cnt = 1),
+climb(doc_id, home, place, tree, lvl, idx, folded, siblings) AS (
+    SELECT doc_id, tree, idx, tree, 0, idx, claimed, '' FROM leaves
+    UNION ALL
+    SELECT c.doc_id, home, place,
+           CASE WHEN c.lvl < t.height THEN c.tree ELSE -1 END,
+           CASE WHEN c.lvl < t.height THEN c.lvl + 1 ELSE 0 END,
+           CASE WHEN c.lvl < t.height THEN c.idx // 2 ELSE c.tree END,
+           CASE WHEN c.lvl = t.height THEN folded WHEN c.idx % 2 = 1 THEN sha256(s.h || folded) ELSE sha256(folded || coalesce(s.h, '')) END,
+           siblings || CASE WHEN c.lvl < t.height THEN coalesce(s.h, '') ELSE '' END
+    FROM climb c JOIN tops t ON t.tree = c.tree
+    LEFT JOIN nodes s ON s.tree = c.tree AND s.lvl = c.lvl AND s.idx = xor(c.idx, 1)
+    WHERE c.tree >= 0 OR c.lvl < t.height
+)
+SELECT c.doc_id, l.leaf, t.top AS subroot, r.top AS root, sha256(c.siblings) AS proof_sha256, c.folded AS folded_root, c.folded = r.top AS verified
+FROM climb c JOIN tops r ON r.tree = -1 AND c.tree = -1 AND c.lvl = r.height
+JOIN leaves l ON l.tree = c.home AND l.idx = c.place JOIN tops t ON t.tree = c.home
+"""
