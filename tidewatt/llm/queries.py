@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, lm_bloom, merkle, mixing, packing, pii, secrets, sharding, simhash, syncmers, topk, toxicity
+from tidewatt.llm import common, lm_bloom, merkle, mixing, packing, pieces, pii, secrets, sharding, simhash, syncmers, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +160,21 @@ def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, the text they decode to, and the bytes that they cover."""
+    rows = pieces.encode_documents(common.documents(spark, sf_dir))
+
+    def listed(numbers: str) -> F.Column:
+        return F.array_join(F.col(numbers).cast("array<string>"), ",")
+
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.concat_ws(";", listed("starts"), listed("ends")), 256).alias("spans_sha256"),
+    )
+
+
 @query
 def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, with one character more claimed for about a seventh of them."""
