@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatt.llm import common, lm_bloom, merkle, mixing, packing, pieces, pii, secrets, sharding, simhash, syncmers, topk, toxicity
+from tidewatt.llm import (
+    collocations, common, lm_bloom, merkle, mixing, packing, pieces, pii, secrets, sharding, simhash, syncmers, topk, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -175,6 +177,46 @@ def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 strongest phrases of 2 to 5 words that occur 100 times."""
+    return collocations.collocations(common.documents(spark, sf_dir), top=2000)
+
+
+ORACLES["op12_prefix_groups"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL
+),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+grams AS (
+    SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+    FROM places, range(1, 6) AS r(k) WHERE i + k - 1 <= len(words)
+),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+phrases AS (SELECT lang, phrase, k AS words, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+several AS (SELECT *, string_split(phrase, ' ') AS w FROM phrases WHERE words > 1),
+kept AS (
+    SELECT * FROM several s WHERE NOT EXISTS (
+        SELECT 1 FROM several b WHERE b.lang = s.lang AND b.words > s.words AND 100 * b.a >= 100 * s.a
+          AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')
+    )
+),
+cuts AS (
+    SELECT s.lang, s.phrase, s.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * s.a * n // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM kept s JOIN range(1, 5) AS c(k) ON k < s.words
+    JOIN phrases l ON l.lang = s.lang AND l.phrase = array_to_string(w[:k], ' ')
+    JOIN phrases r ON r.lang = s.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+    JOIN totals t ON t.lang = s.lang
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 @query
 def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, with one character more claimed for about a seventh of them."""
