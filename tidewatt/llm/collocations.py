@@ -1,10 +1,10 @@
 """Phrase collocations from depth-truncated suffix trees, built in groups of word prefixes.
 
 Texts are cut into pieces at sentence signs and line ends and those into words; a phrase is
-2 to 5 words in a row inside one piece.  Words and neighbouring pairs are counted first: a
-phrase can only be frequent if all of them are, so a suffix (the words from one place on)
-is cut to 5 words and before the first rare pair.  Equal suffixes are counted once a task
-and once more over the exchange.
+2 to 5 words in a row inside one piece.  A phrase can only be frequent if all its words and
+neighbouring pairs are, so a suffix (the words from one place on) is cut to 5 words and
+before the first rare pair.  Words are counted exactly, pairs by the slot of their hash.
+Equal suffixes are counted once a task and once more over the exchange.
 
 The rest is vertical partitioning.  Word prefixes start with two words; a prefix under
 which more distinct suffixes lie than the budget is lengthened by a word, down to whole
@@ -14,7 +14,7 @@ of the leaves below it.  Nodes at or above a prefix may lie in several groups; t
 totals are added up.
 
 Which words and pairs are frequent reaches the tasks as a bit table of fixed size
-(``SLOTS`` bits, by hash): a shared bit can only keep a suffix longer than needed, and
+(``SLOTS`` bits, by hash): a shared slot can only keep a suffix longer than needed, and
 rare phrases go by their exact counts at the end.
 
 Every language is counted by itself (null: ``und``).  Null and empty texts have no words;
@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatt.session import attach, durable
 
@@ -49,7 +49,9 @@ _BREAK = b"\xff"  # in no UTF-8 text
 _LETTERS = bytes(range(65, 91))
 _SIGNS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(_LETTERS + _SIGNS + b"\t", _LETTERS.lower() + _BREAK * len(_SIGNS) + b" ")
-_COUNTS = "lang string, key string, hash long, n long"
+_COUNTS = "lang string, key string, n long"
+#: Slots counted together: their places in a block take two bytes.
+_BLOCK = 1 << 16
 
 
 class _Numbered:
@@ -89,35 +91,31 @@ def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class BitTable:
     """Which hashes are in a set, with shared bits; the same size whatever the set's."""
 
-    def __init__(self, hashes: DataFrame) -> None:
-        slot = F.pmod("hash", F.lit(SLOTS)) + 1
-        rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-        parts = {r["part"]: bytes(r["bits"]) for r in rows.collect()}  # at most SLOTS / 32,768 rows of 4 KB
-        width = 32_768 // 8
-        table = b"".join(parts.get(i, bytes(width)) for i in range(1, SLOTS // 32_768 + 1))
-        self.shared = hashes.sparkSession.sparkContext.broadcast(table)
+    def __init__(self, spark: SparkSession, table: bytes) -> None:
+        self.shared = spark.sparkContext.broadcast(table)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         table = np.frombuffer(self.shared.value, np.uint8)
-        # pmod of the signed hash: the number of bits is a power of two.
-        slot = (hashes & np.uint64(8 * len(table) - 1)).astype(np.int64)
+        slot = _slots(hashes, 8 * len(table))
         return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-Counter = Callable[[_Numbered, np.ndarray], tuple[list[bytes], np.ndarray, np.ndarray]]
+def _slots(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
-def _counted(docs: DataFrame, count: Counter) -> DataFrame:
-    """(lang, key, n, hash): what ``count`` finds in chunks of texts of one language, added up over all of them."""
+Chunk = Callable[["_Numbered", np.ndarray, str], pa.RecordBatch]
+
+
+def _by_chunk(docs: DataFrame, found: Chunk, schema: str) -> DataFrame:
+    """What ``found`` makes of the words in chunks of texts of one language."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Numbered] = {}
 
         def chunk(lang: str, texts: list[bytes]) -> pa.RecordBatch:
             numbered = known.setdefault(lang, _Numbered(lang, REMEMBERED))
-            keys, hashes, n = count(numbered, numbered.read(texts))
-            columns = [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(hashes.astype(np.int64)), pa.array(n)]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "key", "hash", "n"])
+            return found(numbered, numbered.read(texts), lang)
 
         for batch in batches:
             waiting: dict[str, list[bytes]] = {}
@@ -133,14 +131,38 @@ def _counted(docs: DataFrame, count: Counter) -> DataFrame:
                 yield chunk(lang, texts)
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.where(F.length("text") > 0).mapInArrow(rows, _COUNTS)
-    return found.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.max("hash").alias("hash"))
+    return texts.where(F.length("text") > 0).mapInArrow(rows, schema)
+
+
+def _counted(lang: str, keys: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(n)], ["lang", "key", "n"])
+
 
+def _added_up(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
-def _words(numbered: _Numbered, ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+
+def _words(numbered: _Numbered, ids: np.ndarray, lang: str) -> pa.RecordBatch:
     n = np.bincount(ids[ids >= 0], minlength=len(numbered.words))
     (seen,) = np.nonzero(n)
-    return [numbered.words[i] for i in seen.tolist()], numbered.hashes[seen], n[seen]
+    return _counted(lang, [numbered.words[i] for i in seen.tolist()], n[seen])
+
+
+def _word_table(words: DataFrame) -> BitTable:
+    """The bit table of ``words`` (lang, key)."""
+    slots = SLOTS
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = {x: xxhash.xxh32_intdigest(x.encode()) for x in set(batch.column(0).to_pylist())}
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode(), seeds[x]) for x, w in pairs), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(hashes, slots) + 1)], ["slot"])
+
+    rows = words.select("lang", "key").mapInArrow(hashed, "slot long")
+    rows = rows.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    parts = {r["part"]: bytes(r["bits"]) for r in rows.collect()}  # at most SLOTS / 32,768 rows of 4 KB
+    return BitTable(words.sparkSession, b"".join(parts.get(i + 1, bytes(4096)) for i in range(slots >> 15)))
 
 
 def _frequent_pairs(ids: np.ndarray, numbered: _Numbered, words: BitTable) -> np.ndarray:
@@ -149,20 +171,52 @@ def _frequent_pairs(ids: np.ndarray, numbered: _Numbered, words: BitTable) -> np
     return np.append(fine[:-1] & fine[1:], False) if len(ids) else fine
 
 
-def _pairs(words: BitTable) -> Counter:
-    def count(numbered: _Numbered, ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        (at,) = np.nonzero(_frequent_pairs(ids, numbered, words))
-        pairs, n = np.unique(ids[at] << 32 | ids[at + 1], return_counts=True)
-        first, second = pairs >> 32, pairs & 0xFFFFFFFF
-        named = numbered.words
-        keys = [named[a] + b" " + named[b] for a, b in zip(first.tolist(), second.tolist(), strict=True)]
-        return keys, _pair_hash(numbered.hashes[first], numbered.hashes[second]), n
+def _pair_table(docs: DataFrame, words: BitTable, min_count: int) -> BitTable:
+    """The bit table of pairs of frequent words whose slot counts ``min_count`` pairs or more.
 
-    return count
+    A chunk sends the counts of its slots as two arrays for each block of slots, and each
+    block is added up by itself, one such row after the other.
+    """
+    slots, size = SLOTS, min(SLOTS, _BLOCK)
 
+    def found(numbered: _Numbered, ids: np.ndarray, lang: str) -> pa.RecordBatch:
+        (at,) = np.nonzero(_frequent_pairs(ids, numbered, words))
+        pairs, n = np.unique(ids[at] << 32 | ids[at + 1], return_counts=True)
+        slot = _slots(_pair_hash(numbered.hashes[pairs >> 32], numbered.hashes[pairs & 0xFFFFFFFF]), slots)
+        slot, where = np.unique(slot, return_inverse=True)
+        n = np.bincount(where, weights=n, minlength=len(slot)).astype(np.uint32)
+        blocks, first = np.unique(slot // size, return_index=True)
+        inside = np.split((slot % size).astype(np.uint16), first[1:]) if len(blocks) else []
+        counts = np.split(n, first[1:]) if len(blocks) else []
+        columns = [pa.array(blocks, pa.int64()), *(pa.array([a.tobytes() for a in x], pa.binary()) for x in (inside, counts))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "inside", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = None, np.zeros(size, np.int64)
+
+        def bits() -> pa.RecordBatch:
+            packed = np.packbits(sums >= min_count, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed], pa.binary())], ["block", "bits"])
 
-def _suffixes(words: BitTable, pairs: BitTable, longest: int) -> Counter:
-    def count(numbered: _Numbered, ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        for batch in batches:
+            for at, inside, n in zip(*(batch.column(c) for c in range(3)), strict=True):
+                if at.as_py() != block:
+                    if block is not None:
+                        yield bits()
+                    block = at.as_py()
+                    sums[:] = 0
+                sums[np.frombuffer(inside.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
+        if block is not None:
+            yield bits()
+
+    rows = _by_chunk(docs, found, "block long, inside binary, n binary")
+    summed = rows.repartition("block").sortWithinPartitions("block").mapInArrow(added, "block long, bits binary")
+    parts = {r["block"]: bytes(r["bits"]) for r in summed.collect()}  # at most SLOTS / 65,536 rows of 8 KB
+    return BitTable(docs.sparkSession, b"".join(parts.get(i, bytes(size // 8)) for i in range(slots // size)))
+
+
+def _suffixes(words: BitTable, pairs: BitTable, longest: int) -> Chunk:
+    def found(numbered: _Numbered, ids: np.ndarray, lang: str) -> pa.RecordBatch:
         joined = _frequent_pairs(ids, numbered, words)
         (at,) = np.nonzero(joined)
         both, where = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
@@ -183,9 +237,9 @@ def _suffixes(words: BitTable, pairs: BitTable, longest: int) -> Counter:
             b" ".join([named[j] for j in listed[i : i + size]])
             for i, size in zip(at[first].tolist(), length[first].tolist(), strict=True)
         ]
-        return keys, np.zeros(len(keys), np.int64), n
+        return _counted(lang, keys, n)
 
-    return count
+    return found
 
 
 def _grouped(suffixes: DataFrame, budget: int, longest: int) -> DataFrame:
@@ -269,14 +323,13 @@ def _subtrees(min_count: int) -> Callable[[pa.Table], pa.Table]:
 
 def count_phrases(docs: DataFrame, longest: int = WORDS, min_count: int = MIN_COUNT, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of all phrases of 1 to ``longest`` words that occur ``min_count`` times, and (lang, n)."""
-    words = durable(_counted(docs, _words))
+    words = durable(_added_up(_by_chunk(docs, _words, _COUNTS)))
     totals = durable(words.groupBy("lang").agg(F.sum("n").alias("n")))
     frequent = words.where(F.col("n") >= min_count)
     single = frequent.select("lang", F.col("key").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("a"))
-    word_bits = BitTable(frequent.select("hash"))
-    pairs = durable(_counted(docs, _pairs(word_bits)).where(F.col("n") >= min_count).select("hash"))
-    pair_bits = BitTable(pairs)
-    suffixes = durable(_counted(docs, _suffixes(word_bits, pair_bits, longest)).select("lang", "key", "n"))
+    word_bits = _word_table(frequent)
+    pair_bits = _pair_table(docs, word_bits, min_count)
+    suffixes = durable(_added_up(_by_chunk(docs, _suffixes(word_bits, pair_bits, longest), _COUNTS)))
     dealt = _grouped(suffixes, budget, longest).select("group", "lang", "key", "n", "depth")
     nodes = dealt.groupBy("group").applyInArrow(_subtrees(min_count), _NODES)
     phrases = nodes.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
