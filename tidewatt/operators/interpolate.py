@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatt.operators.blocks import running
+from tidewatt.operators.blocks import BLOCK, running_totals
+from tidewatt.session import attach, durable
 from tidewatt.settings import BLOCK_ROWS
 
 
@@ -13,20 +14,35 @@ def interpolate_rows(
 ) -> DataFrame:
     """Linear in row position, ignoring time spacing; edges take the nearest value.
 
-    The last known (position, value) pair at or before each row is a running
-    maximum of pairs, the next known pair a running minimum from the far end;
-    both run in blocks, so a long series is never held by one task.
+    All columns are filled in one pass: one exchange lays the rows out in blocks, where the
+    known (position, value) pairs before and after each row are found by one sort, and the
+    result is written.  A block's first and last row tell its outermost known pairs; those
+    of whole blocks are carried on in both directions, so a long series is never held by
+    one task.
     """
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))) for c in columns}
-    ahead = running(df, keys, {f"_before_{c}": ("max", k) for c, k in known.items()}, pos, size)
-    back = ahead.withColumn("_back", -F.col(pos))
-    both = running(back, keys, {f"_after_{c}": ("min", k) for c, k in known.items()}, "_back", size)
-    out = both.withColumns({c: _blend(c, pos) for c in columns})
-    return out.drop("_back", *[f"_{side}_{c}" for side in ("before", "after") for c in columns])
+    order = Window.partitionBy(*keys, BLOCK).orderBy(pos)
+    behind, onward = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    sides = {f"_before_{c}": F.last(k, True).over(behind) for c, k in known.items()}
+    sides |= {f"_after_{c}": F.first(k, True).over(onward) for c, k in known.items()}
+    at_edge = F.lag(pos).over(order).isNull() | F.lead(pos).over(order).isNull()
+    laid = durable(df.withColumn(BLOCK, F.floor(F.col(pos) / size)).withColumns(sides | {"_edge": at_edge}))
+
+    edges = laid.filter("_edge").groupBy(*keys, BLOCK).agg(
+        *[F.max(f"_before_{c}").alias(f"_last_{c}") for c in columns],
+        *[F.min(f"_after_{c}").alias(f"_first_{c}") for c in columns],
+    )
+    earlier = running_totals(edges, keys, {f"_from_{c}": ("max", f"_last_{c}") for c in columns}, BLOCK, size, inclusive=False)
+    back = earlier.withColumn("_back", -F.col(BLOCK))
+    both = running_totals(back, keys, {f"_to_{c}": ("min", f"_first_{c}") for c in columns}, "_back", size, inclusive=False)
+    ends = both.select(*keys, BLOCK, *[f"_{side}_{c}" for side in ("from", "to") for c in columns])
+    out = attach(laid, ends, [*keys, BLOCK]).withColumns({c: _blend(c, pos) for c in columns})
+    return out.drop(BLOCK, "_edge", *[f"_{side}_{c}" for side in ("before", "after", "from", "to") for c in columns])
 
 
-def _blend(c: str, pos: str):
-    before, after = F.col(f"_before_{c}"), F.col(f"_after_{c}")
+def _blend(c: str, pos: str) -> Column:
+    before = F.coalesce(F.col(f"_before_{c}"), F.col(f"_from_{c}"))
+    after = F.coalesce(F.col(f"_after_{c}"), F.col(f"_to_{c}"))
     share = (F.col(pos) - before["p"]) / (after["p"] - before["p"])
     return (
         F.when(F.col(c).isNotNull(), F.col(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.functions.scalars import iso_text, ratio
-from tidewatt.operators.blocks import running
+from tidewatt.operators.blocks import running_totals
 from tidewatt.session import attach, durable
 from tidewatt.settings import BLOCK_ROWS
 
@@ -91,9 +91,9 @@ def drawdown(
     inside = df.withColumn("_b", F.floor(F.col(pos) / size)).withColumn("_sum", F.sum(profit).over(block))
     inside = durable(inside.withColumn("_top", F.max("_sum").over(block)))
     blocks = inside.groupBy(*keys, "_b").agg(F.sum(profit).alias("_total"), F.max("_sum").alias("_peak"))
-    carried = running(blocks, keys, {"_carry": ("sum", "_total")}, "_b", size, depth=1, inclusive=False)
+    carried = running_totals(blocks, keys, {"_carry": ("sum", "_total")}, "_b", size, inclusive=False)
     lifted = carried.withColumn("_peak", F.col("_peak") + F.coalesce("_carry", F.lit(0.0)))
-    before = running(lifted, keys, {"_before": ("max", "_peak")}, "_b", size, depth=1, inclusive=False)
+    before = running_totals(lifted, keys, {"_before": ("max", "_peak")}, "_b", size, inclusive=False)
     base = F.coalesce("_carry", F.lit(0.0))
     rows = attach(inside, before.select(*keys, "_b", "_carry", "_before"), [*keys, "_b"])
     return (

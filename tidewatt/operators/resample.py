@@ -34,7 +34,9 @@ def fill_forward(
 
     ``df`` holds one row per (key, timestamp).  Every row fills the slots up to
     its successor.  Successors are found inside time blocks; the last row of a
-    block takes the first timestamp of the next block that has any rows.
+    block takes the first timestamp of the next block that has any rows.  A gap is
+    first cut into one piece for each block that it crosses and the pieces are dealt
+    out, so that a single stray timestamp, decades off, is filled by all tasks.
     """
     slot = slot_position(ts, seconds)
     aligned = slot_time(slot, seconds) == F.col(ts)
@@ -50,9 +52,16 @@ def fill_forward(
     linked = rows.withColumn("_next", F.lead("_start").over(inside)).join(following, [*keys, "_block"], "left")
     # A row owns the points before its successor's first; the last row owns its own slot.
     stop = F.coalesce(F.col("_next") - 1, F.col("_after") - 1, F.col("_slot"))
+    owned = linked.withColumn("_stop", stop).filter("_start <= _stop")
+    crossed = F.sequence(F.floor(F.col("_start") / size), F.floor(F.col("_stop") / size))
+    pieces = owned.withColumn("_block", F.explode(crossed)).withColumns(
+        {
+            "_start": F.greatest("_start", F.col("_block") * size),
+            "_stop": F.least("_stop", (F.col("_block") + 1) * size - 1),
+        }
+    )
     return (
-        linked.withColumn("_stop", stop)
-        .filter("_start <= _stop")
+        pieces.repartition(*keys, "_block")
         .withColumn("_slot", F.explode(F.sequence("_start", "_stop")))
         .withColumn(ts, slot_time(F.col("_slot"), seconds))
         .drop("_block", "_next", "_after", "_start", "_stop", "_slot")

@@ -92,9 +92,10 @@ def rolling_schedule(df: DataFrame, keys: list[str], price: str = "predicted", h
     return power_from_soc(_unpack(exploded, keys, payload))
 
 
-def settle_schedule(schedule: DataFrame, keys: list[str], price: str = "actual") -> DataFrame:
-    """Profit and running profit; the schedule is written first, so that its kernel runs once."""
-    return cumulative_profit(durable(realized_profit(schedule, price)), keys)
+def settle_schedule(schedule: DataFrame, keys: list[str], price: str = "actual", cumulative: bool = True) -> DataFrame:
+    """Profit and, unless switched off, running profit, which writes the schedule so that its kernel runs once."""
+    settled = realized_profit(schedule, price)
+    return cumulative_profit(settled, keys) if cumulative else settled
 
 
 def perfect_foresight(df: DataFrame, keys: list[str]) -> DataFrame:

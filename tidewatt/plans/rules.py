@@ -8,7 +8,7 @@ from tidewatt.operators.blocks import block_window, drop_copies, with_blocks
 from tidewatt.operators.rolling import Trailing, add_trailing, drop_states, rolling_quantiles
 from tidewatt.operators.settle import apply_request, cumulative_profit, realized_profit
 from tidewatt.operators.soc import soc_path
-from tidewatt.settings import BLOCK_ROWS, Battery, Rules, with_scenarios
+from tidewatt.settings import BATTERY_COLUMNS, BLOCK_ROWS, Battery, Rules, with_scenarios
 
 
 def threshold_signal(price: str = "predicted") -> Column:
@@ -34,9 +34,26 @@ def with_thresholds(df: DataFrame, keys: list[str], rules: Rules = Rules(), size
     )
 
 
-def replay_requests(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Levels, feasible power, settlement and running profit of a request column."""
-    return cumulative_profit(realized_profit(apply_request(soc_path(df, keys))), keys)
+#: Columns that settlement adds; all but the last come from the row alone.
+SETTLED = ("gross_realized_revenue", "degradation_cost", "transaction_cost", "realized_revenue", "cumulative_profit")
+
+
+def replay_requests(df: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Levels, feasible power, settlement and running profit of a request column.
+
+    ``columns`` names what the caller reads besides levels, power and battery: other
+    columns do not travel through the replay, which writes its rows, and settlement and
+    running profit are left out where nobody asks for them.
+    """
+    asked = set(SETTLED if columns is None else columns)
+    if columns is not None:
+        carried = {*keys, *BATTERY_COLUMNS, "initial_level", "pos", "request", *columns}
+        carried |= {"actual"} if asked & set(SETTLED) else set()
+        df = df.select(*[c for c in df.columns if c in carried])
+    rows = apply_request(soc_path(df, keys))
+    if asked & set(SETTLED):
+        rows = realized_profit(rows)
+    return cumulative_profit(rows, keys) if "cumulative_profit" in asked else rows
 
 
 def rules_backtest(
@@ -44,14 +61,19 @@ def rules_backtest(
     keys: list[str],
     scenarios: list[Battery] | None = None,
     rules: Rules = Rules(),
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Thresholds once per series, then one replay per series and scenario."""
     signals = with_thresholds(predictions, keys, rules).withColumn("request", threshold_signal())
-    return replay_requests(with_scenarios(signals, scenarios or [Battery()]), [*keys, "scenario_id"])
+    return replay_requests(with_scenarios(signals, scenarios or [Battery()]), [*keys, "scenario_id"], columns)
 
 
 def action_log_backtest(
-    log: DataFrame, keys: list[str], scenarios: list[Battery] | None = None, action: str = "action_code"
+    log: DataFrame,
+    keys: list[str],
+    scenarios: list[Battery] | None = None,
+    action: str = "action_code",
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Settle logged actions (0 charge, 1 hold, 2 discharge); other codes are refused."""
     a = F.col(action)
@@ -62,7 +84,7 @@ def action_log_backtest(
         .otherwise(F.raise_error(F.concat(F.lit("invalid action "), F.coalesce(a.cast("string"), F.lit("null")))))
     )
     return replay_requests(
-        with_scenarios(log.withColumn("request", request), scenarios or [Battery()]), [*keys, "scenario_id"]
+        with_scenarios(log.withColumn("request", request), scenarios or [Battery()]), [*keys, "scenario_id"], columns
     )
 
 

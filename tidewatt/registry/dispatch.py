@@ -86,8 +86,13 @@ DISPATCHED = [
 ]
 
 
-def _rules(spark, folder):
-    return rules_backtest(fx.forecast(spark, folder), fx.SERIES, SCENARIOS)
+def _rules(spark, folder, *columns: str):
+    """The rule strategy with the named columns besides levels and power; with all if none is named."""
+    return rules_backtest(fx.forecast(spark, folder), fx.SERIES, SCENARIOS, columns=list(columns) or None)
+
+
+def _logged(spark, folder, *columns: str):
+    return action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS, columns=list(columns) or None)
 
 
 @query(
@@ -105,7 +110,7 @@ def rules(spark, folder):
     f"{LOG_SQL} SELECT series_id, scenario_id, time_stamp, action, {', '.join(r(c) for c in DISPATCHED)} FROM dispatch",
 )
 def action_log(spark, folder):
-    rows = action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS)
+    rows = _logged(spark, folder)
     return rounded(rows.select(*OUT, "time_stamp", "action", *DISPATCHED))
 
 
@@ -120,7 +125,8 @@ def action_log(spark, folder):
 )
 def terminal(spark, folder):
     log = market_context(_log(spark, folder), fx.SERIES)
-    return rounded(terminal_value(action_log_backtest(log, fx.SERIES, SCENARIOS), OUT))
+    columns = ["time_stamp", "forecast_rolling_mean", "realized_revenue"]
+    return rounded(terminal_value(action_log_backtest(log, fx.SERIES, SCENARIOS, columns=columns), OUT))
 
 
 DAILY_SQL = """,
@@ -147,7 +153,7 @@ DAILY = [
            {r('cumulative_profit')}, {r('running_peak')}, {r('cumulative_profit - running_peak', 'drawdown')} FROM p""",
 )
 def daily_table(spark, folder):
-    rows = mt.daily_table(_rules(spark, folder), OUT)
+    rows = mt.daily_table(_rules(spark, folder, "time_stamp", "realized_revenue"), OUT)
     return rounded(rows)
 
 
@@ -188,25 +194,26 @@ SUMMARY_SELECT = ", ".join(c if c in WHOLE else r(c) for c in mt.SUMMARY_FIELDS)
 def rules_summary(spark, folder):
     """All 25 fields, written as JSON and read back."""
     path = scratch(spark, "summary")
-    table = mt.summary(_rules(spark, folder), OUT)
+    table = mt.summary(_rules(spark, folder, "time_stamp", "realized_revenue"), OUT)
     tables.write_json(table, path)
     return rounded(spark.read.schema(table.schema).json(path))
 
 
 @query("action_log_summary", f"{LOG_SQL}{SUMMARY_SQL} SELECT series_id, scenario_id, {SUMMARY_SELECT} FROM summary")
 def action_log_summary(spark, folder):
-    return rounded(mt.summary(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS), OUT))
+    return rounded(mt.summary(_logged(spark, folder, "time_stamp", "realized_revenue"), OUT))
 
 
 # --- planned schedules ---------------------------------------------------------
 
 
 def _planned(spark, folder) -> dict[str, DataFrame]:
+    """The three planned schedules, settled, without running profit."""
     rows = with_scenarios(fx.forecast(spark, folder), SCENARIOS)
     return {
-        "4-Hour Rolling": settle_schedule(rolling_schedule(rows, KEYS), KEYS),
-        "24-Hour Horizon": settle_schedule(daily_schedule(rows, KEYS), KEYS),
-        "Perfect Foresight": settle_schedule(perfect_foresight(rows, KEYS), KEYS),
+        "4-Hour Rolling": settle_schedule(rolling_schedule(rows, KEYS), KEYS, cumulative=False),
+        "24-Hour Horizon": settle_schedule(daily_schedule(rows, KEYS), KEYS, cumulative=False),
+        "Perfect Foresight": settle_schedule(perfect_foresight(rows, KEYS), KEYS, cumulative=False),
     }
 
 
@@ -346,10 +353,10 @@ def schedule_checks(spark, folder):
 def foresight_is_ceiling(spark, folder):
     """No day schedule earns more than foresight, and foresight never loses a day."""
     rows = with_scenarios(fx.forecast(spark, folder), SCENARIOS)
-    day = mt.daily_rollup(settle_schedule(daily_schedule(rows, KEYS), KEYS), OUT).select(
+    day = mt.daily_rollup(settle_schedule(daily_schedule(rows, KEYS), KEYS, cumulative=False), OUT).select(
         *OUT, "date", F.col("daily_profit").alias("planned")
     )
-    best = mt.daily_rollup(settle_schedule(perfect_foresight(rows, KEYS), KEYS), OUT).select(*OUT, "date", "daily_profit")
+    best = mt.daily_rollup(settle_schedule(perfect_foresight(rows, KEYS), KEYS, cumulative=False), OUT).select(*OUT, "date", "daily_profit")
     return best.join(day, [*OUT, "date"]).groupBy(*OUT).agg(
         F.bool_and(F.col("daily_profit") >= F.col("planned") - 1e-6).alias("ceiling_holds"),
         F.bool_and(F.col("daily_profit") >= -1e-6).alias("no_losing_day"),
@@ -379,7 +386,7 @@ _COMPARE_SQL = """SELECT series_id, scenario_id, total_profit_usd AS total_profi
     FROM t GROUP BY 1""",
 )
 def scenario_comparison(spark, folder):
-    summaries = mt.summary(_rules(spark, folder), OUT)
+    summaries = mt.summary(_rules(spark, folder, "time_stamp", "realized_revenue"), OUT)
     table = reports.strategy_table(summaries, ["series_id"], "scenario_id")
     return rounded(reports.strategy_winners(table, ["series_id"], [s.scenario_id for s in SCENARIOS], "scenario_id"))
 
@@ -393,7 +400,7 @@ def scenario_comparison(spark, folder):
            {r('top - total_profit', 'gap_to_ceiling')} FROM m""",
 )
 def capture_ladder(spark, folder):
-    summaries = mt.summary(_rules(spark, folder), OUT)
+    summaries = mt.summary(_rules(spark, folder, "time_stamp", "realized_revenue"), OUT)
     table = reports.strategy_table(summaries, ["series_id"], "scenario_id")
     return rounded(reports.capture_ladder(table, ["series_id"], "base", "scenario_id"))
 
@@ -411,7 +418,7 @@ def capture_ladder(spark, folder):
     FROM dispatch d JOIN chosen c ON d.series_id = c.series_id AND d.scenario_id = c.scenario_id AND d.time_stamp::DATE = c.date""",
 )
 def best_day(spark, folder):
-    kept = _rules(spark, folder).select(*OUT, "time_stamp", "charge_mw", "discharge_mw", "realized_revenue")
+    kept = _rules(spark, folder, "time_stamp", "realized_revenue").select(*OUT, "time_stamp", "charge_mw", "discharge_mw", "realized_revenue")
     rows = reports.best_day(durable(kept), OUT)
     rows = rows.withColumn("net_dispatch_mw", F.col("discharge_mw") - F.col("charge_mw"))
     return rounded(rows.select(*OUT, "time_stamp", "selected_date", "net_dispatch_mw", "realized_revenue"))
@@ -427,12 +434,12 @@ def best_day(spark, folder):
     FROM daily GROUP BY 1, 2""",
 )
 def extreme_days(spark, folder):
-    return rounded(reports.extreme_days(mt.daily_rollup(_rules(spark, folder), OUT), OUT))
+    return rounded(reports.extreme_days(mt.daily_rollup(_rules(spark, folder, "time_stamp", "realized_revenue"), OUT), OUT))
 
 
 @query("action_counts", f"{LOG_SQL} SELECT series_id, scenario_id, action, count(*) AS intervals FROM dispatch GROUP BY 1, 2, 3")
 def action_counts(spark, folder):
-    return reports.action_counts(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS), OUT)
+    return reports.action_counts(_logged(spark, folder, "action"), OUT)
 
 
 _ACTION_STATS = """,
@@ -449,7 +456,7 @@ stats AS (
            {r('intervals / sum(intervals) OVER (PARTITION BY series_id, scenario_id) * 100', 'action_percentage')} FROM stats""",
 )
 def action_price_summary(spark, folder):
-    log = durable(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS).select(*OUT, "predicted", "action"))
+    log = durable(_logged(spark, folder, "predicted").select(*OUT, "predicted", "action"))
     return rounded(reports.action_price_summary(log, OUT, "predicted", "action"))
 
 
@@ -463,13 +470,13 @@ def action_price_summary(spark, folder):
     FROM stats GROUP BY 1, 2""",
 )
 def median_spread(spark, folder):
-    log = durable(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS).select(*OUT, "predicted", "action"))
+    log = durable(_logged(spark, folder, "predicted").select(*OUT, "predicted", "action"))
     return rounded(reports.median_spread(reports.action_price_summary(log, OUT, "predicted", "action"), OUT))
 
 
 def _levels(spark, folder) -> DataFrame:
     """Only what the level reports read, written once: quantiles read their input twice."""
-    return durable(_rules(spark, folder).select(*OUT, "time_stamp", "soc_mwh", "capacity_mwh"))
+    return durable(_rules(spark, folder, "time_stamp").select(*OUT, "time_stamp", "soc_mwh", "capacity_mwh"))
 
 
 @query(
@@ -542,7 +549,7 @@ def earliest_slots(spark, folder):
     FROM h GROUP BY 1, 2""",
 )
 def hourly_extremes(spark, folder):
-    return rounded(reports.hourly_extremes(_rules(spark, folder), OUT))
+    return rounded(reports.hourly_extremes(_rules(spark, folder, "time_stamp"), OUT))
 
 
 @query(
@@ -554,7 +561,7 @@ def hourly_extremes(spark, folder):
     FROM dispatch""",
 )
 def duration_curve(spark, folder):
-    rows = action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS)
+    rows = _logged(spark, folder, "time_stamp")
     rows = rows.withColumn("net", F.round(F.col("discharge_mw") - F.col("charge_mw"), 6))
     curve = reports.duration_curve(rows, OUT, "net")
     return rounded(
@@ -571,7 +578,7 @@ def duration_curve(spark, folder):
     FROM s, (VALUES ('Discharge'), ('Idle'), ('Charge')) t(operating_state) GROUP BY 1, 2, 3""",
 )
 def state_shares(spark, folder):
-    return rounded(reports.state_shares(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS), OUT))
+    return rounded(reports.state_shares(_logged(spark, folder, "pos"), OUT))
 
 
 @query(
@@ -586,4 +593,4 @@ def state_shares(spark, folder):
     FROM s GROUP BY 1, 2""",
 )
 def duration_statistics(spark, folder):
-    return rounded(reports.duration_statistics(action_log_backtest(_log(spark, folder), fx.SERIES, SCENARIOS), OUT))
+    return rounded(reports.duration_statistics(_logged(spark, folder, "pos"), OUT))
