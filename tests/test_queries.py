@@ -12,7 +12,7 @@ import check
 FOLDER = "/root/testdata/sf0.001"
 CHOSEN = [
     "load_scan", "weather_scan", "price_features", "threshold_signals", "rules_backtest", "rules_summary",
-    "residual_histogram", "duration_curve", "aligned_profits", "schedule_checks",
+    "residual_histogram", "duration_curve", "aligned_profits", "profit_endpoints", "strategy_ladder", "schedule_checks",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not there")

@@ -12,7 +12,9 @@ from tidewatt.operators.quantiles import exact_quantiles
 from tidewatt.operators.resample import fill_forward
 from tidewatt.operators.rolling import Trailing, add_trailing, drop_states, look_ahead, rolling_quantiles
 from tidewatt.operators.soc import soc_path
-from tidewatt.plans.rules import market_context
+from tidewatt.plans.reports import align_profits
+from tidewatt.plans.rules import action_log_backtest, market_context
+from tidewatt.session import _WRITTEN
 from tidewatt.settings import Battery, with_scenarios
 
 
@@ -131,6 +133,67 @@ def test_fill_forward_equals_pandas(spark):
     assert list(got.v) == list(want.v)
 
 
+def test_a_stray_timestamp_is_filled_by_many_tasks(spark):
+    rows = [("a", "1974-01-01 00:00:00", 1.0), ("a", "2024-01-01 00:00:00", 2.0), ("b", "2024-01-01 00:30:00", 3.0), ("b", "2024-01-01 01:00:00", 4.0)]
+    df = spark.createDataFrame(rows, "k string, t string, v double").select("k", F.col("t").cast("timestamp_ntz").alias("time_stamp"), "v")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        grid = fill_forward(df, ["k"]).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in grid.groupBy("part").count().collect()]
+        by_key = {r.k: r for r in grid.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("time_stamp").alias("d"), F.sum("v").alias("s")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    slots = 18_262 * 96 + 1  # 50 years
+    assert by_key["a"].n == by_key["a"].d == slots and by_key["a"].s == slots + 1
+    assert by_key["b"].n == 3 and by_key["b"].s == 10.0
+    assert len(sizes) == tasks and max(sizes) < 0.5 * slots
+
+
+def test_running_reads_its_input_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        calls.add(1)
+        return float(v)
+
+    df = spark.range(1_000).select(F.lit("a").alias("k"), F.col("id").alias("pos"), counted("id").alias("v"))
+    before = len(_WRITTEN)
+    got = running(df, ["k"], {"s": ("sum", "v"), "m": ("max", "v")}, size=64).collect()
+    assert calls.value == 1_000 and len(_WRITTEN) > before
+    assert all((r.s, r.m) == (r.pos * (r.pos + 1) / 2, float(r.pos)) for r in got) and len(got) == 1_000
+    exclusive = running(df, ["k"], {"s": ("sum", "v")}, size=64, inclusive=False).collect()
+    assert all(r.s == (r.pos * (r.pos - 1) / 2 if r.pos else None) for r in exclusive)
+
+
+def test_profits_are_aligned_by_pandas_rules(spark):
+    rng = np.random.default_rng(9)
+    stamps = pd.date_range("2024-03-01", periods=400, freq="15min")
+    wide = pd.DataFrame({n: np.where(rng.random(400) < share, rng.normal(size=400), np.nan) for n, share in (("a", 0.9), ("b", 0.3), ("c", 0.02))}, index=stamps)
+    wide = wide.dropna(how="all")
+    frames = {}
+    for n in "abc":
+        part = wide[n].dropna().rename("cumulative_profit").rename_axis("time_stamp").reset_index().assign(k="x")
+        frames[n] = spark.createDataFrame(part).withColumn("time_stamp", F.col("time_stamp").cast("timestamp_ntz"))
+    got = align_profits(frames, ["k"]).orderBy("time_stamp").toPandas()
+    want = wide.reset_index(drop=True).interpolate(limit_direction="both")
+    np.testing.assert_allclose(got[["a", "b", "c"]], want, atol=1e-9)
+    none = {n: f.limit(0) for n, f in frames.items()}
+    assert align_profits(none, ["k"]).count() == 0
+
+
+def test_replay_carries_only_what_is_read(spark):
+    log = spark.createDataFrame(
+        [("a", i, 5.0 + i, 5.0, i % 3, "note") for i in range(200)], "k string, pos long, actual double, predicted double, action_code int, remark string"
+    ).withColumn("time_stamp", F.timestamp_seconds(F.col("pos") * 900).cast("timestamp_ntz"))
+    whole = action_log_backtest(log, ["k"]).orderBy("pos")
+    short = action_log_backtest(log, ["k"], columns=["realized_revenue"]).orderBy("pos")
+    assert "remark" in whole.columns and not {"remark", "predicted", "cumulative_profit"} & set(short.columns)
+    assert [r.realized_revenue for r in whole.collect()] == [r.realized_revenue for r in short.collect()]
+    assert "realized_revenue" not in action_log_backtest(log, ["k"], columns=["action"]).columns
+
+
 def test_soc_path_equals_loop(spark):
     rng = np.random.default_rng(5)
     # 9,300 rows need two levels of blocks of 96.

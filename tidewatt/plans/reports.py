@@ -359,14 +359,18 @@ def keep_last(df: DataFrame, keys: list[str], ts: str, tiebreak: str) -> DataFra
 def align_profits(frames: dict[str, DataFrame], keys: list[str], value: str = "cumulative_profit") -> DataFrame:
     """Running profit of every strategy on the union of their timestamps.
 
+    Any number of strategies merge in one exchange: rows are tagged, put together and
+    folded to one row per timestamp (of a repeated timestamp the highest value counts).
     Gaps are filled linearly by row position and flat at the ends.
     """
-    named = [
-        frame.select(*keys, "time_stamp", F.col(value).cast("double").alias(name)).na.drop()
+    tagged = [
+        frame.select(*keys, "time_stamp", F.lit(name).alias("_of"), F.col(value).cast("double").alias("_v")).na.drop(subset=["_v"])
         for name, frame in frames.items()
     ]
-    joined = reduce(lambda a, b: a.join(b, [*keys, "time_stamp"], "full_outer"), named)
-    return interpolate_rows(number_rows(joined, keys, ["time_stamp"]), keys, list(frames))
+    folded = reduce(DataFrame.unionByName, tagged).groupBy(*keys, "time_stamp").agg(
+        *[F.max(F.when(F.col("_of") == name, F.col("_v"))).alias(name) for name in frames]
+    )
+    return interpolate_rows(number_rows(folded, keys, ["time_stamp"]), keys, list(frames))
 
 
 def profit_endpoints(aligned: DataFrame, keys: list[str], strategies: list[str]) -> DataFrame:

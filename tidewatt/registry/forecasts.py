@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatt.functions.labels import FEATURE_LABELS, feature_label
 from tidewatt.operators import metrics as mt
-from tidewatt.operators.settle import cumulative_profit
 from tidewatt.plans import features as ft, models as md, reports
 from tidewatt.registry import fixtures as fx
 from tidewatt.registry.base import query, r, rounded
 from tidewatt.registry.series import scratch
-from tidewatt.registry.windows import ID, PRICE_SQL, W, lag
+from tidewatt.registry.windows import ID, PRICE_SQL, lag
 from tidewatt.session import durable
 from tidewatt.settings import Boosting, Forest, Search
 from tidewatt.sources import tables
@@ -279,50 +278,3 @@ def scored_rows(spark, folder):
     models, table = md.benchmark(train, later.filter(F.col("time_stamp") < border), ft.MODEL_FEATURES, "price", KINDS)
     picked = table.orderBy("rmse", "model").first()["model"]
     return rounded(md.score(models[picked], later.filter(F.col("time_stamp") >= border), "price", ["series_id"]))
-
-
-# Two strategies whose rows do not line up: sums of errors on every other and third slot.
-_A = f"SELECT series_id, time_stamp, sum(actual - predicted) OVER ({W}) AS a FROM forecast WHERE pos % 2 = 0"
-_B = f"SELECT series_id, time_stamp, sum(predicted - actual) OVER ({W}) AS b FROM forecast WHERE pos % 3 = 0"
-
-
-def _interpolated(c: str) -> str:
-    return f"""CASE WHEN {c} IS NOT NULL THEN {c} WHEN p_{c} IS NULL THEN nv_{c} WHEN n_{c} IS NULL THEN pv_{c}
-      ELSE pv_{c} + (nv_{c} - pv_{c}) * (i - p_{c}) / (n_{c} - p_{c}) END"""
-
-
-_ALIGNED = f"""WITH {fx.FORECAST_SQL},
-    a AS ({_A}), b AS ({_B}),
-    j AS (SELECT coalesce(a.series_id, b.series_id) AS series_id, coalesce(a.time_stamp, b.time_stamp) AS time_stamp, a, b
-          FROM a FULL JOIN b ON a.series_id = b.series_id AND a.time_stamp = b.time_stamp),
-    i AS (SELECT *, row_number() OVER ({W}) - 1 AS i FROM j),
-    k AS (SELECT *, {", ".join(f"max(CASE WHEN {c} IS NOT NULL THEN i END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS p_{c}, min(CASE WHEN {c} IS NOT NULL THEN i END) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n_{c}, last_value({c} IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS pv_{c}, first_value({c} IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv_{c}" for c in "ab")} FROM i),
-    aligned AS (SELECT series_id, time_stamp, {_interpolated('a')} AS a, {_interpolated('b')} AS b FROM k)"""
-
-
-def _aligned(spark, folder) -> DataFrame:
-    rows = durable(fx.forecast(spark, folder))
-    frames = {}
-    for name, step, sign in (("a", 2, 1.0), ("b", 3, -1.0)):
-        part = rows.filter(F.pmod("pos", F.lit(step)) == 0)
-        part = part.withColumn("realized_revenue", sign * (F.col("actual") - F.col("predicted")))
-        frames[name] = cumulative_profit(part, ["series_id"])
-    return reports.align_profits(frames, ["series_id"])
-
-
-@query("aligned_profits", f"{_ALIGNED} SELECT series_id, time_stamp, {r('a', digits=5)}, {r('b', digits=5)} FROM aligned")
-def aligned_profits(spark, folder):
-    return rounded(_aligned(spark, folder).select(*ID, "a", "b"), digits=5)
-
-
-@query(
-    "profit_endpoints",
-    f"""{_ALIGNED},
-    l AS (SELECT series_id, time_stamp, 'a' AS strategy, a AS v FROM aligned UNION ALL SELECT series_id, time_stamp, 'b', b FROM aligned)
-    SELECT series_id, strategy, {r('arg_max(v, time_stamp)', 'final_value', 5)}, {r('max(v)', 'peak_value', 5)},
-           (list(time_stamp ORDER BY v DESC, time_stamp))[1] AS peak_time, {r('min(v)', 'lowest_value', 5)},
-           greatest(1, datesub('day', min(time_stamp), max(time_stamp))) AS period_days
-    FROM l GROUP BY 1, 2""",
-)
-def profit_endpoints(spark, folder):
-    return rounded(reports.profit_endpoints(_aligned(spark, folder), ["series_id"], ["a", "b"]), digits=5)
