@@ -4,8 +4,9 @@ Documents are tokenised once and written with their piece lengths.  Packing then
 moves only (key, length): groups of pieces are packed by best-fit decreasing, and
 dual-feasible functions give a lower bound on the bins a group needs.  A group
 that meets its bound is certified and gives away only its emptiest bin (which a
-union of groups may save); a group with a gap gives away more.  The pieces given
-away are exchanged into fewer groups and packed again, until one group is left.
+union of groups may save); a group with a gap gives away more, up to half of its pieces.
+What is given away is exchanged into half as many groups at most and packed again, until
+one group or nothing is left.
 """
 
 from __future__ import annotations
@@ -131,7 +132,9 @@ def _packer(capacity: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]
         if not last:
             gap = len(room) - lower_bound(lengths, capacity)
             emptiest = np.argsort(-np.array(room), kind="stable")
-            given[emptiest[: 1 + GIVEN * gap]] = True
+            # Half of the pieces at most, so that the pool shrinks with every round.
+            pieces = np.cumsum(np.bincount(bins, minlength=len(room))[emptiest])
+            given[emptiest[: 1 + GIVEN * gap][pieces[: 1 + GIVEN * gap] <= len(rows) // 2]] = True
             given &= np.array(room) > 0
         return rows.assign(bin=bins, offset=offsets, given=given[bins])[["key", "length", "group", "bin", "offset", "given"]]
 
