@@ -139,8 +139,8 @@ WITH whole AS (
       AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ),
 pairs AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-    FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+    SELECT q.vec_id AS query_id, c.vec_id, max(list_dot_product(q.v, c.v))::BIGINT AS score
+    FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id GROUP BY 1, 2
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5

@@ -101,8 +101,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
 
     ``vectors`` has vec_id and embedding.  Ties go to the smaller vec_id.  Vectors that
     ``quantised`` leaves out take no part, nor do those of another length than the
-    query's.  Rows equal in id and vector count once; other rows of one id are other
-    rows, except that a query's id is never its own answer.  Empty in, empty out.
+    query's.  Rows equal in id and vector count once.  Every id is one answer, by its best
+    vector where it has several (and, if it is a query, by the best for any of its own);
+    a query's id is never its own answer.  Empty in, empty out.
     """
     rows = quantised(vectors).distinct()
     rows = durable(rows.withColumn("dims", F.size("v")))
@@ -138,14 +139,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
     least = gathered.where("e IS NULL").groupBy("q", "block").agg(F.min("part").alias("least"))
     least = durable(least.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("block", "least"))).alias("least")))
     floor_sum = F.aggregate(F.map_values("least"), F.lit(0).cast("long"), lambda a, x: a + x)
-    # The exact scores of all entries seen so far: the k-th best of them is a safe cutoff.
-    other = entries.select("e", F.col("v").alias("w"))
+    # The exact scores of all entries seen so far: the k-th best id's among them is a safe cutoff.
+    other = entries.select("e", "low", F.col("v").alias("w"))
+    askers = asked.select("q", F.col("query_id").alias("low")).distinct()
     product = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
     seen = gathered.where("e IS NOT NULL").select("q", "e").distinct()
-    safe = seen.join(distinct.select("q", "v"), "q").join(other, "e").select("q", "e", product.alias("safe"))
-    order = Window.partitionBy("q").orderBy(F.desc("safe"), "e")
-    kth = safe.withColumn("r", F.row_number().over(order)).where(F.col("r") == k)
-    cutoff = kth.select("q", F.col("safe").alias("cutoff"))
+    safe = seen.join(distinct.select("q", "v"), "q").join(other, "e").select("q", "low", product.alias("score"))
+    cutoff = _kth(safe, askers, k).withColumnRenamed("kth", "cutoff")
     # An entry at the cutoff exceeds the least scores by an equal share in one block at least.
     shares = distinct.join(least, "q").join(cutoff, "q", "left").select(
         "q", "dims", "v", "cutoff", "least",
@@ -164,16 +164,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
         lambda a, x: a + x + F.col("over") - 1,
     )
     hopeful = met.join(above, "q").where(F.col("cutoff").isNull() | (F.col("sum") + missing >= F.col("cutoff")))
-    exact = hopeful.join(other, "e").select("q", "e", "cutoff", product.alias("score"))
+    exact = hopeful.join(other, "e").select("q", "e", "low", "cutoff", product.alias("score"))
     exact = durable(exact.where(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff"))))
 
     # Back to ids: of equal vectors the k + 1 smallest ids, then the k best for each query row.
     by_id = Window.partitionBy("e").orderBy("vec_id")
     members = rows.join(named, F.col("v") == F.col("_v")).select(F.col("entry").alias("e"), "vec_id").distinct()
     members = members.withColumn("i", F.row_number().over(by_id)).where(F.col("i") <= k + 1).drop("i")
-    # A query needs its k best entries at most, one id each, beyond its own.
-    by_entry = Window.partitionBy("q").orderBy(F.desc("score"))
-    near = exact.withColumn("i", F.rank().over(by_entry)).where(F.col("i") <= k + 1).drop("i", "cutoff")
+    # A query needs no entry below its k-th best id.
+    near = exact.join(_kth(exact, askers, k), "q", "left").where(F.col("kth").isNull() | (F.col("score") >= F.col("kth")))
+    near = near.select("q", "e", "score")
     answers = asked.select("query_id", "q").distinct().join(near, "q").join(members, "e").where("vec_id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     final = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -181,5 +181,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, blocks: int = BLOCKS)
     return final.select("query_id", "rank", "vec_id", "score")
 
 
+def _kth(scored: DataFrame, askers: DataFrame, k: int) -> DataFrame:
+    """(q, kth): the k-th highest score of different ids (``low``) that do not ask for ``q`` themselves."""
+    best = scored.join(askers, ["q", "low"], "left_anti").groupBy("q", "low").agg(F.max("score").alias("kth"))
+    order = Window.partitionBy("q").orderBy(F.desc("kth"), "low")
+    return best.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("q", "kth")
+
+
 def _empty(vectors: DataFrame) -> DataFrame:
     return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
