@@ -16,6 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Hex digits of the hash that make the uniform number.
 _DIGITS = 13
+#: A larger rate is cut into equal parts of at most this, whose counts are drawn apart and added:
+#: a sum of Poisson numbers is one of the summed rate, and the plan holds the steps of one part.
+PART = 256
+#: Copies that one task makes of a document at a time.
+SPREAD = 1_000
 
 
 def poisson_steps(rate: float) -> list[float]:
@@ -70,7 +75,9 @@ def replicate(
     ``copies`` (the document's count) and ``copy`` from 0, in shuffled order.  The
     mixture's expected size is ``growth`` times the corpus.  Sources not named,
     null among them, keep their proportions to one another.  Rows with equal ids,
-    and with null ids, draw the same number; an empty table gives an empty result.
+    and with null ids, draw the same number and share their copies' places, in any order;
+    an empty table gives an empty result.  Rates may be as large as counts of copies (an
+    int); the work is proportional to the copies, spread over tasks where a rate is large.
     ``weights`` is a parameter, so only its few sources ever reach the driver.
     """
     mean = rates(source_sizes(docs, list(weights)), weights, growth)
@@ -80,17 +87,34 @@ def replicate(
             rate = F.when(F.col("source") == source, F.lit(r)).otherwise(rate)
             count = F.when(F.col("source") == source, _quantile(r, seed)).otherwise(count)
     counted = docs.select(F.struct("*").alias("document"), rate.alias("rate"), count.alias("copies"))
-    exploded = counted.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    exploded = _copied(counted.where("copies > 0"), max(mean.values(), default=0.0) > PART)
     place = uniform(f"{seed}-order", F.col("document.doc_id"), F.col("copy"))
     placed = exploded.withColumn("place", place)
     dealt = placed.repartition(partitions, "place") if partitions else placed.repartition("place")
     return dealt.sortWithinPartitions("place").select("document", "rate", "copies", "copy", "place")
 
 
+def _copied(counted: DataFrame, spread: bool) -> DataFrame:
+    """A row for each copy; with ``spread``, documents of many copies are dealt out in portions first."""
+    whole = F.sequence(F.lit(0), F.col("copies") - 1)
+    if not spread:
+        return counted.select("*", F.explode(whole).alias("copy"))
+    few = counted.where(F.col("copies") <= SPREAD).select("*", F.explode(whole).alias("copy"))
+    first = F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(SPREAD))).alias("first")
+    portions = counted.where(F.col("copies") > SPREAD).select("*", first).repartition(F.col("document"), F.col("first"))
+    last = F.least(F.col("first") + (SPREAD - 1), F.col("copies") - 1)
+    return few.unionByName(portions.select("document", "rate", "copies", F.explode(F.sequence("first", last)).alias("copy")))
+
+
 def _quantile(rate: float, seed: str) -> Column:
-    """How many steps of the distribution the document's uniform number has reached."""
-    steps = poisson_steps(rate)
+    """How many steps of the distribution the document's uniform number has reached, added up over the parts of the rate."""
+    parts = max(1, math.ceil(rate / PART))
+    steps = poisson_steps(rate / parts)
     if not steps:
         return F.lit(0)
-    u = uniform(seed, F.col("doc_id"))
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
+    listed = F.array(*[F.lit(s) for s in steps])
+    if parts == 1:
+        u = uniform(seed, F.col("doc_id"))
+        return F.size(F.filter(listed, lambda s: s <= u))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: uniform(seed, F.col("doc_id"), i))
+    return F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter(listed, lambda s: s <= u)))
