@@ -130,6 +130,36 @@ def test_long_texts_keep_all_anchors_and_are_chained():
         assert syncmers._chain(x, y) == best[-1][-1]
 
 
+@pytest.mark.parametrize("kept,costly", [(2_048, 4_096), (1, 1), (1, 10**9)])
+def test_chains_of_long_texts_are_the_same_by_any_way(monkeypatch, kept, costly):
+    monkeypatch.setattr(syncmers, "_KEPT", kept)
+    monkeypatch.setattr(syncmers, "_COSTLY", costly)
+    rng = np.random.default_rng(12)
+    for size in (1, 2, 7, 40, 200):
+        for kinds in (2, 20, 500):
+            x, y = (rng.integers(0, kinds, rng.integers(0, size + 1)).astype(np.uint64) for _ in range(2))
+            best = [[0] * (len(y) + 1)]
+            for a in x:
+                row = [0]
+                for j, b in enumerate(y):
+                    row.append(best[-1][j] + 1 if a == b else max(best[-1][j + 1], row[j]))
+                best.append(row)
+            assert syncmers._chain(x, y) == best[-1][-1]
+
+
+def test_very_long_texts_are_chained_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(97, 123, 3_000_000)))
+    one, two = syncmers.sketch(text), syncmers.sketch(text[1_500_000:] + text[:1_500_000])
+    tracemalloc.start()
+    got = syncmers.likeness(one, two)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0.32 < got < 0.35 and most < 500_000_000
+
+
 def test_fingerprints_of_awkward_rows(docs, none):
     out = syncmers.fingerprints(docs).collect()
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in AWKWARD)
@@ -179,6 +209,20 @@ def test_groups_exchange_until_one_is_left(spark):
     assert bound <= len(loads) <= bound * 1.03 + 1
 
 
+def test_packing_ends_on_lengths_with_a_wide_gap(spark):
+    lengths = [2089, 1106, 1065, 942, 942] * 1200
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "key long, length long")
+    rows = packing.pack(pieces, group=600).collect()
+    assert sorted(r.key for r in rows) == list(range(6000))
+    filled = Counter()
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += lengths[r.key]
+    assert max(filled.values()) <= 4096 and len(filled) <= 1.25 * packing.lower_bound(np.array(lengths), 4096)
+    ones = spark.createDataFrame([(i, 4000) for i in range(50)], "key long, length long")
+    assert packing.pack(ones, group=3).count() == 50
+
+
 def test_bounds_never_exceed_the_optimum():
     rng = np.random.default_rng(1)
 
@@ -416,6 +460,23 @@ def test_top_k_against_all_pairs(spark, monkeypatch, cells):
     assert sorted(map(tuple, out.collect())) == _plain_top(single, 5)
 
 
+def test_every_id_is_one_answer_by_its_best_vector(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.5]), *[(7, [1.0 + i / 64, 0.5]) for i in range(30)], *[(10 + i, [0.5, i / 16]) for i in range(10)]]
+    rows += [(50, rng.normal(0, 1, 2).round(2).tolist()) for _ in range(4)] + [(100, [1.0, 0.5]), (8, [1.0, 0.5]), (0, [3.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    single = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    out = sorted(map(tuple, topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5).collect()))
+    best: dict = {}
+    for i, _, j, score in _plain_top(single, 99):  # every vector of a query by itself
+        best[i, j] = max(score, best.get((i, j), score))
+    want = []
+    for i in (0, 50, 100):
+        ranked = sorted((-score, j) for (q, j), score in best.items() if q == i)[:5]
+        want += [(i, n, j, -score) for n, (score, j) in enumerate(ranked, 1)]
+    assert out == want and len(out) == 15
+
+
 def test_no_vectors_no_answers(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert topk.top_k(empty, F.col("vec_id") % 50 == 0).count() == 0
@@ -582,6 +643,24 @@ def test_mixing_of_awkward_rows(docs, none):
         mixing.replicate(docs, {"src0": 0.9, "src1": 0.2})
 
 
+def test_a_tiny_source_is_repeated_a_million_times(spark, monkeypatch):
+    rows = [(0, "", "small"), (1, None, "small")] + [(2 + i, "x" * 999, "big") for i in range(1_998)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.replicate(docs, {"small": 0.5, "big": 0.5})
+    counts = {r.doc_id: r for r in out.where("document.source = 'small'").groupBy("document.doc_id").agg(
+        F.count("*").alias("n"), F.max("copies").alias("copies"), F.countDistinct("copy").alias("different"), F.max("rate").alias("rate")
+    ).collect()}
+    assert counts.keys() == {0, 1}
+    for r in counts.values():
+        assert r.n == r.copies == r.different and r.rate == pytest.approx(499_500.5) and abs(r.n - r.rate) < 6 * math.sqrt(r.rate)
+    # The same counts however a rate is cut into parts, on average.
+    monkeypatch.setattr(mixing, "PART", 2)
+    monkeypatch.setattr(mixing, "SPREAD", 3)
+    many = spark.createDataFrame([(i, "x", "s") for i in range(5_000)], "doc_id long, text string, source string")
+    drawn = [r["n"] for r in mixing.replicate(many, {}, growth=9.0).groupBy("document.doc_id").agg(F.count("*").alias("n")).collect()]
+    assert abs(sum(drawn) / 5_000 - 9) < 0.25 and abs(np.var(drawn + [0] * (5_000 - len(drawn))) - 9) < 1
+
+
 def test_steps_are_the_poisson_distribution():
     for rate in (0.01, 1.0, 30.0, 900.0):
         steps = mixing.poisson_steps(rate)

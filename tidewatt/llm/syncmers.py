@@ -14,6 +14,7 @@ rise in both, over the anchors of both with those of the chain counted once.
 from __future__ import annotations
 
 import base64
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ from tidewatt.llm.common import identified, sha256_text
 K, S = 13, 6
 #: Characters of fingerprints that a task holds before it hands them on.
 _HELD = 8_000_000
+#: Chaining goes pair by pair where equal anchors are rarer than this among all pairs, else by bits; both are exact.
+_COSTLY = 4_096
+_KEPT = 2_048
 _WINDOW = K - S + 1  # 8 substrings in a window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,13 +80,13 @@ def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(drawn: tuple[np.ndarray, np.ndarray]) -> str:
-    """Base64 of the hashes, then a hex digit for each step from place to place; empty for an empty text."""
+    """Base64 of the hashes' upper halves, then a hex digit for each step from place to place; empty for an empty text."""
     hashes, places = drawn
     if not len(hashes):
         return ""
     # A step is K - S at most.
     steps = np.frombuffer(b"0123456789abcdef", np.uint8)[np.diff(places, prepend=0)]
-    return base64.b64encode(hashes.astype(">u8").tobytes()).decode() + "-" + steps.tobytes().decode()
+    return base64.b64encode((hashes >> np.uint64(32)).astype(">u4").tobytes()).decode() + "-" + steps.tobytes().decode()
 
 
 def _chain(x: np.ndarray, y: np.ndarray) -> int:
@@ -98,16 +102,65 @@ def _chain(x: np.ndarray, y: np.ndarray) -> int:
     x, y = x[: len(x) - behind], y[: len(y) - behind]
     if not len(x) or not len(y):
         return ahead + behind
-    # One bit for each anchor of x; a zero marks where the chain grows.
+    rare = len(x) > _KEPT and _matches(x, y) * _COSTLY <= len(x) * len(y)
+    return ahead + behind + (_by_patience(x, y) if rare else _by_bits(x, y))
+
+
+def _matches(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs of equal anchors."""
+    (hx, nx), (hy, ny) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+    return int((nx[i] * ny[j]).sum())
+
+
+def _by_patience(x: np.ndarray, y: np.ndarray) -> int:
+    """The longest rising run of places in x, taken in the order of y: memory grows with the anchors alone."""
+    order = np.argsort(x, kind="stable")
+    first = np.searchsorted(x[order], y).tolist()
+    last = np.searchsorted(x[order], y, "right").tolist()
+    places, ends = order.tolist(), []
+    for a, b in zip(first, last, strict=True):
+        for i in reversed(places[a:b]):  # of equal anchors the later first, so that only one of them joins
+            at = bisect.bisect_left(ends, i)
+            if at == len(ends):
+                ends.append(i)
+            else:
+                ends[at] = i
+    return len(ends)
+
+
+def _by_bits(x: np.ndarray, y: np.ndarray) -> int:
+    """One bit for each anchor of x; a zero marks where the chain grows.
+
+    In a long text only masks of frequent anchors are kept: with over 1 / ``_KEPT`` of the
+    places each, they are fewer than ``_KEPT``.  Others are made when they are met.
+    """
     at: dict[int, int] = {}
-    for i, h in enumerate(x.tolist()):
-        at[h] = at.get(h, 0) | 1 << i
+    mask = at.get
+    if len(x) <= _KEPT:
+        for i, h in enumerate(x.tolist()):
+            at[h] = at.get(h, 0) | 1 << i
+    else:
+        order = np.argsort(x, kind="stable")
+        hashes, first, counts = np.unique(x[order], return_index=True, return_counts=True)
+        places = {h: order[a : a + n] for h, a, n in zip(hashes.tolist(), first.tolist(), counts.tolist(), strict=True)}
+
+        def mask(h: int, none: int) -> int:
+            if h in at or h not in places:
+                return at.get(h, none)
+            flags = np.zeros(len(x), np.uint8)
+            flags[places[h]] = 1
+            made = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+            if len(places[h]) * _KEPT > len(x):
+                at[h] = made
+            return made
+
     whole = (1 << len(x)) - 1
     row = whole
     for h in y.tolist():
-        met = row & at.get(h, 0)
+        met = row & mask(h, 0)
         row = ((row + met) | (row - met)) & whole
-    return ahead + behind + len(x) - row.bit_count()
+    return len(x) - row.bit_count()
 
 
 def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
