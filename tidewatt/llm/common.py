@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -33,3 +36,11 @@ def sha256_text(text: str) -> str:
 
 def crc32_bytes(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that a worker holds few texts at a time."""
+    pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

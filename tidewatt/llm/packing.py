@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatt.llm.common import crc32_bytes, identified
+from tidewatt.llm.common import crc32_bytes, identified, slices
 from tidewatt.llm.tokens import encoder
 from tidewatt.session import durable
 
@@ -56,7 +56,7 @@ def tokenised(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
         end = np.array([END], np.uint32).tobytes()
         names = [x.split()[0] for x in _PIECES.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
