@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatt.functions.labels import FEATURE_LABELS, feature_label
 from tidewatt.operators import metrics as mt
+from tidewatt.operators.exchange import partner_sql
 from tidewatt.plans import features as ft, models as md, reports
 from tidewatt.registry import fixtures as fx
 from tidewatt.registry.base import query, r, rounded
@@ -223,6 +224,58 @@ def linear_model(spark, folder):
     )
 
 
+_INPUTS = ["lag_1", "lag_96"]
+#: Least squares with two inputs on the earlier days, for the rows of the later ones.
+_TWO_INPUTS_SQL = f"""{fx.GRID_SQL},
+f AS (SELECT * FROM (SELECT series_id, time_stamp, price, {", ".join(f"{PRICE_SQL[c]} AS {c}" for c in _INPUTS)} FROM price_grid)
+      WHERE lag_1 IS NOT NULL AND lag_96 IS NOT NULL),
+v AS (SELECT avg(price) AS y, avg(lag_1) AS x1, avg(lag_96) AS x2, var_pop(lag_1) AS v1, var_pop(lag_96) AS v2,
+             covar_pop(lag_1, lag_96) AS v12, covar_pop(price, lag_1) AS y1, covar_pop(price, lag_96) AS y2
+      FROM f WHERE time_stamp < TIMESTAMP '2024-01-24'),
+model AS (SELECT *, y - b1 * x1 - b2 * x2 AS b0
+          FROM (SELECT *, (y1 * v2 - y2 * v12) / (v1 * v2 - v12 * v12) AS b1, (y2 * v1 - y1 * v12) / (v1 * v2 - v12 * v12) AS b2 FROM v)),
+later AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY series_id, time_stamp) - 1 AS pos FROM f WHERE time_stamp >= TIMESTAMP '2024-01-24')"""
+
+
+def _two_inputs(spark, folder):
+    """A linear model fitted on the earlier days, and the rows of the later ones."""
+    rows = ft.price_features(fx.price_grid(spark, folder), fx.SERIES).select(*ID, "price", *_INPUTS)
+    rows = durable(rows.na.drop(subset=_INPUTS))
+    border = F.lit("2024-01-24").cast("timestamp_ntz")
+    model = md.fit(rows.filter(F.col("time_stamp") < border), _INPUTS, "price", "linear")
+    return model, rows.filter(F.col("time_stamp") >= border)
+
+
+@query(
+    "linear_scored_rows",
+    f"""WITH {_TWO_INPUTS_SQL},
+    s AS (SELECT series_id, time_stamp, price AS actual, b0 + b1 * lag_1 + b2 * lag_96 AS predicted FROM later, model)
+    SELECT series_id, time_stamp, {r('actual')}, {r('predicted')}, {r('actual - predicted', 'error')},
+           {r('abs(actual - predicted)', 'absolute_error')} FROM s""",
+)
+def linear_scored_rows(spark, folder):
+    """Later rows scored by a model of the earlier ones."""
+    model, later = _two_inputs(spark, folder)
+    return rounded(md.score(model, later, "price", ["series_id"]))
+
+
+@query(
+    "linear_permutation",
+    f"""WITH RECURSIVE {_TWO_INPUTS_SQL}, {partner_sql('later', '42, 43, 44, 45, 46')},
+    base AS (SELECT sqrt(avg((price - b0 - b1 * lag_1 - b2 * lag_96) ** 2)) AS rmse FROM later, model),
+    t AS (SELECT key, sqrt(avg((o.price - b0 - b1 * d.lag_1 - b2 * o.lag_96) ** 2)) AS lag_1,
+                 sqrt(avg((o.price - b0 - b1 * o.lag_1 - b2 * d.lag_96) ** 2)) AS lag_96
+          FROM exchanged e JOIN later o ON o.pos = e.pos JOIN later d ON d.pos = e.partner, model GROUP BY key),
+    u AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, '{FEATURE_LABELS[c]}' AS label, t.{c} - rmse AS rise FROM t, base" for c in _INPUTS)})
+    SELECT feature, label, {r('avg(rise)', 'importance')}, {r('stddev_pop(rise)', 'importance_std')} FROM u GROUP BY 1, 2""",
+)
+def linear_permutation(spark, folder):
+    """Rise of the error of a linear model when one input is exchanged between all later rows."""
+    model, later = _two_inputs(spark, folder)
+    return rounded(md.permutation_importance(model, later, _INPUTS, "price", ID))
+
+
 # Forests and boosted trees of the backtest's own size (200 trees of depth 30, 500 rounds, 35 draws)
 # take hours on these tables; the queries fit smaller ones, on all inputs and all rows (see README).
 KINDS = {
