@@ -214,6 +214,24 @@ def test_folds_do_not_share_an_instant(spark):
     assert table.count() == 3
 
 
+def test_search_keeps_the_better_draws_and_agrees_with_the_whole_search(spark):
+    ts = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=h) for h in range(80)]
+    df = spark.createDataFrame([(t, float(i % 8), float((i % 8) ** 2)) for i, t in enumerate(ts)], "time_stamp timestamp_ntz, x double, y double")
+    grid = {"maxIter": [1, 8], "stepSize": [0.01, 0.9], "subsamplingRate": [1.0], "maxDepth": [1, 4]}
+    whole, all_fits = md.random_search(df, ["x"], "y", search=Search(draws=6, splits=3, grid=grid))
+    halved, some = md.random_search(df, ["x"], "y", search=Search(draws=6, splits=3, keep=2, parallel=2, grid=grid))
+    # The first tree of depth 4 fits every value whatever the step, so the depth alone decides.
+    assert whole == halved and whole["maxDepth"] == 4
+    assert all_fits.count() == 18 and [some.filter(f"fold = {k}").count() for k in range(3)] == [6, 3, 2]
+    assert set(map(tuple, some.collect())) <= set(map(tuple, all_fits.collect()))
+
+
+def test_leaves_bound_the_depth():
+    depths = {(n, d): md.estimator("boosting", leaves=n, maxDepth=d).getMaxDepth() for n in (12, 31, 45) for d in (-1, 4)}
+    assert depths == {(12, -1): 4, (31, -1): 5, (45, -1): 6, (12, 4): 4, (31, 4): 4, (45, 4): 4}
+    assert md.estimator("boosting", maxDepth=8).getMaxDepth() == 8
+
+
 def test_profile_of_times_and_words(spark):
     ts = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(ts, "a", 1.0), (None, None, 2.0), (ts + dt.timedelta(days=3), "b", None)], "t timestamp_ntz, w string, v double")

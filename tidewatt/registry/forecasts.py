@@ -15,7 +15,7 @@ from tidewatt.registry.base import query, r, rounded
 from tidewatt.registry.series import scratch
 from tidewatt.registry.windows import ID, PRICE_SQL, lag
 from tidewatt.session import durable
-from tidewatt.settings import Boosting, Forest, Search
+from tidewatt.settings import DEPTH_GRID, LEAF_GRID, Boosting, Forest, Search
 from tidewatt.sources import tables
 
 _METRICS = f"""{r('avg(abs(actual - predicted))', 'mae')}, {r('sqrt(avg((actual - predicted) ** 2))', 'rmse')},
@@ -280,9 +280,16 @@ def linear_permutation(spark, folder):
 # take hours on these tables; the queries fit smaller ones, on all inputs and all rows (see README).
 KINDS = {
     "Linear Regression": ("linear", None),
-    "Random Forest": ("forest", Forest(trees=8, depth=5)),
-    "Boosted Trees": ("boosting", Boosting(rounds=4, step=0.3, depth=3)),
-    "Boosted Trees, Deep": ("boosting", Boosting(rounds=4, step=0.3, depth=5)),
+    "Random Forest": ("forest", Forest(trees=40, depth=8)),
+    "Boosted Trees": ("boosting", Boosting(rounds=30, step=0.1, depth=4)),
+    "Boosted Trees, Deep": ("boosting", Boosting(rounds=30, step=0.1, depth=5)),
+}
+
+# Few rounds need long steps; every other value list is the backtest's own.
+_FEW_ROUNDS = {"maxIter": [5, 10, 15], "stepSize": [0.1, 0.2, 0.3]}
+SEARCHES = {
+    "Boosted Trees, Tuned": Search(draws=6, keep=2, grid={**DEPTH_GRID, **_FEW_ROUNDS}),
+    "Boosted Leaves, Tuned": Search(draws=6, keep=2, grid={**LEAF_GRID, **_FEW_ROUNDS}),
 }
 
 
@@ -295,18 +302,22 @@ def _learning(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 @query("model_benchmark")
 def model_benchmark(spark, folder):
-    """Linear, forest and boosted models fitted, scored on later days and ranked."""
+    """Linear, forest, boosted and tuned models fitted, scored on later days and ranked."""
     train, test = _learning(spark, folder)
-    _, table = md.benchmark(train, test, ft.MODEL_FEATURES, "price", KINDS)
+    tuned = {name: ("boosting", search) for name, search in SEARCHES.items()}
+    _, table = md.benchmark(train, test, ft.MODEL_FEATURES, "price", {**KINDS, **tuned})
     return rounded(reports.improvement(durable(mt.rank_models(table))))
 
 
 @query("random_search")
 def random_search(spark, folder):
+    """Draws from both value lists over five expanding windows."""
     train, _ = _learning(spark, folder)
-    search = Search(draws=2, splits=5, grid={"maxIter": [2, 3], "stepSize": [0.3], "maxDepth": [2, 3]})
-    _, table = md.random_search(train, ft.MODEL_FEATURES, "price", "time_stamp", search)
-    return rounded(table)
+    each = [
+        md.random_search(train, ft.MODEL_FEATURES, "price", "time_stamp", search)[1].withColumn("model", F.lit(name))
+        for name, search in SEARCHES.items()
+    ]
+    return rounded(reduce(DataFrame.unionByName, each))
 
 
 @query("feature_importance")

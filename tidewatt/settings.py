@@ -103,23 +103,43 @@ class Forest:
     seed: int = 42
 
 
+# Value lists of the search over trees bounded by depth.
+DEPTH_GRID = {
+    "maxIter": [300, 500, 700, 900, 1100],
+    "stepSize": [0.005, 0.01, 0.02, 0.03, 0.05],
+    "maxDepth": [4, 5, 6, 8],
+    "subsamplingRate": [0.8, 0.9, 1.0],
+    "featureSubsetStrategy": ["0.45", "0.6", "0.75", "0.9", "1.0"],
+    "minInstancesPerNode": [1, 3, 5, 7, 10],
+    "minInfoGain": [0.0, 0.1, 0.3, 0.5],
+}
+
+# Value lists of the search over trees bounded by leaves; a depth of -1 is no bound.
+LEAF_GRID = {
+    "maxIter": [300, 500, 700, 900, 1100],
+    "stepSize": [0.005, 0.01, 0.02, 0.03, 0.05],
+    "leaves": [12, 15, 23, 31, 45],
+    "maxDepth": [-1, 4, 5, 6],
+    "minInstancesPerNode": [15, 30, 50, 75],
+    "subsamplingRate": [0.8, 0.9, 1.0],
+    "featureSubsetStrategy": ["0.45", "0.6", "0.75", "0.9", "1.0"],
+}
+
+
 @dataclass(frozen=True)
 class Search:
-    """Random search over boosting settings; the value lists are fixed values."""
+    """Random search over boosting settings.
+
+    After each split the best 1 / ``keep`` of the draws go on to the next; 1
+    keeps them all.  ``parallel`` fits run at a time.
+    """
 
     draws: int = 35
     splits: int = 5
     seed: int = 42
-    grid: dict = field(
-        default_factory=lambda: {
-            "maxIter": [300, 500, 700, 900, 1100],
-            "stepSize": [0.005, 0.01, 0.02, 0.03, 0.05],
-            "maxDepth": [4, 5, 6, 8],
-            "subsamplingRate": [0.8, 0.9, 1.0],
-            "featureSubsetStrategy": ["0.45", "0.6", "0.75", "0.9", "1.0"],
-            "minInstancesPerNode": [1, 3, 5, 7, 10],
-        }
-    )
+    keep: int = 1
+    parallel: int = 4
+    grid: dict = field(default_factory=lambda: dict(DEPTH_GRID))
 
 
 BATTERY_COLUMNS = [f.name for f in fields(Battery)]
