@@ -238,3 +238,27 @@ def test_profile_of_times_and_words(spark):
     got = {r.column: r for r in reports.column_overview(df).collect()}
     assert (got["t"].first, got["t"].last) == ("2024-01-01 00:00:00", "2024-01-04 00:00:00")
     assert {c: r.nulls for c, r in got.items()} == {"t": 1, "w": 1, "v": 1} and got["w"].distinct == 2
+
+
+def test_files_are_read_by_their_own_headings(spark, tmp_path):
+    names = list(tables.PRICE_HEADINGS)
+    (tmp_path / "a.csv").write_text(",".join(names) + '\n"HB, 1",01/02/2024,1,2,7.5\n')
+    other = ["Repeated", *reversed(names)]
+    (tmp_path / "b.csv").write_text("\ufeffnote\n" + ",".join(other) + "\nN,8.5,1,24,01/02/2024,HB2\nN,oops,4,1,01/02/2024,HB2\n")
+    (tmp_path / "c.csv").write_text("")
+    got = {(r.series_id, r.time_stamp): r.price for r in tables.read_prices(spark, str(tmp_path)).filter("time_stamp IS NOT NULL").collect()}
+    assert got == {
+        ("HB, 1", dt.datetime(2024, 1, 2, 0, 15)): 7.5,
+        ("HB2", dt.datetime(2024, 1, 2, 23, 0)): 8.5,
+        ("HB2", dt.datetime(2024, 1, 2, 0, 45)): None,
+    }
+    assert tables.read_prices(spark, str(tmp_path), ["HB2"]).count() == 2
+
+
+def test_a_file_with_two_headings_is_refused_and_one_with_none_goes_by_order(spark, tmp_path):
+    (tmp_path / "bare.csv").write_text("1,2\n3\n")
+    rows = tables.read_by_heading(spark, str(tmp_path / "bare.csv"), ["a", "b"], ["a"]).collect()
+    assert sorted(map(tuple, rows)) == [("1", "2"), ("3", None)]
+    (tmp_path / "two.csv").write_text("a,b\n1,2\nb,a\n3,4\n")
+    with pytest.raises(Exception, match="two headings"):
+        tables.read_by_heading(spark, str(tmp_path / "two.csv"), ["a", "b"], ["a"]).collect()

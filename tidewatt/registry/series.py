@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewatt.functions import scalars as sc
 from tidewatt.operators.positions import number_rows
 from tidewatt.operators.resample import floor_slot
 from tidewatt.plans import reports
 from tidewatt.registry import fixtures as fx
-from tidewatt.registry.base import query, r, rounded, table
+from tidewatt.registry.base import ORACLES, query, r, rounded, table
 from tidewatt.session import shared_folder
 from tidewatt.settings import Split
 from tidewatt.sources import tables
@@ -91,6 +92,21 @@ def load_scan(spark, folder):
 _ALL_WEATHER = [*fx.WEATHER_TYPES, "precipitation"]
 
 
+def _hourly_weather(spark, folder) -> DataFrame:
+    return (
+        fx.readings(spark, folder)
+        .groupBy(F.date_trunc("hour", "ts").alias("t"))
+        .agg(
+            *[
+                F.log(1 + F.avg(F.when(F.col("event_type") == kind, F.col("value")))).cast("string").alias(name)
+                for name, kind in fx.WEATHER_TYPES.items()
+            ],
+            F.log(1 + F.min("value")).cast("string").alias("precipitation"),
+        )
+        .select(F.date_format("t", "yyyy-MM-dd'T'HH:mm").alias("time"), *_ALL_WEATHER)
+    )
+
+
 @query(
     "weather_scan",
     f"""WITH {fx.READINGS_SQL},
@@ -104,18 +120,7 @@ _ALL_WEATHER = [*fx.WEATHER_TYPES, "precipitation"]
 )
 def weather_scan(spark, folder):
     """A weather file with preamble lines in UTC, read to a local 15-minute grid."""
-    hourly = (
-        fx.readings(spark, folder)
-        .groupBy(F.date_trunc("hour", "ts").alias("t"))
-        .agg(
-            *[
-                F.log(1 + F.avg(F.when(F.col("event_type") == kind, F.col("value")))).cast("string").alias(name)
-                for name, kind in fx.WEATHER_TYPES.items()
-            ],
-            F.log(1 + F.min("value")).cast("string").alias("precipitation"),
-        )
-        .select(F.date_format("t", "yyyy-MM-dd'T'HH:mm").alias("time"), *_ALL_WEATHER)
-    )
+    hourly = _hourly_weather(spark, folder)
     names = ["time", *tables.WEATHER_HEADINGS]
     preamble = spark.createDataFrame(
         [("latitude", "longitude"), ("29.7", "-95.3"), (None, None), tuple(names[:2])], "a string, b string"
@@ -128,6 +133,31 @@ def weather_scan(spark, folder):
     return rounded(tables.weather_on_grid(tables.read_weather(spark, f"{path}/part=*"), []))
 
 
+@query("weather_scan_by_heading", ORACLES["weather_scan"])
+def weather_scan_by_heading(spark, folder):
+    """Three files, each with its own preamble and column order, one with a measure more."""
+    hourly = _hourly_weather(spark, folder).withColumn("part", F.substring("time", 9, 2).cast("int") % 3)
+    headings = dict(zip(["time", *_ALL_WEATHER], ["time", *tables.WEATHER_HEADINGS]))
+    orders = [["time", *_ALL_WEATHER], [*reversed(_ALL_WEATHER), "extra", "time"], [_ALL_WEATHER[0], "time", *_ALL_WEATHER[1:]]]
+    first = [
+        (part, place, line)
+        for part, order in enumerate(orders)
+        for place, line in enumerate(["latitude,longitude", "29.7,-95.3", "", ",".join(headings.get(c, c) for c in order)])
+    ]
+    whole = hourly.withColumn("extra", F.lit("1"))
+    each = [
+        whole.filter(F.col("part") == part).select(
+            "part", F.lit(9).alias("place"), F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in order]).alias("value")
+        )
+        for part, order in enumerate(orders)
+    ]
+    path = scratch(spark, "weather")
+    preamble = spark.createDataFrame(first, "part int, place int, value string")
+    lines = reduce(DataFrame.unionByName, [preamble, *each])
+    lines.repartition("part").sortWithinPartitions("part", "place").drop("place").write.partitionBy("part").text(path)
+    return rounded(tables.weather_on_grid(tables.read_weather(spark, f"{path}/part=*"), []))
+
+
 @query(
     "duplicate_slots_averaged",
     f"WITH {fx.SLOTS_SQL} SELECT hub, series_id, time_stamp, {r('price')} FROM slots",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from tidewatt.functions.scalars import (
@@ -15,6 +17,7 @@ from tidewatt.functions.scalars import (
     utc_to_local,
 )
 from tidewatt.operators.resample import collapse_duplicates, fill_forward, shift_time
+from tidewatt.session import attach, durable
 
 # Headings of the raw files and the names used from then on.
 PRICE_HEADINGS = {
@@ -69,10 +72,54 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType) ->
     return spark.read.schema(schema).csv(paths, header=True, enforceSchema=False)
 
 
+def read_by_heading(
+    spark: SparkSession, paths: str | list[str], columns: Iterable[str], required: Iterable[str]
+) -> DataFrame:
+    """Text columns of CSV files whose column order, width and preamble differ from file to file.
+
+    A file's heading is its line whose cells hold every name in ``required``.
+    The headings (one small row per file) are found in one scan and meet the
+    lines by file name, so each line is cut by the heading of its own file.
+    A column that a file lacks is null, further ones are left out.  A file
+    without a heading is read in the order of ``columns``; two different
+    headings in one file are refused.  Preamble lines come out as rows, for the
+    caller to tell by their values; cells over several lines are not read.
+    """
+    columns, required = list(columns), list(required)
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"))
+    likely = reduce(and_, [F.contains(F.col("value"), F.lit(n)) for n in required])
+    candidates = durable(lines.filter(likely))
+    width = max(len(columns), candidates.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 0)
+    schema = ", ".join(f"c{i} string" for i in range(width))
+
+    def cells(line: Column) -> Column:
+        parsed = F.from_csv(F.ltrim(line, F.lit("\ufeff")), F.lit(schema))
+        return F.array(*[F.trim(parsed[f"c{i}"]) for i in range(width)])
+
+    is_heading = reduce(and_, [F.array_contains("_cells", n) for n in required])
+    headings = (
+        candidates.withColumn("_cells", cells(F.col("value")))
+        .filter(is_heading)
+        .groupBy("_file")
+        .agg(F.collect_set("_cells").alias("_found"), F.collect_set("value").alias("_lines"))
+    )
+    found = attach(lines, headings, ["_file"])
+    names = (
+        F.when(F.size("_found") > 1, F.raise_error(F.concat(F.lit("two headings in "), F.col("_file"))).cast("array<string>"))
+        .when(F.size("_found") == 1, F.element_at("_found", 1))
+        .otherwise(F.array(*map(F.lit, columns)))
+    )
+    data = found.filter(~F.coalesce(F.array_contains("_lines", F.col("value")), F.lit(False)))
+    cut = data.select(cells(F.col("value")).alias("_cells"), names.alias("_names"))
+    at = {c: F.array_position("_names", F.lit(c)).cast("int") for c in columns}
+    return cut.select(*[F.when(at[c] > 0, F.try_element_at("_cells", at[c])).alias(c) for c in columns])
+
+
 def read_prices(spark: SparkSession, paths: str | list[str], series: Iterable[str] | None = None) -> DataFrame:
-    """Interval prices of all files, as (series_id, time_stamp, price)."""
-    schema = StructType([StructField(n, t) for n, t in PRICE_HEADINGS.items()])
-    return prices_from_raw(read_csv(spark, paths, schema), series)
+    """Interval prices of all files, as (series_id, time_stamp, price), by the names in each file's heading."""
+    raw = read_by_heading(spark, paths, PRICE_HEADINGS, PRICE_HEADINGS)
+    kinds = {n: F.col(n).try_cast(t) for n, t in PRICE_HEADINGS.items()}
+    return prices_from_raw(raw.withColumns(kinds), series)
 
 
 def prices_from_raw(raw: DataFrame, series: Iterable[str] | None = None) -> DataFrame:
@@ -113,11 +160,10 @@ def load_on_grid(raw: DataFrame, keys: list[str], shift_minutes: int = 45, secon
 
 
 def read_weather(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Hourly weather of all files; the lines before the data drop out of each."""
-    names = ["time", *WEATHER_HEADINGS]
-    schema = StructType([StructField(n, StringType()) for n in names])
-    # Preamble and heading lines have no timestamp in the first column.
-    return spark.read.schema(schema).csv(paths).filter(parse_mixed("time").isNotNull())
+    """Hourly weather of all files by each one's heading; the lines before the data drop out."""
+    raw = read_by_heading(spark, paths, ["time", *WEATHER_HEADINGS], ["time"])
+    # Preamble lines have no timestamp under the heading's time.
+    return raw.filter(parse_mixed("time").isNotNull())
 
 
 def weather_on_grid(
