@@ -13,6 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 CHOSEN = [
     "load_scan", "weather_scan", "price_features", "threshold_signals", "rules_backtest", "rules_summary",
     "residual_histogram", "duration_curve", "aligned_profits", "profit_endpoints", "strategy_ladder", "schedule_checks",
+    "weather_scan_by_heading", "linear_permutation", "context_scaled_by_earlier_days",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not there")

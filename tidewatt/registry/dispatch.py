@@ -12,6 +12,7 @@ from tidewatt.operators.schedule import daily_schedule, perfect_foresight, rolli
 from tidewatt.operators.settle import realized_profit, terminal_value
 from tidewatt.plans import reports
 from tidewatt.plans.rules import action_log_backtest, market_context, rules_backtest
+from tidewatt.plans.scaling import ContextScaler, ContextScalerModel
 from tidewatt.registry import fixtures as fx
 from tidewatt.registry.base import query, r, rounded
 from tidewatt.registry.series import scratch
@@ -114,6 +115,37 @@ def action_log(spark, folder):
     return rounded(rows.select(*OUT, "time_stamp", "action", *DISPATCHED))
 
 
+_SCALED = {
+    "forecast_scaled": "(predicted - m) / s",
+    "mean_scaled": "(forecast_rolling_mean - m) / s",
+    "volatility_scaled": "forecast_rolling_volatility / v",
+    "level_scaled": "(soc_start_mwh - 10) / (cap - 10)",
+}
+
+
+@query(
+    "context_scaled_by_earlier_days",
+    f"""{LOG_SQL},
+    fitted AS (
+      SELECT series_id, m, CASE WHEN s >= 1e-8 THEN s ELSE 1 END AS s, CASE WHEN v >= 1e-8 THEN v ELSE 1 END AS v
+      FROM (SELECT series_id, avg(predicted) AS m, stddev_samp(predicted) AS s, quantile_cont(forecast_rolling_volatility, 0.95) AS v
+            FROM context WHERE time_stamp < TIMESTAMP '2024-01-20' GROUP BY 1))
+    SELECT series_id, scenario_id, time_stamp, {", ".join(r(f"least(10, greatest(-10, {e}))", n) for n, e in _SCALED.items())}
+    FROM dispatch JOIN fitted USING (series_id) WHERE time_stamp >= TIMESTAMP '2024-01-20'""",
+)
+def context_scaled_by_earlier_days(spark, folder):
+    """Scales fitted on the first days, saved, loaded and applied to the later days' rows and levels."""
+    context = durable(market_context(_log(spark, folder), fx.SERIES))
+    border = F.lit("2024-01-20").cast("timestamp_ntz")
+    path = scratch(spark, "scales")
+    ContextScaler(["series_id"]).fit(context.filter(F.col("time_stamp") < border)).save(path)
+    # Levels carry on from the first days, so the whole log is replayed.
+    kept = ["time_stamp", "predicted", "forecast_rolling_mean", "forecast_rolling_volatility"]
+    played = action_log_backtest(context, fx.SERIES, SCENARIOS, columns=kept)
+    later = played.filter(F.col("time_stamp") >= border)
+    return rounded(ContextScalerModel.load(spark, path).transform(later).select(*OUT, "time_stamp", *_SCALED))
+
+
 @query(
     "terminal_value",
     f"""{LOG_SQL}
