@@ -262,3 +262,32 @@ def test_a_file_with_two_headings_is_refused_and_one_with_none_goes_by_order(spa
     (tmp_path / "two.csv").write_text("a,b\n1,2\nb,a\n3,4\n")
     with pytest.raises(Exception, match="two headings"):
         tables.read_by_heading(spark, str(tmp_path / "two.csv"), ["a", "b"], ["a"]).collect()
+
+
+SOUND = dict(soc_start_mwh=50.0, soc_mwh=50.0 + 10 * 0.25 * 0.95, charge_mw=10.0, discharge_mw=0.0)
+
+
+@pytest.mark.parametrize(
+    ("spoilt", "rules"),
+    [
+        ({}, []),
+        ({"soc_mwh": None}, ["missing"]),
+        ({"charge_mw": float("nan")}, ["missing"]),
+        ({"soc_start_mwh": 5.0, "soc_mwh": 5.0 + 2.375}, ["below_minimum"]),
+        ({"soc_start_mwh": 99.0, "soc_mwh": 99.0 + 2.375}, ["above_capacity"]),
+        ({"discharge_mw": 9.5, "soc_mwh": 50.0 + 2.375 - 2.5}, ["simultaneous"]),
+        ({"charge_mw": 40.0, "soc_mwh": 50.0 + 9.5}, ["over_power"]),
+        ({"charge_mw": -10.0, "soc_mwh": 50.0 - 2.375}, ["negative_power"]),
+        ({"soc_mwh": 60.0}, ["unbalanced"]),
+    ],
+)
+def test_a_spoilt_schedule_is_refused(spark, spoilt, rules):
+    good = with_scenarios(spark.range(200).select(*[F.lit(v).cast("double").alias(c) for c, v in SOUND.items()]), [Battery()])
+    bad = with_scenarios(spark.range(1).select(*[F.lit(v).cast("double").alias(c) for c, v in (SOUND | spoilt).items()]), [Battery()])
+    rows = good.unionByName(bad)
+    if not rules:
+        assert mt.checked(rows).count() == 201 and mt.checked(rows.limit(0)).count() == 0
+        return
+    with pytest.raises(ValueError, match="physical rules") as refused:
+        mt.checked(rows)
+    assert all(f"'{n}': 1" in str(refused.value) for n in rules) and str(refused.value).count(":") == 1 + len(rules)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from tidewatt.functions.scalars import iso_text, ratio
 from tidewatt.operators.blocks import running_totals
@@ -238,3 +240,42 @@ def require_clean(checks: DataFrame) -> None:
     bad = checks.filter("below_minimum + above_capacity + simultaneous > 0").limit(1).collect()
     if bad:
         raise ValueError(f"schedule breaks a physical rule: {bad[0].asDict()}")
+
+
+def broken_rules(tolerance: float = 1e-6) -> dict[str, Column]:
+    """Physical rules that one row of a schedule can break, by name.
+
+    Power and levels come from different steps of a plan or from outside, so
+    each is held against the battery and against the other.  A level or power
+    that is null or NaN breaks ``missing`` alone.
+    """
+    level, start, up, down = (F.col(c) for c in ("soc_mwh", "soc_start_mwh", "charge_mw", "discharge_mw"))
+    hours = F.col("interval_hours")
+    stored = up * hours * F.col("charge_efficiency") - down * hours / F.col("discharge_efficiency")
+    gone = [c.isNull() | F.isnan(c) for c in (level, start, up, down)]
+    whole = ~(gone[0] | gone[1] | gone[2] | gone[3])
+    return {
+        "missing": ~whole,
+        "below_minimum": whole & (F.least(level, start) < F.col("minimum_soc_mwh") - tolerance),
+        "above_capacity": whole & (F.greatest(level, start) > F.col("capacity_mwh") + tolerance),
+        "simultaneous": whole & (up > tolerance) & (down > tolerance),
+        "negative_power": whole & (F.least(up, down) < -tolerance),
+        "over_power": whole & ((up > F.col("max_charge_mw") + tolerance) | (down > F.col("max_discharge_mw") + tolerance)),
+        "unbalanced": whole & (F.abs(level - start - stored) > tolerance),
+    }
+
+
+def checked(df: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """A written copy of a schedule, refused with ValueError when a row breaks a physical rule.
+
+    The counts are observed while the rows are written, so the check takes no
+    pass of its own.  A row counts once for every rule that it breaks; a task
+    that runs twice may count its rows twice.
+    """
+    seen = Observation(f"rules-{uuid.uuid4().hex}")
+    counts = [F.count_if(rule).alias(name) for name, rule in broken_rules(tolerance).items()]
+    written = durable(df.observe(seen, *counts))
+    bad = {name: n for name, n in seen.get.items() if n}
+    if bad:
+        raise ValueError(f"schedule breaks physical rules: {bad}")
+    return written

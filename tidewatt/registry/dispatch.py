@@ -367,7 +367,7 @@ _CHECK_NAMES = ", ".join(f"('{n}')" for n in ("4-Hour Rolling", "24-Hour Horizon
 )
 def schedule_checks(spark, folder):
     """Level bounds, exclusive modes and energy balance of every planned schedule."""
-    rows = durable(_named(_planned(spark, folder)))
+    rows = mt.checked(_named(_planned(spark, folder)))
     by = [*OUT, "strategy"]
     stored = F.sum((F.col("charge_mw") * F.col("charge_efficiency") - F.col("discharge_mw") / F.col("discharge_efficiency")) * F.col("interval_hours"))
     # Day schedules start afresh each morning, so sum the day-wise changes.
