@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tidewatt.settings import PRICE_LAGS, PRICE_WINDOWS
-
-# How a number of 15-minute rows is spelled.
-_SPANS = {
-    1: "15 Minutes", 4: "1 Hour", 12: "3 Hours", 24: "6 Hours", 48: "12 Hours",
-    96: "1 Day", 192: "2 Days", 672: "1 Week",
-}
-
-
-def _span_adjective(rows: int) -> str:
-    return _SPANS[rows].removesuffix("s").replace(" ", "-")
-
-
-# Labels that follow no rule.
+# Display texts of the features.
 FEATURE_LABELS = {
+    "lag_1": "Price 15 Minutes Ago",
+    "lag_4": "Price 1 Hour Ago",
+    "lag_12": "Price 3 Hours Ago",
+    "lag_24": "Price 6 Hours Ago",
+    "lag_96": "Price 1 Day Ago",
+    "lag_672": "Price 1 Week Ago",
+    "is_weekend": "Weekend Indicator",
+    "rolling_mean_4": "1-Hour Rolling Mean",
+    "rolling_std_4": "1-Hour Rolling Volatility",
+    "rolling_mean_12": "3-Hour Rolling Mean",
+    "rolling_std_12": "3-Hour Rolling Volatility",
+    "rolling_mean_24": "6-Hour Rolling Mean",
+    "rolling_std_24": "6-Hour Rolling Volatility",
+    "rolling_mean_48": "12-Hour Rolling Mean",
+    "rolling_std_48": "12-Hour Rolling Volatility",
+    "rolling_mean_96": "1-Day Rolling Mean",
+    "rolling_std_96": "1-Day Rolling Volatility",
+    "rolling_mean_192": "2-Day Rolling Mean",
+    "rolling_std_192": "2-Day Rolling Volatility",
+    "rolling_mean_672": "1-Week Rolling Mean",
+    "rolling_std_672": "1-Week Rolling Volatility",
     "hour": "Hour of Day",
     "day_of_week": "Day of Week",
     "month": "Month",
-    "is_weekend": "Weekend Indicator",
     "hour_sin": "Hour of Day Cycle (Sine)",
     "hour_cos": "Hour of Day Cycle (Cosine)",
     "day_of_week_sin": "Weekday Cycle (Sine)",
@@ -53,9 +60,6 @@ FEATURE_LABELS = {
     "dew_change_4": "1-Hour Dewpoint Change",
     "precip_lag_1": "Precipitation 15 Minutes Ago",
     "heat_index_proxy_1": "Heat Index Proxy 15 Minutes Ago",
-    **{f"lag_{k}": f"Price {_SPANS[k]} Ago" for k in PRICE_LAGS},
-    **{f"rolling_mean_{k}": f"{_span_adjective(k)} Rolling Mean" for k in PRICE_WINDOWS},
-    **{f"rolling_std_{k}": f"{_span_adjective(k)} Rolling Volatility" for k in PRICE_WINDOWS},
 }
 
 

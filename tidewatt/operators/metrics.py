@@ -166,7 +166,7 @@ def _day_parts(df: DataFrame, keys: list[str], pos: str, ts: str) -> DataFrame:
     )
 
 
-# Order of the summary's fields.
+# The summary's fields in their order.
 SUMMARY_FIELDS = [
     "backtest_start", "backtest_end", "backtest_days", "intervals",
     "total_profit_usd", "average_daily_profit_usd", "median_daily_profit_usd",

@@ -152,13 +152,29 @@ def _weather_windows() -> dict[str, Column]:
 
 # The model's inputs, computed features that it leaves out aside.
 MODEL_FEATURES = [
-    "hour", "day_of_week", "month", "is_weekend",
-    *[f"lag_{k}" for k in PRICE_LAGS],
-    *[f"rolling_{s}_{k}" for k in PRICE_WINDOWS for s in ("mean", "std")],
-    *[f"{c}_{f}" for c in ("hour", "day_of_week", "month") for f in ("sin", "cos")],
-    "load_change_1", "load_change_4", "load_deviation_96", "load_volatility_24",
-    "temp_lag_1", "temp_lag_4", "temp_change_1", "temp_change_4", "temp_rolling_mean_24", "temp_volatility_24",
-    "wind_lag_1", "wind_change_4", "wind_rolling_mean_24", "wind_volatility_24",
-    "solar_lag_1", "solar_change_4", "solar_rolling_mean_4", "solar_volatility_24",
-    "cloud_lag_1", "cloud_change_4", "dew_lag_1", "dew_change_4", "precip_lag_1", "heat_index_proxy_1",
+    "hour", "day_of_week", "month",
+    "lag_1", "lag_4", "lag_12", "lag_24", "lag_96", "lag_672",
+    "is_weekend",
+    "rolling_mean_4", "rolling_std_4",
+    "rolling_mean_12", "rolling_std_12",
+    "rolling_mean_24", "rolling_std_24",
+    "rolling_mean_48", "rolling_std_48",
+    "rolling_mean_96", "rolling_std_96",
+    "rolling_mean_192", "rolling_std_192",
+    "rolling_mean_672", "rolling_std_672",
+    "hour_sin", "hour_cos",
+    "day_of_week_sin", "day_of_week_cos",
+    "month_sin", "month_cos",
+    "load_change_1", "load_change_4",
+    "load_deviation_96", "load_volatility_24",
+    "temp_lag_1", "temp_lag_4",
+    "temp_change_1", "temp_change_4",
+    "temp_rolling_mean_24", "temp_volatility_24",
+    "wind_lag_1", "wind_change_4",
+    "wind_rolling_mean_24", "wind_volatility_24",
+    "solar_lag_1", "solar_change_4",
+    "solar_rolling_mean_4", "solar_volatility_24",
+    "cloud_lag_1", "cloud_change_4",
+    "dew_lag_1", "dew_change_4",
+    "precip_lag_1", "heat_index_proxy_1",
 ]

@@ -45,6 +45,20 @@ def residual_rows(spark, folder):
     return rounded(tables.read_csv(spark, path, rows.schema))
 
 
+@query(
+    "published_errors",
+    f"""WITH {fx.FORECAST_SQL} SELECT series_id, time_stamp, {r('actual', '"Actual"')}, {r('predicted', '"Predicted"')},
+        {r('actual - predicted', '"Error"')}, {r('abs(actual - predicted)', '"Absolute Error"')} FROM forecast""",
+)
+def published_errors(spark, folder):
+    """Predictions with residuals through a CSV file under the headings of the published tables."""
+    path = scratch(spark, "published")
+    rows = mt.residuals(fx.forecast(spark, folder)).select(*ID, "actual", "predicted", "error", "absolute_error")
+    headed = tables.result_headings(rows)
+    tables.write_csv(headed, path)
+    return rounded(tables.read_csv(spark, path, headed.schema))
+
+
 @query(
     "monthly_errors",
     f"""WITH {fx.ORDER_RESIDUALS_SQL}
