@@ -158,6 +158,36 @@ def weather_scan_by_heading(spark, folder):
     return rounded(tables.weather_on_grid(tables.read_weather(spark, f"{path}/part=*"), []))
 
 
+# Days that bring the tables' January to a spring and an autumn with a change of the clocks.
+_MOVED = {"spring": 60, "autumn": 300}
+
+
+@query(
+    "weather_scan_across_clock_changes",
+    f"""WITH {fx.READINGS_SQL},
+    hourly_utc AS (
+      SELECT time_bucket(INTERVAL '1 hour', ts) AS t,
+             {", ".join(f"ln(1 + avg(value) FILTER (event_type = '{t}')) AS {n}" for n, t in fx.WEATHER_TYPES.items())},
+             ln(1 + min(value)) AS precipitation
+      FROM readings GROUP BY ALL),
+    hourly AS (
+      SELECT period, ((t + to_days(days)) AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago' AS time_stamp,
+             {", ".join(f"avg({c}) AS {c}" for c in _ALL_WEATHER)}
+      FROM hourly_utc, (VALUES {", ".join(f"('{n}', {d})" for n, d in _MOVED.items())}) p(period, days) GROUP BY 1, 2)
+    {fx.filled_sql("g", "hourly", "period", ", ".join(f"s.{c}" for c in _ALL_WEATHER))}
+    SELECT period, time_stamp, {", ".join(r(c) for c in _ALL_WEATHER)} FROM g""",
+)
+def weather_scan_across_clock_changes(spark, folder):
+    """UTC weather to local time where an hour is left out in spring and comes twice in autumn."""
+    periods = F.array(*[F.struct(F.lit(n).alias("period"), F.lit(d).alias("days")) for n, d in _MOVED.items()])
+    moved = _hourly_weather(spark, folder).withColumn("_p", F.explode(periods)).select(
+        "_p.period",
+        F.date_format(F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm")) + F.make_interval(days=F.col("_p.days")), "yyyy-MM-dd'T'HH:mm").alias("time"),
+        *[F.col(n).alias(h) for h, n in tables.WEATHER_HEADINGS.items()],
+    )
+    return rounded(tables.weather_on_grid(moved, ["period"]))
+
+
 @query(
     "duplicate_slots_averaged",
     f"WITH {fx.SLOTS_SQL} SELECT hub, series_id, time_stamp, {r('price')} FROM slots",
