@@ -54,3 +54,44 @@ def test_stars_stand_for_vowels_separators_and_repeats():
     for word in ("b*d", "b**d", "*", "a--b", "s$$", "%%"):
         costs = plain_costs(word, model)
         assert costs[tx.decode(word, model)] == pytest.approx(min(costs.values()))
+
+
+def _english() -> np.ndarray:
+    """A model of a few words, by the smoothing of the operator."""
+    counts = np.zeros((28, 28, 28, 28))
+    for word in "ass asset idiot moron worthless bold note great under until class pass mess less letter " .split() * 20:
+        code = [0, 0, 0, *(ord(c) - 96 for c in word), 0]
+        for at in range(3, len(code)):
+            counts[tuple(code[at - 3 : at + 1])] += 1
+    p = np.full(28, 1 / 28)
+    for kept in (counts.sum((0, 1, 2)), counts.sum((0, 1)), counts.sum(0), counts):
+        p = (kept + 2.0 * p) / (kept.sum(-1, keepdims=True) + 2.0)
+    return np.log(p).astype(np.float32)
+
+
+@pytest.mark.parametrize(
+    ("text", "word"),
+    [
+        ("an @$$ here", "ass"), ("an (@$$) here", "ass"), ("an a$$$ here", "ass"), ("i  d  i  o  t", "idiot"),
+        ("so i\td\ti\to\tt", "idiot"), ("m\no\nr\no\nn", "moron"), ("w o  r\tt h l e s s", "worthless"), ("*moron*", "moron"),
+        ("mor*n", "moron"), ("|diot", "idiot"), ("$$", "ss"),
+    ],
+)
+def test_every_disguise_reaches_the_decoder(text, word):
+    assert word in tx.Reader(_english()).words(text)[0]
+
+
+def test_punctuation_at_the_edges_is_no_letter():
+    reader = tx.Reader(_english())
+    words, restored = reader.words("**bold** (until) #note great!!! <under> 'class' --")
+    assert words - {"**bold**"} == {"bold", "until", "note", "great", "under", "class"} and restored == {"**bold**": "bold"}
+    assert reader.words("*** --- +---+ || * -")[0] <= {"i", "a"}
+    assert "f***" in reader.words("oh f***, no")[0]
+
+
+def test_a_long_token_is_decoded_in_time_that_grows_with_it():
+    word = "m0r0n-1d10t." * 20_000
+    assert tx.decode(word, _english()).startswith("moronidiotmoron")
+    reader = tx.Reader(_english())
+    reader.words(word)
+    assert not reader.known

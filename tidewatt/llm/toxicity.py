@@ -1,8 +1,8 @@
 """Toxicity of texts behind leetspeak, spacing and repetition: noisy-channel decoding, then a lexicon score.
 
-Words that no writer spells plainly (letters mixed with signs or digits, letters set
-apart, letters repeated three times) become lattices: an observed character stands
-for itself, for a letter it imitates, for a separator or for a repeat.  Viterbi
+Words that no writer spells plainly (letters mixed with signs or digits, signs alone,
+letters set apart, letters repeated three times) become lattices: an observed character
+stands for itself, for a letter it imitates, for a separator or for a repeat.  Viterbi
 search finds the letters that a character 4-gram model of the corpus and the costs
 of the channel like best.  The restored words are then scored like plain ones.
 
@@ -23,7 +23,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatt.llm.common import id_remainder, identified
+from tidewatt.llm.common import id_remainder, identified, slices
 from tidewatt.session import durable
 
 #: Labelled rows that the classifier is fitted on at most, by hash of their ids.
@@ -47,9 +47,14 @@ IMITATION, SEPARATION, REPEAT = 1.0, 0.3, 1.2
 #: Symbols of the character model: end of word, a to z, any other letter.
 _N = 28
 _OTHER = _N - 1
-_SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s{1,4}){2,}\S(?!\S)")
 _REPEATED = re.compile(r"\S*([^\W\d_])\1\1\S*")
 _EDGE = ".,;:?\"'()[]{}%*#&-_~`/\\=<>"
+#: Signs at the edges of a word that stand for its letters; brackets and # there are punctuation.
+_MASKING = "*$@+|"
+_PUNCTUATION = "".join(c for c in _EDGE if c not in _MASKING)
+#: Characters of a decoded word that is remembered, at most; longer ones are decoded each time.
+_REMEMBERED = 256
 
 
 def _symbol(c: str) -> int:
@@ -91,18 +96,21 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def decode(observed: str, model: np.ndarray) -> str:
-    """The most likely plain spelling of a lower-case word, by Viterbi search."""
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-    for i, c in enumerate(observed):
-        after: dict[tuple[int, int, int], tuple[float, str]] = {}
+    """The most likely plain spelling of a lower-case word, by Viterbi search.
+
+    A spelling is a chain of (what came before, letter), so time and memory grow with the word's length.
+    """
+    best: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
+    for c in observed:
+        after: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
         letters = [(c, 0.0)] if c.isalpha() else [(x, IMITATION) for x in IMITATED.get(c, "")]
         skip = SEPARATION if c in SEPARATORS else None if c.isalpha() or c in IMITATED else 4 * IMITATION
         for (x, y, z), (cost, said) in best.items():
             moves = []
             for letter, paid in letters:
                 s = _symbol(letter)
-                moves.append(((y, z, s), cost + paid - float(model[x, y, z, s]), said + letter))
-            repeats = said and (c == said[-1] or said[-1] in IMITATED.get(c, ""))
+                moves.append(((y, z, s), cost + paid - float(model[x, y, z, s]), (said, letter)))
+            repeats = said and (c == said[1] or said[1] in IMITATED.get(c, ""))
             left_out = REPEAT if repeats else skip
             if left_out is not None:
                 moves.append(((x, y, z), cost + left_out, said))
@@ -111,7 +119,16 @@ def decode(observed: str, model: np.ndarray) -> str:
                     after[state] = (new, word)
         best = after or best
     ended = [(cost - float(model[x, y, z, 0]), said) for (x, y, z), (cost, said) in best.items()]
-    return min(ended)[1]
+    least = min(cost for cost, _ in ended)
+    return min(_spelling(said) for cost, said in ended if cost == least)
+
+
+def _spelling(said: tuple | None) -> str:
+    letters = []
+    while said:
+        said, letter = said
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 @dataclass
@@ -122,6 +139,8 @@ class Reader:
     known: dict[str, str] = field(default_factory=dict)
 
     def _decoded(self, word: str) -> str:
+        if len(word) > _REMEMBERED:
+            return decode(word, self.model)
         if word not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -129,7 +148,12 @@ class Reader:
         return self.known[word]
 
     def words(self, text: str) -> tuple[set[str], dict[str, str]]:
-        """Distinct words after restoration, and what was restored to what."""
+        """Distinct words after restoration, and what was restored to what.
+
+        A token whose edge signs may be letters (``@$$``, ``a$$$``, ``f***``) is decoded whole,
+        beside what is left without them; masked by stars it is also a word as it stands, since
+        too little may be left to restore.
+        """
         text = text.lower()
         tokens = set(text.split())
         plain, odd = set(), set()
@@ -137,16 +161,24 @@ class Reader:
             if t.isalpha():
                 plain.add(t)
                 continue
+            whole = t.strip(_PUNCTUATION)
             t = t.strip(_EDGE)
             core = t.rstrip("!$@+|") if len(t) - len(t.rstrip("!$@+|")) >= 3 else t
             if core.isalpha():
                 plain.add(core)
             elif core.rstrip("!").isalpha():
                 plain.add(core.rstrip("!"))
-            elif any(c.isalpha() for c in core) or any(c in "013457" for c in core):
+            elif any(c.isalpha() for c in core) or any(c in "013457@$" for c in core):
                 odd.add(core)
+            if len(whole) > len(core):
+                at = whole.find(core)
+                lost = set(whole[:at] + whole[at + len(core) :])
+                if not lost.isdisjoint(_MASKING if core else "$@"):
+                    odd.add(whole)
+                    if core and whole[at + len(core) :].startswith("**"):
+                        plain.add(whole)
         odd |= {m[0].strip(_EDGE) for m in _REPEATED.finditer(text)}
-        odd |= {m[0] for m in _SPACED.finditer(text)}
+        odd |= {" ".join(m[0].split()) for m in _SPACED.finditer(text)}
         restored = {w: self._decoded(w) for w in odd if w}
         return plain | {r for r in restored.values() if r}, restored
 
@@ -191,7 +223,7 @@ def lexicon(rows: DataFrame, model: np.ndarray) -> Lexicon:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = sorted(_entries(reader.words(text)[0]))
                 columns = [pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())]
@@ -266,7 +298,7 @@ def fit(texts: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) ->
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, told = Reader(sent.value[0]), sent.value[1]
-        for batch in batches:
+        for batch in slices(batches):
             found = [reader.words(t)[0] for t in batch.column(0).to_pylist()]
             values = [_features(told.hits(w), len(w)) for w in found]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.list_(pa.float64()))], ["toxic", "x"])
@@ -291,7 +323,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         reader = Reader(judge.model)
-        for batch in batches:
+        for batch in slices(batches):
             scored = [judge.score(reader, text) for text in batch.column(1).to_pylist()]
             decoded = pa.array([list(r.items()) for _, r in scored], pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays(
@@ -312,7 +344,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         reader = Reader(judge.model)
-        for batch in batches:
+        for batch in slices(batches):
             clean = [judge.score(reader, text or "")[0] < THRESHOLD for text in batch.column(1).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_())).select([0])
 
