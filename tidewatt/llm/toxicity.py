@@ -48,7 +48,7 @@ IMITATION, SEPARATION, REPEAT = 1.0, 0.3, 1.2
 _N = 28
 _OTHER = _N - 1
 _SPACED = re.compile(r"(?<!\S)(?:\S\s{1,4}){2,}\S(?!\S)")
-_REPEATED = re.compile(r"\S*([^\W\d_])\1\1\S*")
+_REPEATED = re.compile(r"([^\W\d_])\1\1")
 _EDGE = ".,;:?\"'()[]{}%*#&-_~`/\\=<>"
 #: Signs at the edges of a word that stand for its letters; brackets and # there are punctuation.
 _MASKING = "*$@+|"
@@ -177,7 +177,7 @@ class Reader:
                     odd.add(whole)
                     if core and whole[at + len(core) :].startswith("**"):
                         plain.add(whole)
-        odd |= {m[0].strip(_EDGE) for m in _REPEATED.finditer(text)}
+        odd |= {t.strip(_EDGE) for t in tokens if _REPEATED.search(t)}
         odd |= {" ".join(m[0].split()) for m in _SPACED.finditer(text)}
         restored = {w: self._decoded(w) for w in odd if w}
         return plain | {r for r in restored.values() if r}, restored
