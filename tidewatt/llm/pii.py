@@ -14,8 +14,10 @@ added to the base spans.
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatt.llm.common import identified
+from tidewatt.llm.common import identified, slices
 from tidewatt.session import durable
 
 KINDS = ("email", "ip", "card", "phone")
@@ -50,13 +52,17 @@ HINTS = frozenset(
     "mail email e-mail contact phone tel telephone mobile call fax sms ssn passport card visa credit iban account ip host server"
     " address id".split()
 )
+#: A name or host label, with Latin letters beyond ASCII in hosts.
+_LABEL = r"[A-Za-z0-9\u00c0-\u024f-]{1,63}"
 _PROPOSED = {
     "email": re.compile(
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|[\[({] ?(?:at|AT) ?[\])}]) ?[A-Za-z0-9-]{1,63}"
-        r"(?: ?(?:\.|[\[({] ?(?:dot|DOT) ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,4}"
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:"
+        rf" ?(?:@|[\[({{] ?(?:at|AT) ?[\])}}]) ?{_LABEL}(?: ?(?:\.|[\[({{] ?(?:dot|DOT) ?[\])}}]) ?{_LABEL}){{1,4}}"
+        rf"| (?:at|AT) {_LABEL}(?: (?:dot|DOT) {_LABEL}){{1,4}})"
     ),
     "ip": re.compile(
         r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}"
+        r"|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![0-9A-Fa-f:])"
     ),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ .-]{0,2}[0-9]){11,20}(?![0-9])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}(?![A-Za-z0-9]))?"),
     "phone": re.compile(r"(?:\+|\b00)?(?:\([0-9]{1,4}\) ?)?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}(?![0-9])"),
@@ -64,8 +70,12 @@ _PROPOSED = {
 
 
 # Shapes of well-formed proposals that the base patterns leave out, and of dates.
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
+_SPELT = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9\u00c0-\u024f-]+(?:\.[A-Za-z0-9\u00c0-\u024f-]+)*\.[A-Za-z]{2,24}")
 _LONG_IP = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}")
+#: First groups of global, private and link-local addresses; others (``::1``, ``a::b``) name no machine.
+_FIRST_GROUP = re.compile(r"[23][0-9A-Fa-f]{3}|[Ff][CcDd][0-9A-Fa-f]{2}|[Ff][Ee][89ABab][0-9A-Fa-f]")
+#: Beginnings of card numbers of 15 digits.
+_SHORT_CARD = re.compile("3[47]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 _DIALLED = re.compile(
     r"00[1-9](?:[ ()./-]{0,2}[0-9])+|(?:\([0-9]{2,4}\) ?|0[1-9][0-9]{0,4}[ /-]?)[0-9]{2,}(?:[ ./-][0-9]{2,})*"
@@ -85,6 +95,23 @@ def iban(said: str) -> bool:
     return bool(_IBAN.fullmatch(said)) and int("".join(str(int(c, 36)) for c in said[4:] + said[:4])) % 97 == 1
 
 
+def card_number(digits: str) -> bool:
+    """Whether digits have the length, beginning and check digit of a card number."""
+    return (16 <= len(digits) <= 19 or len(digits) == 15 and bool(_SHORT_CARD.match(digits))) and luhn(digits)
+
+
+def long_ip(said: str) -> bool:
+    """Whether a span is a version 6 address, in full or with its zeros left out."""
+    if "::" not in said:
+        return bool(_LONG_IP.fullmatch(said))
+    if not _FIRST_GROUP.fullmatch(said.partition(":")[0]):
+        return False
+    try:
+        return ipaddress.IPv6Address(said).version == 6
+    except ValueError:
+        return False
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches: the part before a sign is the run of its characters since the last match."""
     done, at = 0, text.find("@")
@@ -122,12 +149,16 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
 
     Of a proposal with spaces also its words; of an address that runs over the end of
     a sentence also the part before it; of an account number also the part up to a
-    word's end whose check digits are right.
+    word's end whose check digits are right.  "x at y dot z" in plain words is prose
+    unless the name has a sign or digit or the host has further parts.
     """
     found = dict.fromkeys(base)
     if "@" in text or _DIGIT.search(text) or "at" in text or "AT" in text:
         for kind, pattern in _PROPOSED.items():
             for m in pattern.finditer(text):
+                name, at, host = m[0].partition(" at ")
+                if at and name.isalpha() and host.count(" dot ") < 2:
+                    continue  # "look at the dot com boom"
                 found[(kind, m.start(), m.end())] = None
                 if kind == "email" and (cut := m[0].find(". ")) >= 0:
                     found[(kind, m.start(), m.start() + cut)] = None
@@ -140,8 +171,8 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
     return list(found)
 
 
-_AT = re.compile(r" ?[\[({] ?(?:at|AT) ?[\])}] ?")
-_DOT = re.compile(r" ?[\[({] ?(?:dot|DOT) ?[\])}] ?")
+_AT = re.compile(r" ?[\[({] ?(?:at|AT) ?[\])}] ?| (?:at|AT) ")
+_DOT = re.compile(r" ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) ")
 
 
 def _said(span: str) -> str:
@@ -158,10 +189,10 @@ def well_formed(text: str, span: Span) -> bool:
     if kind == "email":
         return bool(_SPELT.fullmatch(said.replace(" @ ", "@")))
     if kind == "ip":
-        return bool(_LONG_IP.fullmatch(said))
+        return long_ip(said)
     n = len(_DIGIT.findall(said))
     if kind == "card":
-        return iban(said) or bool(re.fullmatch("[0-9][0-9 .-]+", said)) and 16 <= n <= 19 and luhn("".join(_DIGIT.findall(said)))
+        return iban(said) or bool(re.fullmatch("[0-9][0-9 .-]+", said)) and card_number("".join(_DIGIT.findall(said)))
     return 8 <= n <= 17 and text[a - 1 : a] != "+" and bool(_DIALLED.fullmatch(said)) and not _DATE.fullmatch(said)
 
 
@@ -179,39 +210,53 @@ def rewritten(kind: str, said: str) -> tuple[list[str], list[str]]:
         name, _, host = said.partition("@")
         if not _SPELT.fullmatch(said) or len(name) > 64 or host.count(".") > 4:
             return [], []
-        dots = host.replace(".", " [dot] ")
-        return [f"{name} [at] {dots}", f"{name}(at){host.replace('.', '(dot)')}", f"{name}[at]{host}", f"{name} @ {host}"], [f"{name}[at]{host}. Then"]
+        dots, words = host.replace(".", " [dot] "), host.replace(".", " dot ")
+        umlaut = f"{host[0]}\u00fc{host[1:]}"
+        forms = [f"{name} [at] {dots}", f"{name}(at){host.replace('.', '(dot)')}", f"{name}[at]{host}", f"{name} @ {host}"]
+        forms += [f"{name} at {words}", f"{name} AT {words.replace(' dot ', ' DOT ')}", f"{name}@{umlaut}", f"{name}[at]{umlaut}"]
+        return forms, [f"{name}[at]{host}. Then", f"{name} at {words} dot 7"]
     if kind == "ip":
         parts = [int(p[-4:]) for p in said.split(".")]
         groups = [f"{(257 * p + 4099 * i) % 65536:x}" for i, p in enumerate(parts + parts[::-1])]
         short = ["2001", "db8", groups[0], "0", "0", groups[3], groups[4], str(parts[3])]
-        return [":".join(groups), ":".join(groups).upper(), ":".join(short), ":".join(sorted(short))], [
-            ":".join(groups[:7]), ":".join(groups[:6]), ".".join(str(p + 256) for p in parts), f"{parts[0] + 256}.{'.'.join(map(str, parts[1:]))}"
+        left_out = [f"2001:db8::{groups[0]}:{groups[1]}", f"fe80::{groups[2]}:{groups[3]}:{groups[4]}", f"2a02:{groups[5]}:{parts[0]:x}::{parts[3]:x}", f"fd00:{groups[0]}::1"]
+        return [":".join(groups), ":".join(groups).upper(), ":".join(short), ":".join(sorted(short)), *left_out], [
+            f"a{groups[0][:2]}::b{groups[1][:2]}", f"{parts[0] % 16:x}::{parts[1] % 16:x}", ":".join(groups[:7]), ":".join(groups[:6]), ".".join(str(p + 256) for p in parts), f"{parts[0] + 256}.{'.'.join(map(str, parts[1:]))}"
         ]
     if kind == "card":
         whole = [_account(digits, n) for n in (18, 22, 24, 27)]
         wrong = [w[:-1] + str((int(w[-1]) + 1) % 10) for w in whole]
         spaced = [re.sub("(.{4})(?=.)", r"\1 ", w) for w in (*whole, *wrong)]
-        return [*whole, *spaced[:4], re.sub("(.{4})(?=.)", r"\1.", digits)], [*wrong, *spaced[4:]]
+        own = f"3{4 if int(digits[-2]) % 2 else 7}{digits[1:13]}"
+        short = next(own + str(d) for d in range(10) if luhn(own + str(d)))
+        bad = short[:-1] + str((int(short[-1]) + 1) % 10)
+        grouped = [f"{c[:4]}{sep}{c[4:10]}{sep}{c[10:]}" for c in (short, bad) for sep in " -"]
+        return [*whole, *spaced[:4], re.sub("(.{4})(?=.)", r"\1.", digits), short, *grouped[:2]], [*wrong, *spaced[4:], bad, *grouped[2:]]
     own = digits[-9:].lstrip("0").ljust(9, "7")
     forms = [f"00{digits.lstrip('0')[:13].ljust(8, '5')}", f"00{own[:2]} {own[2:5]} {own[5:]}"]
     forms += [f"0{own[:3]} {own[3:]}", f"0{own[:2]}-{own[2:5]}-{own[5:]}", f"0{own[:4]}/{own[4:]}", f"({own[:3]}) {own[3:6]}-{own[6:]}0", f"0{own}"]
     forms += [f"00{own[:2]} {own[2:4]} {own[4:]}{own[:2]}", f"00{own[:2]} {own[2:5]} {own[5:]}{own[:4]}"]
     forms += ["00" + said[1:], re.sub(r"\A\+[0-9]{1,3}[ .-](?=[1-9])", "0", said)]
-    forms.append(f"{2 + int(own[0]) % 8}{own[1:3]}-{own[3:6]}-{own[5:]}")
+    forms += [f"{2 + int(own[0]) % 8}{own[1:3]}{sep}{own[3:6]}{sep}{own[5:]}" for sep in "-. "]
     month, day = 1 + int(own[1]), 10 + int(own[2])
     forms = [f for f in dict.fromkeys(forms) if f[0] != "+"]
     return forms, [f"20{own[3:5]}-{month:02d}-{day}", f"{month:02d}.{day}.20{own[3:5]}", own, f"0.{own}", f"000{own}{own[:4]}"]
 
 
+def _meets(taken: list[tuple[int, int]], span: Span) -> bool:
+    """Whether a span overlaps one of disjoint, ordered (start, end)."""
+    before = bisect_left(taken, (span[2],))  # those that start before the span ends
+    return before > 0 and taken[before - 1][1] > span[1]
+
+
 def examples(text: str) -> Iterator[tuple[str, Span, float]]:
     """Labelled (text, span, label): base spans, the same in other formats, and malformed proposals."""
     base = base_spans(text)
-    known = set(base)
+    known, taken = set(base), _joined(base)
     for span in candidates(text, base):
         if span in known:
             yield text, span, 1.0
-        elif any(span[1] < y and x < span[2] for _, x, y in base) or not well_formed(text, span):
+        elif _meets(taken, span) or not well_formed(text, span):
             yield text, span, 0.0
     for kind, a, b in base:
         before, after = text[max(0, a - 60) : a], text[b : b + 60]
@@ -250,7 +295,7 @@ def features(text: str, span: Span) -> list[float]:
         float(len(end) if end.isalpha() else 0), float(host.count(".")), float(len(set(said))),
         _class(text[a - 1 : a]), _class(text[b : b + 1]), _class(text[max(0, a - 2) : a - 1] if a > 1 else ""),
         float(text[a - 1 : a] == "+"), float(hint),
-        float(iban(said)), float(bool(_LONG_IP.fullmatch(said))), float(bool(_DATE.fullmatch(said))), float(said.startswith("0")),
+        float(iban(said)), float(long_ip(said)), float(card_number("".join(digits))), float(bool(_DIALLED.fullmatch(said))), float(bool(_DATE.fullmatch(said))), float(said.startswith("0")),
         float(said.startswith("00")), float(". " in said), float(said.startswith("0.")),
     ]
 
@@ -282,7 +327,7 @@ def _nested(node: object) -> tuple | float:
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features and labels of a text's examples, each with a hash in 0 to 1 of itself."""
-    for batch in batches:
+    for batch in slices(batches):
         x, y, kept, drawn = [], [], [], []
         for text, keep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for where, span, label in examples(text):
@@ -338,16 +383,28 @@ def spans_of(text: str, trees: Trees | None) -> list[Span]:
     base = base_spans(text)
     if trees is None:
         return base
-    chosen, taken = list(base), [(a, b) for _, a, b in base]
-    others = [c for c in candidates(text, base) if c not in base]
+    known, taken = set(base), _joined(base)
+    others = [c for c in candidates(text, base) if c not in known]
     scored = sorted(((-trees.probability(features(text, c)), c[1] - c[2], c) for c in others))
+    chosen = list(base)
     for minus, _, (kind, a, b) in scored:
-        if -minus >= trees.threshold and not any(a < y and x < b for x, y in taken):
+        if -minus >= trees.threshold and not _meets(taken, (kind, a, b)):
             chosen.append((kind, a, b))
-            taken.append((a, b))
+            insort(taken, (a, b))
     return sorted(chosen, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def _joined(spans: list[Span]) -> list[tuple[int, int]]:
+    """Disjoint (start, end) in order, overlapping spans as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def redacted(text: str, spans: list[Span]) -> str:
     """The text with every span replaced by its kind in brackets; overlapping spans are one, named by the first."""
     out, at = [], 0
@@ -368,7 +425,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 def _finder(sent: object, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             base, every, texts = [], [], []
             for text in batch.column(column).to_pylist():
                 text = text or ""
@@ -404,7 +461,7 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(fit(texts))
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = []
             for text in batch.column(1).to_pylist():
                 spans = [] if text is None else spans_of(text, sent.value)
