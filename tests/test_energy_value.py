@@ -91,3 +91,47 @@ def test_chunks_equal_step_by_step_replanning(lowest):
 def test_equal_prices_mean_no_trade():
     path = ev.day_paths(pd.Series([np.full(24, 30.0)]), ev._facts(Battery()), True)[0]
     assert (path == 50.0).all()
+
+
+@pytest.mark.parametrize("terminal", [True, False])
+def test_curves_equal_all_levels_and_exhaustive_search(terminal, monkeypatch):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(ev, "DENSE_LEVELS", 0)
+    for k in range(80):
+        p = rng.uniform(-60, 30, rng.integers(1, 9)).round(0 if k % 2 else 1)
+        path = ev.day_paths(pd.Series([p]), B, terminal)[0]
+        assert worth(path, p) == pytest.approx(exhaustive(p, terminal), abs=1e-7)
+        if (np.greater(*ev._prices(p, B)[::-1])).any():
+            assert path == pytest.approx(ev._day_over_levels(*ev._prices(p, B), B, terminal))
+
+
+@pytest.mark.parametrize("battery", [COARSE, Battery()])
+def test_maps_of_curves_equal_maps_of_levels(battery, monkeypatch):
+    rng = np.random.default_rng(5)
+    b = ev._facts(battery)
+    for k in range(12):
+        p = rng.uniform(-80, 30, 12).round(k % 2)
+        x, y = ev._map_over_levels(p, *(np.full(6, -1),) * 2, b, 6)
+        cx, cy = ev._map_over_curves(p, *(np.full(6, -1),) * 2, b, 6)
+        assert [ev._at(cx, cy, s) for s in range(b.top + 1)] == [ev._at(x, y, s) for s in range(b.top + 1)]
+
+
+def test_a_battery_of_ten_million_levels_at_very_negative_prices():
+    fine = Battery("fine", capacity_mwh=100.00001, max_charge_mw=25.0004, charge_efficiency=0.8, discharge_efficiency=0.8)
+    b, near = ev._facts(fine), ev._facts(Battery("near", charge_efficiency=0.8, discharge_efficiency=0.8))
+    assert b.top > 5_000_000
+    rng = np.random.default_rng(2)
+    p = rng.uniform(-250, 60, 96).round(2)
+
+    def earned(facts):
+        path = ev.day_paths(pd.Series([p]), facts, True)[0]
+        cost, gain = ev._prices(p, facts)
+        assert path[-1] == pytest.approx(50) and path.min() > 10 - 1e-6 and path.max() < 100.0001
+        return sum(-d * (c if d > 0 else g) for d, c, g in zip(np.diff(path), cost, gain))
+
+    assert earned(b) == pytest.approx(earned(near), rel=1e-3)
+    up, down, x, y = ev.chunk_moves(pd.Series([p]), pd.Series([40]), b, 8)[0]
+    assert (up < 0).any()
+    for opening in (0, b.start, b.top, 1_234_567):
+        walked = ev.replay(pd.DataFrame({"up": [up], "down": [down], "p": [p], "s": [opening]}), b, 8)[0]
+        assert walked[-1] == pytest.approx(b.floor + ev._at(x, y, opening) * b.unit)

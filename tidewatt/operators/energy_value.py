@@ -8,7 +8,8 @@ discharge step), which merge into the sorted slopes.
 
 Charging costs at least what discharging earns unless the price is so negative
 that doing both would pay.  There the slopes lose their order, and the
-interval is solved over every level instead (``_levels_back``).
+interval is solved over every level instead (``_levels_back``), or, for a
+battery of many levels, on curves that need not be concave (``_curve_back``).
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from tidewatt.settings import Battery
 
 # Two plans whose values differ by less are equal; the smaller move is taken.
 TIE = 1e-9
-# Most levels that the all-levels form accepts.
-MAX_LEVELS = 2_000_000
+# Batteries of more levels have their values kept as curves where slopes lose their order.
+DENSE_LEVELS = 20_000
 
 
 @lru_cache(maxsize=256)
@@ -85,7 +86,8 @@ def day_paths(prices: pd.Series, b, enforce_terminal: bool) -> list[np.ndarray]:
         if (cost >= gain).all():
             by_length.setdefault(len(p), []).append(i)
         else:
-            out[i] = _day_over_levels(cost, gain, b, enforce_terminal)
+            solve = _day_over_levels if b.top <= DENSE_LEVELS else _day_over_curves
+            out[i] = solve(cost, gain, b, enforce_terminal)
     for n, rows in by_length.items():
         for some in np.array_split(rows, -(-len(rows) // 256)):
             for i, path in zip(some, _days(np.stack([lists[i] for i in some]), b, enforce_terminal)):
@@ -121,7 +123,8 @@ def chunk_moves(prices: pd.Series, committed: pd.Series, b, horizon: int) -> lis
     for p, n in zip(prices, committed):
         up, down = _look_ahead(np.asarray(p, dtype=float), n, b, horizon)
         if (up < 0).any():
-            x, y = _map_over_levels(np.asarray(p, dtype=float), up, down, b, horizon)
+            solve = _map_over_levels if b.top <= DENSE_LEVELS else _map_over_curves
+            x, y = solve(np.asarray(p, dtype=float), up, down, b, horizon)
         else:
             x, y = _map_of_targets(up.tolist(), down.tolist(), b)
         out.append((up, down, x, y))
@@ -219,7 +222,11 @@ def replay(chunks: pd.DataFrame, b, horizon: int) -> list[np.ndarray]:
         path = [level]
         for t, (c, d) in enumerate(zip(up.tolist(), down.tolist())):
             if c < 0:
-                level = _best_move(*_value_after_first(np.asarray(p, dtype=float)[t : t + horizon], b), level, b)
+                window = np.asarray(p, dtype=float)[t : t + horizon]
+                if b.top <= DENSE_LEVELS:
+                    level = _best_move(*_value_after_first(window, b), level, b)
+                else:
+                    level = int(_curve_moves(*_curve_after_first(window, b), np.array([level]), b)[0])
             elif level < c:
                 level = min(c, level + b.up)
             elif level > d:
@@ -232,14 +239,6 @@ def replay(chunks: pd.DataFrame, b, horizon: int) -> list[np.ndarray]:
 # --- all-levels form, for very negative prices ------------------------------
 
 
-def _check_levels(b) -> None:
-    if b.top > MAX_LEVELS:
-        raise ValueError(
-            f"prices below the level where charging and discharging at once would pay need {b.top} "
-            f"levels for this battery; round its parameters to a coarser common unit"
-        )
-
-
 def _best_ahead(v: np.ndarray, reach: int) -> np.ndarray:
     """Maximum of v[i : i + reach + 1] for every i, in linear time."""
     span = reach + 1
@@ -254,7 +253,6 @@ def _best_ahead(v: np.ndarray, reach: int) -> np.ndarray:
 
 def _levels_back(v: np.ndarray, cost: float, gain: float, b) -> np.ndarray:
     """Value one interval earlier, for every level."""
-    _check_levels(b)
     level = np.arange(b.top + 1)
     charge = _best_ahead(v - level * cost, b.up) + level * cost
     discharge = _best_ahead((v - level * gain)[::-1], b.down)[::-1] + level * gain
@@ -273,7 +271,6 @@ def _best_move(v: np.ndarray, cost: float, gain: float, level: int, b) -> int:
 
 def _day_over_levels(cost: np.ndarray, gain: np.ndarray, b, enforce_terminal: bool) -> np.ndarray:
     cost, gain = cost * b.unit, gain * b.unit
-    _check_levels(b)
     v = np.zeros(b.top + 1)
     if enforce_terminal:
         v[:] = -np.inf
@@ -321,7 +318,6 @@ def _first_moves(p: np.ndarray, b) -> np.ndarray:
 
 
 def _map_over_levels(p: np.ndarray, up: np.ndarray, down: np.ndarray, b, horizon: int):
-    _check_levels(b)
     level = np.arange(b.top + 1)
     for t in range(len(up)):
         if up[t] < 0:
@@ -333,3 +329,185 @@ def _map_over_levels(p: np.ndarray, up: np.ndarray, down: np.ndarray, b, horizon
     inside = np.zeros(b.top + 1, dtype=bool)
     inside[1:-1] = (step[1:] == step[:-1]) & (np.abs(step[1:]) <= 1)
     return np.arange(b.top + 1)[~inside].tolist(), level[~inside].tolist()
+
+
+# --- curves, for very negative prices and batteries of many levels ----------
+#
+# A curve is (x, y): levels and values, linear between, nothing outside.  Its
+# bends downwards lie at whole levels and stay there, since moves are whole;
+# bends upwards come from crossings and may lie between.  A maximum over whole
+# levels is therefore the maximum over the line, at a bend or an end.
+
+
+def _range_max(v: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Maximum of v[first : last + 1] for many ranges; nothing for empty ones."""
+    out = np.full(len(first), -np.inf)
+    size, width, best = last - first + 1, 1, v
+    while True:
+        at = (size >= width) & (size < 2 * width)
+        out[at] = np.maximum(best[first[at]], best[last[at] - width + 1])
+        if 2 * width > len(v):
+            return out
+        best = np.maximum(best[:-width], best[width:])
+        width *= 2
+
+
+def _crossings(a, b, lines, offsets=(0.0,)) -> np.ndarray:
+    """Places strictly between ``a`` and ``b`` where two of ``lines`` (values at a, at b) differ by an offset."""
+    found = [np.empty(0)]
+    for i, (p0, p1) in enumerate(lines):
+        for q0, q1 in lines[:i]:
+            known = np.isfinite(p0) & np.isfinite(q0) & np.isfinite(p1) & np.isfinite(q1)
+            d0, d1, low, high = p0[known] - q0[known], p1[known] - q1[known], a[known], b[known]
+            for offset in offsets:
+                meet = (d0 - offset) * (d1 - offset) < 0
+                found.append(low[meet] + (high - low)[meet] * (d0 - offset)[meet] / (d0 - d1)[meet])
+    return np.concatenate(found)
+
+
+def _envelope(cuts: np.ndarray, lines: list) -> tuple[np.ndarray, np.ndarray]:
+    """Curve of the maximum of lines, each given by its values at both ends of every stretch between ``cuts``."""
+    a, b = cuts[:-1], cuts[1:]
+    ends = np.full(len(cuts), -np.inf)
+    for p0, p1 in lines:
+        ends[:-1], ends[1:] = np.maximum(ends[:-1], p0), np.maximum(ends[1:], p1)
+    inner = np.setdiff1d(_apart(np.concatenate([cuts, _crossings(a, b, lines)])), cuts)
+    at = np.searchsorted(cuts, inner, side="right") - 1
+    share = (inner - a[at]) / (b - a)[at]
+    top = np.full(len(inner), -np.inf)
+    for p0, p1 in lines:
+        known = np.isfinite(p0[at]) & np.isfinite(p1[at])
+        low, high = p0[at][known], p1[at][known]
+        top[known] = np.maximum(top[known], low + share[known] * (high - low))
+    x = np.concatenate([cuts, inner])
+    order = np.argsort(x)
+    return _straightened(x[order], np.concatenate([ends, top])[order])
+
+
+def _straightened(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same curve without places where it does not bend; never two neighbours at once."""
+    while len(x) > 2:
+        between = y[:-2] + (y[2:] - y[:-2]) * (x[1:-1] - x[:-2]) / (x[2:] - x[:-2])
+        straight = np.flatnonzero(np.abs(y[1:-1] - between) <= 1e-13 * (1 + np.abs(between))) + 1
+        if not len(straight):
+            break
+        # Of a run of straight places every second one goes in a pass.
+        place = np.arange(len(straight))
+        begins = np.concatenate([[True], np.diff(straight) > 1])
+        drop = straight[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+        x, y = np.delete(x, drop), np.delete(y, drop)
+    return x, y
+
+
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Ordered places of which none differ by rounding alone; of such, the whole level stays."""
+    x = np.unique(x)
+    near = np.diff(x) <= 1e-10 + 4 * np.finfo(float).eps * np.abs(x[1:])
+    whole = x == np.round(x)
+    drop = np.zeros(len(x), dtype=bool)
+    drop[1:] |= near & ~whole[1:]
+    drop[:-1] |= near & whole[1:] & ~whole[:-1]
+    return x[~drop]
+
+
+def _curve_ahead(x: np.ndarray, y: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Curve of the maximum over [s, s + reach], for s from x[0] - reach to x[-1]."""
+    if not reach:
+        return x, y
+    cuts = _apart(np.concatenate([x, x - reach]))
+    a, b = cuts[:-1], cuts[1:]
+    inside = _range_max(y, np.searchsorted(x, b, side="left"), np.searchsorted(x, a + reach, side="right") - 1)
+    near, far = a >= x[0], b + reach <= x[-1]
+    lines = [(np.where(near, np.interp(a, x, y), -np.inf), np.where(near, np.interp(b, x, y), -np.inf)),
+             (np.where(far, np.interp(a + reach, x, y), -np.inf), np.where(far, np.interp(b + reach, x, y), -np.inf)),
+             (inside, inside)]
+    return _envelope(cuts, lines)
+
+
+def _curve_back(x: np.ndarray, y: np.ndarray, cost: float, gain: float, b) -> tuple[np.ndarray, np.ndarray]:
+    """Value one interval earlier."""
+    cx, cy = _curve_ahead(x, y - x * cost, b.up)
+    dx, dy = _curve_ahead(-x[::-1], (y - x * gain)[::-1], b.down)
+    both = [(cx, cy + cx * cost), (-dx[::-1], dy[::-1] - dx[::-1] * gain)]
+    cuts = _apart(np.concatenate([cx, -dx, [0.0, b.top]]))
+    cuts = cuts[(cuts >= max(0, cx[0])) & (cuts <= min(b.top, -dx[0]))]
+    if len(cuts) == 1:
+        return cuts, np.max([np.interp(cuts, *curve) for curve in both], axis=0)
+    lines = []
+    for u, v in both:
+        known = (cuts[:-1] >= u[0]) & (cuts[1:] <= u[-1])
+        lines.append(tuple(np.where(known, np.interp(end, u, v), -np.inf) for end in (cuts[:-1], cuts[1:])))
+    return _envelope(cuts, lines)
+
+
+def _curve_moves(x, y, cost: float, gain: float, levels: np.ndarray, b) -> np.ndarray:
+    """Level after the interval for each of ``levels``; ties go to holding, then to the smaller move."""
+    bends = x[x == np.round(x)]
+    level = levels.astype(float)[:, None]
+    ends = [np.clip(end, x[0], x[-1]) for end in (level, level + b.up, level - b.down)]
+    goal = np.concatenate([*ends, np.broadcast_to(bends, (len(level), len(bends)))], axis=1)
+    move = goal - level
+    gains = np.interp(goal, x, y) - move * np.where(move > 0, cost, gain)
+    gains[(move > b.up) | (move < -b.down)] = -np.inf
+    size = np.where(gains >= gains.max(1, keepdims=True) - TIE, 2 * np.abs(move) + (move < 0), np.inf)
+    return np.take_along_axis(goal, size.argmin(1)[:, None], 1)[:, 0].astype(np.int64)
+
+
+def _day_over_curves(cost: np.ndarray, gain: np.ndarray, b, enforce_terminal: bool) -> np.ndarray:
+    cost, gain = cost * b.unit, gain * b.unit
+    ends = [b.start] if enforce_terminal else [0, b.top]
+    values = [(np.array(ends, dtype=float), np.zeros(len(ends)))]
+    for t in range(len(cost) - 1, 0, -1):
+        values.append(_curve_back(*values[-1], cost[t], gain[t], b))
+    path = [b.start]
+    for t in range(len(cost)):
+        path.append(int(_curve_moves(*values[len(cost) - 1 - t], cost[t], gain[t], np.array(path[-1:]), b)[0]))
+    return b.floor + np.array(path) * b.unit
+
+
+def _curve_after_first(p: np.ndarray, b) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Curve of the value after a window's first interval, with that interval's cost and gain."""
+    cost, gain = (v * b.unit for v in _prices(p, b))
+    x, y = np.array([0.0, b.top]), np.zeros(2)
+    for t in range(len(p) - 1, 0, -1):
+        x, y = _curve_back(x, y, cost[t], gain[t], b)
+    return x, y, cost[0], gain[0]
+
+
+def _curve_map(x, y, cost: float, gain: float, b) -> tuple[list[int], list[int]]:
+    """Level after the first interval for every opening level, as corner points.
+
+    Between places where a bend enters or leaves the reach of a move, the worth of holding,
+    of a full move and of the best bend on either side are lines in the opening level; the
+    best move changes only where two of them cross or come to a tie.
+    """
+    cuts = np.unique(np.clip(np.concatenate([x, x - b.up, x + b.down, [0, b.top]]), 0, b.top))
+    a, c = cuts[:-1], cuts[1:]
+    above = _range_max(y - x * cost, np.searchsorted(x, c, side="left"), np.searchsorted(x, a + b.up, side="right") - 1)
+    below = _range_max(y - x * gain, np.searchsorted(x, c - b.down, side="left"), np.searchsorted(x, a, side="right") - 1)
+    lines = [tuple(np.interp(end, x, y) for end in (a, c)), (above + a * cost, above + c * cost), (below + a * gain, below + c * gain)]
+    for far, paid in ((b.up, -b.up * cost), (-b.down, b.down * gain)):
+        known = (a + far >= 0) & (c + far <= b.top)
+        lines.append(tuple(np.where(known, np.interp(end + far, x, y) + paid, -np.inf) for end in (a, c)))
+    found = np.floor(np.concatenate([cuts, _crossings(a, c, lines, (-TIE, 0.0, TIE))]))
+    levels = np.unique(np.clip(np.concatenate([found - 1, found, found + 1]), 0, b.top)).astype(np.int64)
+    after = _curve_moves(x, y, cost, gain, levels, b)
+    while True:
+        run, rise = np.diff(levels), np.diff(after)
+        torn = np.flatnonzero((run > 1) & (rise != 0) & (rise != run))
+        if not len(torn):
+            return _simplify(levels.tolist(), after.tolist())
+        middle = levels[torn] + run[torn] // 2
+        levels, order = np.unique(np.concatenate([levels, middle]), return_index=True)
+        after = np.concatenate([after, _curve_moves(x, y, cost, gain, middle, b)])[order]
+
+
+def _map_over_curves(p: np.ndarray, up: np.ndarray, down: np.ndarray, b, horizon: int):
+    maps = []
+    for t in range(len(up)):
+        if up[t] < 0:
+            corners = _curve_map(*_curve_after_first(p[t : t + horizon], b), b)
+        else:
+            corners = _map_of_targets([int(up[t])], [int(down[t])], b)
+        maps.append({"x": corners[0], "y": corners[1]})
+    return compose(maps)
