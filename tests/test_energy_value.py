@@ -135,3 +135,42 @@ def test_a_battery_of_ten_million_levels_at_very_negative_prices():
     for opening in (0, b.start, b.top, 1_234_567):
         walked = ev.replay(pd.DataFrame({"up": [up], "down": [down], "p": [p], "s": [opening]}), b, 8)[0]
         assert walked[-1] == pytest.approx(b.floor + ev._at(x, y, opening) * b.unit)
+
+
+def counted(monkeypatch):
+    calls, plain = [], ev._levels_back
+    monkeypatch.setattr(ev, "_levels_back", lambda *args: calls.append(1) or plain(*args))
+    return calls
+
+
+def test_windows_at_very_negative_prices_are_solved_together(monkeypatch):
+    rng = np.random.default_rng(13)
+    p = rng.uniform(-60, 60, 80).round(1)
+    calls = counted(monkeypatch)
+    up, down, x, y = ev.chunk_moves(pd.Series([p]), pd.Series([72]), B, 9)[0]
+    assert (up < 0).sum() > 40 and len(calls) <= 9
+    calls.clear()
+    path = ev.replay(pd.DataFrame({"up": [up], "down": [down], "p": [p], "s": [B.start]}), B, 9)[0]
+    assert len(calls) <= 8
+    # Each window on its own leads to the same level, and so does the map of the chunk.
+    level = B.start
+    for t in range(72):
+        start = SimpleNamespace(**{**vars(B), "start": level})
+        level = round((ev.day_paths(pd.Series([p[t : t + 9]]), start, False)[0][1] - B.floor) / B.unit)
+        assert path[t + 1] == B.floor + level * B.unit
+    assert ev._at(x, y, B.start) == level
+
+
+def test_days_at_very_negative_prices_are_solved_together(monkeypatch):
+    rng = np.random.default_rng(17)
+    days = [rng.uniform(-60, 30, 6).round(1) for _ in range(50)]
+    calls = counted(monkeypatch)
+    paths = ev.day_paths(pd.Series(days), B, True)
+    assert len(calls) <= 5
+    for p, path in zip(days, paths):
+        assert worth(path, p) == pytest.approx(exhaustive(p, True), abs=1e-7)
+
+
+def test_a_missing_price_is_refused():
+    with pytest.raises(ValueError):
+        ev.day_paths(pd.Series([np.array([-50.0, np.nan, 3.0])]), B, True)
