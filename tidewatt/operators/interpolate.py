@@ -15,16 +15,18 @@ def interpolate_rows(
     """Linear in row position, ignoring time spacing; edges take the nearest value.
 
     All columns are filled in one pass: one exchange lays the rows out in blocks, where the
-    known (position, value) pairs before and after each row are found by one sort, and the
-    result is written.  A block's first and last row tell its outermost known pairs; those
+    known (position, value) pairs before and after each row are found by one pass up and
+    one pass down, each linear in the block, and the result is written.  A block's first and last row tell its outermost known pairs; those
     of whole blocks are carried on in both directions, so a long series is never held by
     one task.
     """
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))) for c in columns}
     order = Window.partitionBy(*keys, BLOCK).orderBy(pos)
-    behind, onward = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    sides = {f"_before_{c}": F.last(k, True).over(behind) for c, k in known.items()}
-    sides |= {f"_after_{c}": F.first(k, True).over(onward) for c, k in known.items()}
+    # A frame that ends beyond the current row would be folded anew for every row.
+    back = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(pos))
+    upto = (Window.unboundedPreceding, 0)
+    sides = {f"_before_{c}": F.last(k, True).over(order.rowsBetween(*upto)) for c, k in known.items()}
+    sides |= {f"_after_{c}": F.last(k, True).over(back.rowsBetween(*upto)) for c, k in known.items()}
     at_edge = F.lag(pos).over(order).isNull() | F.lead(pos).over(order).isNull()
     laid = durable(df.withColumn(BLOCK, F.floor(F.col(pos) / size)).withColumns(sides | {"_edge": at_edge}))
 
@@ -33,8 +35,8 @@ def interpolate_rows(
         *[F.min(f"_after_{c}").alias(f"_first_{c}") for c in columns],
     )
     earlier = running_totals(edges, keys, {f"_from_{c}": ("max", f"_last_{c}") for c in columns}, BLOCK, size, inclusive=False)
-    back = earlier.withColumn("_back", -F.col(BLOCK))
-    both = running_totals(back, keys, {f"_to_{c}": ("min", f"_first_{c}") for c in columns}, "_back", size, inclusive=False)
+    turned = earlier.withColumn("_back", -F.col(BLOCK))
+    both = running_totals(turned, keys, {f"_to_{c}": ("min", f"_first_{c}") for c in columns}, "_back", size, inclusive=False)
     ends = both.select(*keys, BLOCK, *[f"_{side}_{c}" for side in ("from", "to") for c in columns])
     out = attach(laid, ends, [*keys, BLOCK]).withColumns({c: _blend(c, pos) for c in columns})
     return out.drop(BLOCK, "_edge", *[f"_{side}_{c}" for side in ("before", "after", "from", "to") for c in columns])
