@@ -10,8 +10,9 @@ from tidewatt.operators.interpolate import interpolate_rows
 from tidewatt.operators.positions import number_rows
 from tidewatt.operators.quantiles import exact_quantiles
 from tidewatt.operators.resample import fill_forward
-from tidewatt.operators.rolling import Trailing, add_trailing, drop_states, look_ahead, rolling_quantiles
+from tidewatt.operators.rolling import Trailing, add_trailing, drop_states, look_ahead, look_back, rolling_quantiles
 from tidewatt.operators.soc import soc_path
+from tidewatt.plans.features import complete_rows
 from tidewatt.plans.reports import align_profits
 from tidewatt.plans.rules import action_log_backtest, market_context
 from tidewatt.session import _WRITTEN
@@ -215,3 +216,30 @@ def test_market_context_first_rows(spark):
     rows = market_context(df, ["k"]).orderBy("pos").collect()
     assert [r.forecast_rolling_mean for r in rows] == [3.0, 3.0, 4.0]
     assert [round(r.forecast_rolling_volatility, 9) for r in rows] == [0.0, 0.0, round(2**0.5, 9)]
+
+
+def test_look_back_gives_what_wide_windows_give(spark):
+    """Gaps, NaN and block edges included; the pass is one exchange and no window operator."""
+    rows = spark.range(400).select(
+        (F.col("id") % 2).alias("k"),
+        F.col("id").alias("pos"),
+        F.when(F.col("id") % 61 == 7, None).when(F.col("id") % 89 == 8, float("nan")).otherwise(F.sin("id") * 50).alias("x"),
+        F.when(F.col("id") % 53 != 9, F.col("id")).alias("whole"),
+    )
+    specs = [Trailing("a", "x", (4, 12)), Trailing("b", "whole", (6,), offset=0)]
+    got = look_back(rows, ["k"], {"back": ("whole", 5)}, specs, 20, size=64)
+    wide = add_trailing(with_blocks(rows, before=20, size=64), block_window(["k"]), specs)
+    wide = drop_copies(wide.withColumn("back", F.lag("whole", 5).over(block_window(["k"]))))
+    made = [(s.mean_name(k), s.std_name(k), s.mean(k), s.std(k)) for s in specs for k in s.windows]
+    want = wide.select("k", "pos", "x", "whole", "back", *[c.alias(n) for m, d, mean, std in made for n, c in ((m, mean), (d, std))])
+    assert got.columns == want.columns and dict(got.dtypes)["back"] == "bigint"
+    text = lambda df: sorted(str(tuple(r)) for r in df.collect())  # NaN equals itself as text
+    assert text(got) == text(want)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_complete_rows_drops_nulls_and_nan_of_any_type(spark):
+    rows = [("a", 1, 1.0), (None, 1, 1.0), ("a", None, 1.0), ("a", 1, None), ("a", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "s string, i int, d double")
+    assert [tuple(r) for r in complete_rows(df).collect()] == rows[:1]
+    assert complete_rows(df, ["s"]).count() == 4 and complete_rows(df, ["i", "d"]).count() == 2

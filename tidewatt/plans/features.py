@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from tidewatt.functions.scalars import calendar_parts, ratio
-from tidewatt.operators.blocks import block_window, drop_copies, with_blocks
-from tidewatt.operators.rolling import Trailing, add_trailing, drop_states
+from tidewatt.operators.rolling import Trailing, look_back
 from tidewatt.settings import (
     BLOCK_ROWS,
     LOAD_STEPS,
@@ -41,112 +41,104 @@ def join_exogenous(price: DataFrame, load: DataFrame, weather: DataFrame, on: li
     return price.join(load, on, "left").join(weather, on, "left")
 
 
-def with_lookback(df: DataFrame, compute, keys: list[str], pos: str = "pos", size: int = BLOCK_ROWS) -> DataFrame:
-    """Run ``compute(blocked, window)`` over blocks that see the full look-back."""
-    return drop_copies(compute(with_blocks(df, pos, before=LOOK_BACK, size=size), block_window(keys, pos)))
+def with_lookback(
+    df: DataFrame, keys: list[str], lags: dict, specs: list[Trailing], made: dict[str, Column],
+    pos: str = "pos", size: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Rows with the columns ``made`` of ``lags`` and windows, over blocks that see the full look-back."""
+    rows = look_back(df, keys, lags, specs, LOOK_BACK, pos, size)
+    return rows.select(*df.columns, *[c.alias(name) for name, c in made.items()])
 
 
 def price_features(df: DataFrame, keys: list[str], pos: str = "pos", size: int = BLOCK_ROWS) -> DataFrame:
-    def compute(rows, w):
-        rows = add_trailing(rows, w, [PRICE]).withColumns({**_price_lags(w), **_price_windows()})
-        return drop_states(rows, [PRICE])
-
-    return with_lookback(df, compute, keys, pos, size)
+    return with_lookback(df, keys, _PRICE_LAGS, [PRICE], _price(), pos, size)
 
 
 def load_features(df: DataFrame, keys: list[str], pos: str = "pos", size: int = BLOCK_ROWS) -> DataFrame:
-    def compute(rows, w):
-        rows = add_trailing(rows, w, [LOAD]).withColumns(_load_lags(w))
-        return drop_states(rows.withColumns(_load_windows()).drop(*_LOAD_TEMPORARY), [LOAD])
-
-    return with_lookback(df, compute, keys, pos, size)
+    return with_lookback(df, keys, _LOAD_LAGS, [LOAD], _load(), pos, size)
 
 
 def weather_features(df: DataFrame, keys: list[str], pos: str = "pos", size: int = BLOCK_ROWS) -> DataFrame:
-    specs = [TEMP, WIND, SOLAR]
-
-    def compute(rows, w):
-        rows = add_trailing(rows, w, specs).withColumns({**_weather_lags(w), **_weather_windows()})
-        return drop_states(rows, specs)
-
-    return with_lookback(df, compute, keys, pos, size)
+    return with_lookback(df, keys, _WEATHER_LAGS, [TEMP, WIND, SOLAR], _weather(), pos, size)
 
 
 def all_features(df: DataFrame, keys: list[str], pos: str = "pos", size: int = BLOCK_ROWS) -> DataFrame:
-    """Every feature in one shuffle and one sort; all windows share their spec."""
-    specs = [PRICE, LOAD, TEMP, WIND, SOLAR]
-
-    def compute(rows, w):
-        rows = add_trailing(rows, w, specs)
-        rows = rows.withColumns({**_price_lags(w), **_load_lags(w), **_weather_lags(w)})
-        rows = rows.withColumns({**_price_windows(), **_load_windows(), **_weather_windows()})
-        return drop_states(rows.drop(*_LOAD_TEMPORARY), specs)
-
-    return with_lookback(df, compute, keys, pos, size).withColumns(calendar_parts())
+    """Every feature in one shuffle and one pass over each block."""
+    lags = {**_PRICE_LAGS, **_LOAD_LAGS, **_WEATHER_LAGS}
+    made = {**_price(), **_load(), **_weather()}
+    return with_lookback(df, keys, lags, [PRICE, LOAD, TEMP, WIND, SOLAR], made, pos, size).withColumns(calendar_parts())
 
 
 def complete_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """Drop rows with a null in any column (warm-up rows among them)."""
-    return df.na.drop("any", subset=subset)
-
-
-def _price_lags(w) -> dict[str, Column]:
-    return {f"lag_{k}": F.lag("price", k).over(w) for k in PRICE_LAGS}
+    """Drop rows with a null or a NaN in any column (warm-up rows among them).
+
+    Numbers are tested as one array: the code generated for a test of dozens of columns
+    is too long a method to be compiled, and every row would be interpreted.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields if subset is None or f.name in subset}
+    numbers = [F.col(c).cast("double") for c, t in types.items() if isinstance(t, NumericType)]
+    rest = [c for c, t in types.items() if not isinstance(t, NumericType)]
+    if rest:
+        df = df.na.drop("any", subset=rest)
+    return df.filter(~F.exists(F.array(*numbers), lambda v: F.isnull(v) | F.isnan(v))) if numbers else df
+
+
+# Lags to fetch: name, then column and rows back.
+_PRICE_LAGS = {f"_price_{k}": ("price", k) for k in PRICE_LAGS}
+_LOAD_LAGS = {f"_load_{k}": ("load", k) for k in sorted({1, *LOAD_STEPS, *(1 + s for s in LOAD_STEPS)})}
+_WEATHER_LAGS = {
+    **{f"_temp_{k}": (WEATHER["temp"], k) for k in WEATHER_STEPS},
+    **{f"_{f}_1": (WEATHER[f], 1) for f in ("wind", "solar", "cloud", "dew", "precip")},
+    **{f"_{f}_4": (WEATHER[f], 4) for f in ("wind", "solar", "cloud", "dew")},
+}
 
 
-def _price_windows() -> dict[str, Column]:
-    return {
-        **{f"rolling_mean_{k}": PRICE.mean(k) for k in PRICE_WINDOWS},
-        **{f"rolling_std_{k}": PRICE.std(k) for k in PRICE_WINDOWS},
-    }
+def _mean(of: Trailing, k: int) -> Column:
+    return F.col(of.mean_name(k))
 
 
-_LOAD_TEMPORARY = [f"_known_{s}" for s in LOAD_STEPS]
+def _std(of: Trailing, k: int) -> Column:
+    return F.col(of.std_name(k))
 
 
-def _load_lags(w) -> dict[str, Column]:
+def _price() -> dict[str, Column]:
     return {
-        **{f"load_lag_{k}": F.lag("load", k).over(w) for k in LOAD_STEPS},
-        "known_load": F.lag("load", 1).over(w),
-        **{f"_known_{s}": F.lag("load", 1 + s).over(w) for s in LOAD_STEPS},
+        **{f"lag_{k}": F.col(f"_price_{k}") for k in PRICE_LAGS},
+        **{f"rolling_mean_{k}": _mean(PRICE, k) for k in PRICE_WINDOWS},
+        **{f"rolling_std_{k}": _std(PRICE, k) for k in PRICE_WINDOWS},
     }
 
 
-def _load_windows() -> dict[str, Column]:
-    known = F.col("known_load")
+def _load() -> dict[str, Column]:
+    known = F.col("_load_1")
+    earlier = {s: F.col(f"_load_{1 + s}") for s in LOAD_STEPS}
     return {
-        **{f"load_rolling_mean_{k}": LOAD.mean(k) for k in LOAD_WINDOWS},
-        **{f"load_change_{s}": known - F.col(f"_known_{s}") for s in LOAD_STEPS},
-        **{f"load_pct_change_{s}": ratio(known - F.col(f"_known_{s}"), F.col(f"_known_{s}")) for s in LOAD_STEPS},
-        "load_deviation_96": known - LOAD.mean(96),
-        "load_volatility_24": LOAD.std(24),
+        **{f"load_lag_{k}": F.col(f"_load_{k}") for k in LOAD_STEPS},
+        "known_load": known,
+        **{f"load_rolling_mean_{k}": _mean(LOAD, k) for k in LOAD_WINDOWS},
+        **{f"load_change_{s}": known - e for s, e in earlier.items()},
+        **{f"load_pct_change_{s}": ratio(known - e, e) for s, e in earlier.items()},
+        "load_deviation_96": known - _mean(LOAD, 96),
+        "load_volatility_24": _std(LOAD, 24),
     }
 
 
-def _weather_lags(w) -> dict[str, Column]:
-    def lag(family, k):
-        return F.lag(WEATHER[family], k).over(w)
-
+def _weather() -> dict[str, Column]:
     def change(family, k):
-        return F.col(WEATHER[family]) - lag(family, k)
+        return F.col(WEATHER[family]) - F.col(f"_{family}_{k}")
 
     return {
-        **{f"temp_lag_{k}": lag("temp", k) for k in WEATHER_STEPS},
+        **{f"temp_lag_{k}": F.col(f"_temp_{k}") for k in WEATHER_STEPS},
         **{f"temp_change_{k}": change("temp", k) for k in WEATHER_STEPS},
-        **{f"{f}_lag_1": lag(f, 1) for f in ("wind", "solar", "cloud", "dew", "precip")},
+        **{f"{f}_lag_1": F.col(f"_{f}_1") for f in ("wind", "solar", "cloud", "dew", "precip")},
         **{f"{f}_change_4": change(f, 4) for f in ("wind", "solar", "cloud", "dew")},
-        "heat_index_proxy_1": lag("temp", 1) + 0.2 * lag("dew", 1),
-    }
-
-
-def _weather_windows() -> dict[str, Column]:
-    return {
-        "temp_rolling_mean_24": TEMP.mean(24),
-        "temp_volatility_24": TEMP.std(24),
-        "wind_rolling_mean_24": WIND.mean(24),
-        "wind_volatility_24": WIND.std(24),
-        "solar_rolling_mean_4": SOLAR.mean(4),
-        "solar_volatility_24": SOLAR.std(24),
+        "heat_index_proxy_1": F.col("_temp_1") + 0.2 * F.col("_dew_1"),
+        "temp_rolling_mean_24": _mean(TEMP, 24),
+        "temp_volatility_24": _std(TEMP, 24),
+        "wind_rolling_mean_24": _mean(WIND, 24),
+        "wind_volatility_24": _std(WIND, 24),
+        "solar_rolling_mean_4": _mean(SOLAR, 4),
+        "solar_volatility_24": _std(SOLAR, 24),
     }
 
 
