@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatt.operators.exchange import partner, partner_sql, rectangle
+from tidewatt.operators.exchange import partner, partner_sql, rectangle, with_partner
+from tidewatt.operators.positions import number_rows
 from tidewatt.plans import models as md
 
 
@@ -40,3 +41,29 @@ def test_importance_of_rows_that_share_a_key_and_of_no_rows(spark):
     got = {r.feature: r.importance for r in md.permutation_importance(model, df, ["a", "b"], "y", ["id"]).collect()}
     assert got["a"] > 10 and abs(got["b"]) < 1e-6
     assert md.permutation_importance(model, df.filter("id > 9"), ["a", "b"], "y", ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 5, 101, 4099])
+def test_partner_by_steps_is_the_same_exchange(spark, n):
+    rows = with_partner(spark.range(n), "id", n, 7, "p")
+    assert rows.filter(F.col("p") != partner(F.col("id"), n, 7)).count() == 0
+    assert not rows.schema["p"].nullable  # a nullable one would be worked out again for a filter
+
+
+def test_importance_of_a_linear_model_is_that_of_scored_variants(spark):
+    df = spark.range(300).select("id", F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b"))
+    df = df.withColumn("y", 3 * F.col("a") - F.col("b") + F.sin(F.col("id") * 7))
+    model = md.fit(df, ["a", "b"], "y", "linear")
+    rows = number_rows(df, [], ["id"], "at")
+    rows = rows.join(with_partner(rows, "at", 300, 42, "p").select("id", "p"), "id")
+    pairs = rows.join(rows.select(F.col("at").alias("p"), F.col("a").alias("a2"), F.col("b").alias("b2")), "p")
+    rmse = lambda of: md.compare({"m": model}, of, "y").first()["rmse"]
+    want = {f: rmse(pairs.withColumn(f, F.col(f"{f}2"))) - rmse(df) for f in ("a", "b")}
+    got = {r.feature: r.importance for r in md.permutation_importance(model, df, ["a", "b"], "y", ["id"], repeats=1).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    # Rows packed in one vector column give the same model and the same importances.
+    packed = md.feature_rows(df, ["a", "b"], "y").select("id", "y", "features")
+    again = md.fit(packed, ["a", "b"], "y", "linear")
+    assert list(again.stages[-1].coefficients) == pytest.approx(list(model.stages[-1].coefficients))
+    same = md.permutation_importance(again, packed, ["a", "b"], "y", ["id"], repeats=1).collect()
+    assert {r.feature: r.importance for r in same} == pytest.approx(want, abs=1e-9)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import isqrt
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Rounds of the exchange; each one moves both halves of a position.
 ROUNDS = 3
@@ -40,6 +40,25 @@ def partner(pos: Column, n: int, key: int) -> Column:
     return F.when(moved < n, moved).otherwise(walked)
 
 
+def with_partner(df: DataFrame, pos: str, n: int, key: int, name: str) -> DataFrame:
+    """``df`` with the column ``partner(pos, n, key)``; ``pos`` is never null.
+
+    Each half of a place is a column of its own that later ones refer to, so a row costs two
+    hashes a round, while one nested expression repeats them for each use and each filter
+    that the planner infers from a join.  Only the few places beyond ``n`` are walked.
+    """
+    a, b = rectangle(n)
+    columns = df.columns
+    df = df.withColumns({"_row": F.floor(F.col(pos) / b), "_col": F.col(pos) % b})
+    for i in range(ROUNDS):
+        df = df.withColumn("_row", (F.col("_row") + _hash(key, "row", F.lit(i), F.col("_col"))) % a)
+        df = df.withColumn("_col", (F.col("_col") + _hash(key, "col", F.lit(i), F.col("_row"))) % b)
+    df = df.withColumn("_place", F.col("_row") * b + F.col("_col"))
+    inside = F.col("_place") if a * b == n else F.when(F.col("_place") < n, F.col("_place")).otherwise(partner(F.col(pos), n, key))
+    # Never null, which the planner can see: no filter on it is inferred.
+    return df.select(*columns, F.coalesce(inside, F.lit(0)).cast("bigint").alias(name))
+
+
 def _moved(place: Column, a: int, b: int, key: int) -> Column:
     def turn(state: Column, i: Column) -> Column:
         row = (state["row"] + _hash(key, "row", i, state["col"])) % a
