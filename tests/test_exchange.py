@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatt.operators.exchange import partner, partner_sql, rectangle, with_partner
 from tidewatt.operators.positions import number_rows
 from tidewatt.plans import models as md
+from tidewatt.settings import Search
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 101, 1009, 4099])
@@ -67,3 +68,13 @@ def test_importance_of_a_linear_model_is_that_of_scored_variants(spark):
     assert list(again.stages[-1].coefficients) == pytest.approx(list(model.stages[-1].coefficients))
     same = md.permutation_importance(again, packed, ["a", "b"], "y", ["id"], repeats=1).collect()
     assert {r.feature: r.importance for r in same} == pytest.approx(want, abs=1e-9)
+
+
+def test_search_over_packed_rows_is_that_over_wide_ones(spark):
+    df = spark.range(240).select(F.col("id").alias("t"), F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b")).coalesce(1)
+    df = df.withColumn("y", 3 * F.col("a") - F.col("b"))
+    search = Search(draws=2, splits=2, grid={"maxIter": [1, 2], "maxDepth": [2]})
+    packed = md.feature_rows(df, ["a", "b"], "y").select("t", "y", "features")
+    (one, wide), (other, narrow) = (md.random_search(of, ["a", "b"], "y", "t", search) for of in (df, packed))
+    assert one == other
+    assert [r.rmse for r in narrow.collect()] == pytest.approx([r.rmse for r in wide.collect()])
