@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatt.operators.exchange import partner, partner_sql, rectangle, with_partner
 from tidewatt.operators.positions import number_rows
 from tidewatt.plans import models as md
-from tidewatt.settings import Search
+from tidewatt.settings import Boosting, Forest, Search
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 101, 1009, 4099])
@@ -78,3 +78,46 @@ def test_search_over_packed_rows_is_that_over_wide_ones(spark):
     (one, wide), (other, narrow) = (md.random_search(of, ["a", "b"], "y", "t", search) for of in (df, packed))
     assert one == other
     assert [r.rmse for r in narrow.collect()] == pytest.approx([r.rmse for r in wide.collect()])
+
+
+def test_fits_run_side_by_side_only_while_their_rows_fit_in_memory(spark, monkeypatch):
+    df = spark.range(60).selectExpr("cast(id AS double) AS a", "cast(id % 7 AS double) AS b", "cast(id % 5 AS double) AS y")
+    kinds = {
+        "line": ("linear", None),
+        "trees": ("forest", Forest(trees=2, depth=2)),
+        "steps": ("boosting", Boosting(rounds=2, depth=1)),
+        "more": ("boosting", Boosting(rounds=2, depth=1)),
+    }
+    side_by_side, used = md.side_by_side, []
+
+    def counted(session, tasks, parallel):
+        used.append(parallel)
+        return side_by_side(session, tasks, parallel)
+
+    monkeypatch.setattr(md, "side_by_side", counted)
+    assert md.storage_bytes(spark) > 1 << 20
+    tables = []
+    # A row of the forest is 216 bytes, of either booster 212.
+    for memory in (60 * 640, 60 * 430, 60 * 427):
+        monkeypatch.setattr(md, "storage_bytes", lambda _, memory=memory: memory)
+        _, table = md.benchmark(df, df, ["a", "b"], "y", kinds)
+        tables.append({r.model: round(r.rmse, 9) for r in table.collect()})
+    assert used == [3, 2, 1]
+    assert tables[0] == tables[1] == tables[2]
+
+
+def test_a_search_fits_fewer_draws_at_a_time_when_their_rows_exceed_the_memory(spark, monkeypatch):
+    df = spark.range(60).selectExpr("id AS t", "cast(id % 7 AS double) AS a", "cast(id % 5 AS double) AS y")
+    search = Search(draws=2, splits=2, parallel=2, grid={"maxIter": [1, 2], "maxDepth": [1]})
+    side_by_side, used = md.side_by_side, []
+
+    def counted(session, tasks, parallel):
+        used.append(parallel)
+        return side_by_side(session, tasks, parallel)
+
+    monkeypatch.setattr(md, "side_by_side", counted)
+    plenty, _ = md.random_search(df, ["a"], "y", "t", search)
+    monkeypatch.setattr(md, "storage_bytes", lambda _: 60 * 300)
+    assert md.random_search(df, ["a"], "y", "t", search)[0] == plenty
+    assert used == [2, 2, 1, 1]
+    assert md.kept_bytes(1, "boosting", search) == 2 * md.kept_bytes(1, "boosting")
